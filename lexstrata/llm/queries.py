@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, shared, winnow
+from . import encode, grammar, packing, quality, shared, winnow
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir).select("doc_id", "text")
+    return packing.packed(docs, encode.public_path("byte_bpe_50k.json"), end=0)
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir).select("doc_id", "text")
+    files = shared.new_path(spark, "token-ids")
+    grammar.write(docs, files, encode.public_path("word_bpe_49k.json"), end=1, first_rule=49_408)
+    return grammar.read(files, spark)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +34,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_id_output, op6_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
