@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, packing, quality, shared, winnow
+from . import encode, grammar, jaccard, packing, quality, shared, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("r.doc_id", *winnow.FIELDS.names)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(shared.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_id_output, op6_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_id_output, op6_quality_rules, op9_decontamination, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
