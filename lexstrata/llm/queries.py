@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, jaccard, packing, quality, shared, winnow
+from . import encode, grammar, jaccard, linededup, packing, quality, shared, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, encode.public_path("byte_bpe_50k.json"), end=0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.judged(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("r.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     files = shared.new_path(spark, "token-ids")
@@ -38,7 +43,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_id_output, op6_quality_rules, op9_decontamination, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_token_id_output, op6_quality_rules, op9_decontamination, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
