@@ -42,6 +42,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return powers(pow(_BASE, -1, 1 << 64), n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(31))
     x *= _U(0x7FB5D329728EA185)
@@ -59,7 +63,7 @@ def prefix_hash(b: np.ndarray) -> np.ndarray:
 
 
 def span_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return mix((c[e] - c[s]) * powers(pow(_BASE, -1, 1 << 64), len(c))[s])
+    return mix((c[e] - c[s]) * inverse_powers(len(c))[s])
 
 
 def batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
