@@ -11,8 +11,8 @@ BUCKETS hash buckets over all documents, and ordered by the logarithm of their b
   4. Rest: classes of a list that are not yet in the pivot's component are held against all classes of the list in
      other components. So no link between two components is missed, and no pairs within a component are made.
   5. Candidates pass the size, position and parity filters, all of which only drop pairs that can't link: the symmetric
-     difference of two sets has at least as many elements as the parity sketches differ in bits. What is left is verified
-     on the full sets, computed again from the texts of the documents in question.
+     difference of two sets has at least as many elements as the parity sketches differ in bits. A small sketch goes
+     with the lists, a wide one is held against the pairs found there. What is left is verified on the full sets, computed again from the texts of the documents in question.
 
 Defined results: a text without words, or null, has size 0 and is linked with nothing; a text of fewer words than a shingle is
 one shingle. A row without doc_id gets no links, and a null component. Rows that share a doc_id are one document; repeated rows
@@ -40,7 +40,7 @@ BUCKETS = 1 << 17
 SKETCH = 256
 WANTED_BITS = 1 << 23
 
-FEATURES = "doc_id long, n long, s1 long, s2 long, prefix array<long>, k0 long, k1 long, k2 long, k3 long"
+FEATURES = "doc_id long, n long, s1 long, s2 long, prefix array<long>, k0 long, k1 long, k2 long, k3 long, wide binary"
 
 
 def sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -89,10 +89,23 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of SKETCH cells."""
-    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+def sketch(s: np.ndarray, cells: int = SKETCH) -> np.ndarray:
+    """Parity of the number of elements in each of some cells, as bits."""
+    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def wide(s: np.ndarray) -> bytes:
+    """A sketch of one to two cells for each element: SKETCH cells at least, always a power of two."""
+    return sketch(s, max(SKETCH, 1 << int(len(s)).bit_length())).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Cells in which two sketches differ; the longer one is folded to the shorter one's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -102,19 +115,20 @@ def prefix_size(n: int, percent: int) -> int:
 def _features(order: np.ndarray, shingle: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            n, d, prefix, k = [], [], [], []
+            n, d, prefix, k, broad = [], [], [], [], []
             for _, raw in batches(batch.column(1).to_pylist()):
                 for s in sets(raw, shingle):
                     n.append(len(s))
                     d.append(digest(s))
                     first = np.lexsort((s, order[bucket_of(s)]))[: prefix_size(len(s), percent)] if len(s) else []
                     prefix.append(s[first].astype(np.int64) if len(s) else np.zeros(0, np.int64))
-                    k.append(sketch(s))
+                    k.append(sketch(s).view("<i8"))
+                    broad.append(wide(s))
             d, k = np.array(d, np.int64).reshape(-1, 2), np.array(k, np.int64).reshape(-1, 4)
             edges = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, *(pa.array(k[:, i]) for i in range(4))], ["doc_id", "n", "s1", "s2", "prefix", "k0", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, *(pa.array(k[:, i]) for i in range(4)), pa.array(broad, pa.binary())], ["doc_id", "n", "s1", "s2", "prefix", "k0", "k1", "k2", "k3", "wide"])
 
     return run
 
@@ -156,8 +170,28 @@ def _verify(percent: int):
     return run
 
 
+def _sift(percent: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ok = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                need = -(-percent * (n + m) // (100 + percent))
+                ok.append(apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= n + m - 2 * need)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches allow a link; these sketches are a hundredth of the sets' size."""
+    own = classes.select("node", "n", "wide")
+    x, y = (own.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_sift(percent), "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class names whose sets link."""
+    pairs = shared.written(sifted(pairs, classes, percent), "sifted")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     bitmap = _wanted(nodes)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED_BITS)).alias("bit")).where("doc_id IS NOT NULL")
@@ -181,7 +215,7 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     order = ranks(docs, shingle)
     rows = shared.written(docs.mapInArrow(_features(order, shingle, percent), FEATURES), "features")
     sketches = ["k0", "k1", "k2", "k3"]
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), *(F.first(k).alias(k) for k in sketches))
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), *(F.first(k).alias(k) for k in [*sketches, "wide"]))
     classes = shared.written(classes, "classes")
 
     # lists of prefix elements that two classes or more share
