@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, jaccard, linededup, packing, quality, shared, suffix, winnow
+from . import encode, grammar, jaccard, langid, linededup, linkgraph, packing, quality, shared, suffix, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read(files, spark)
 
 
+#: The rules that the query is judged by.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judged(shared.documents(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text", "lang")
     return quality.judged(docs).select("r.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_chars", "js_words")
@@ -36,6 +44,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(shared.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(shared.documents(spark, sf_dir, "pages"), shared.documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     found = winnow.judged(docs, shared.documents(spark, sf_dir, "benchmark"))
@@ -47,7 +59,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_token_id_output, op6_quality_rules, op7_suffix_array_dedup, op9_decontamination, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
