@@ -3,7 +3,7 @@
 The pre-tokenizers of the byte-level and of the word-end BPE files never join text across a space that a printable ASCII
 or Latin character follows: a pre-token can begin with that space, never contain it. So a text may be cut before such
 spaces and each part encoded alone; the ids are those of the whole text. Parts repeat (they are mostly single words), so each
-task keeps a memo of at most MEMO parts, and encodes what a run of texts lacks in a few calls. Any other white space stays
+worker keeps a memo of at most MEMO parts, and encodes what a run of texts lacks in a few calls. Any other white space stays
 inside a part.
 """
 
@@ -12,10 +12,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
-MEMO = 600_000
+MEMO = 500_000
+#: A full memo is emptied once so many parts weren't in it, in case the texts have changed.
+STALE = 10 * MEMO
 LONGEST = 20
 RUN_CHARS = 1 << 19
 _SAFE = re.compile(r" (?=[!-~À-ÖØ-öø-ÿ])")
@@ -25,8 +28,13 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?])")
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker process's own; `path` must be readable on the executors."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Make one in each task; `path` must be readable on the executors."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,6 +42,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.missed = 0
         self.marks: dict[str, bytes] = {}
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         texts = [names.get(i, "") for i in range(max(names) + 1)]
@@ -102,9 +111,13 @@ class Encoder:
             got = self.lacking({parts[i] for i in lacking})
             for i in lacking:
                 ids[i] = got[parts[i]]
-            if len(memo) + len(got) > MEMO:
+            if len(memo) + len(got) <= MEMO:
+                memo.update((p, x) for p, x in got.items() if len(p) <= LONGEST)
+            elif (missed := self.missed + len(got)) > STALE:
                 memo.clear()
-            memo.update((p, x) for p, x in got.items() if len(p) <= LONGEST)
+                self.missed = 0
+            else:
+                self.missed = missed
         tail = end.to_bytes(4, "little")
         for head, s, e in zip(self.encode(heads), cuts, cuts[1:], strict=False):
             yield b"".join([head, *ids[s:e], tail])

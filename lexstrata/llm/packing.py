@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shared
-from .encode import Encoder
+from .encode import encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,10 +33,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path: str, end: int, capacity: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in rows:
             out: list[tuple] = []
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.all_ids(batch.column(1).to_pylist(), end), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), own.all_ids(batch.column(1).to_pylist(), end), strict=True):
                 ids = memoryview(raw)
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1

@@ -29,6 +29,7 @@ def test_equals_whole_texts_at_random(texts):
 
 def test_memo_stays_bounded(monkeypatch):
     monkeypatch.setattr(encode, "MEMO", 50)
+    monkeypatch.setattr(encode, "STALE", 90)
     monkeypatch.setattr(encode, "RUN_CHARS", 40)
     e = encode.Encoder(encode.public_path(NAMES[0]))
     texts = [f"w{i} v{i} the" for i in range(300)]
