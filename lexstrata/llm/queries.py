@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, jaccard, langid, linededup, linkgraph, packing, quality, shared, suffix, winnow
+from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, quality, shared, suffix, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("r.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(shared.documents(spark, sf_dir, "pages"))
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     files = shared.new_path(spark, "token-ids")
@@ -59,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_html_extraction, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
