@@ -36,8 +36,9 @@ from .textkit import batches, inverse_powers, mix, prefix_hash, sliding_min, spa
 
 LENGTH = 400
 GRAM = 80
-SPLIT = 2048
-#: Rows of window identifiers that a task holds at once.
+#: Largest bucket that one task refines: with all window identifiers some 150 MB.
+SPLIT = 16_384
+#: Contexts whose window identifiers are computed at once.
 ROWS = 512
 #: Cells of 64 bits of the bitmap of documents that must be read again: a fixed size.
 CELLS = 1 << 17
@@ -140,7 +141,7 @@ def _refine(length: int):
     """Rows sorted by bucket: the spans of the windows of edges that another context of the bucket has too."""
 
     def spans(rows: list[dict]) -> pa.RecordBatch:
-        ids = windows([r["bytes"] for r in rows], length)
+        ids = np.concatenate([windows([r.pop("bytes") for r in rows[s : s + ROWS]], length) for s in range(0, len(rows), ROWS)])
         n, m = ids.shape
         low, high = (np.array([r[c] for r in rows])[:, None] for c in ("low", "high"))
         d = np.arange(m)[None, :]
