@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 
-MEMO = 500_000
+MEMO = 700_000
 #: A full memo is emptied once so many parts weren't in it, in case the texts have changed.
 STALE = 10 * MEMO
 LONGEST = 20
@@ -43,6 +43,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.missed = 0
+        a = self.tokenizer.encode_batch_fast(["Á", "á"], add_special_tokens=False)
+        self.folds = a[0].ids == a[1].ids  # case doesn't matter to this file
         self.marks: dict[str, bytes] = {}
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         texts = [names.get(i, "") for i in range(max(names) + 1)]
@@ -67,15 +69,21 @@ class Encoder:
     def lacking(self, parts: set[str]) -> dict[str, bytes]:
         """The ids of " part" for parts that the memo lacks."""
         marked = {p: m for p in parts if (m := _MARKED.fullmatch(p))}
-        plain = {p for p in parts if p not in marked and _LETTERS.fullmatch(p)} | {m[1] for m in marked.values() if m[1] not in self.memo}
+        fold = str.lower if self.folds else str
+        plain = {p: fold(p) for p in parts if p not in marked and _LETTERS.fullmatch(p)}
+        stems = {p: fold(m[1]) for p, m in marked.items()}
         rest = [p for p in parts if p not in marked and p not in plain]
-        words = list(plain)
+        memo = self.memo
+        words = [w for w in {*plain.values(), *stems.values()} if w not in memo]
         got = dict(zip(words, self.words(words), strict=True))
-        got |= dict(zip(rest, self.encode([" " + p for p in rest]), strict=True))
+        for p, w in plain.items():
+            got[p] = got[w] if w in got else memo[w]
         for p, m in marked.items():
             if m[2] not in self.marks:
                 self.marks[m[2]] = self.encode([m[2]])[0]
-            got[p] = (got.get(m[1]) or self.memo[m[1]]) + self.marks[m[2]]
+            w = stems[p]
+            got[p] = (got[w] if w in got else memo[w]) + self.marks[m[2]]
+        got |= dict(zip(rest, self.encode([" " + p for p in rest]), strict=True))
         return got
 
     def all_ids(self, texts: list[str | None], end: int) -> Iterator[bytes]:
