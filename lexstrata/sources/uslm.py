@@ -193,7 +193,7 @@ def _parse(permissive: bool):
                 except UslmError as e:
                     if not permissive:
                         raise
-                    rows = [{"source": source, "error": {"code": e.code, "message": e.message}}]
+                    rows = [dict.fromkeys(_COLUMNS) | {"source": source, "error": {"code": e.code, "message": e.message}}]
                 for s in range(0, len(rows), CHUNK):
                     yield pd.DataFrame(rows[s : s + CHUNK], columns=_COLUMNS)
 
