@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, quality, shared, suffix, winnow
+from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, quality, shared, sql, suffix, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.judged(shared.documents(spark, sf_dir, "pages"), URL_RULES)
+    return linkgraph.judged(shared.documents(spark, sf_dir, "pages"), URL_RULES).drop("distrust_share")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filters": sql.op5(URL_RULES), "op9_decontamination": sql.OP9, "op10_ngram_jaccard_join": sql.OP10}
