@@ -8,7 +8,7 @@ Evidence for the language of a page, combined as log-probabilities:
   host      P(language | host), smoothed towards its domain, which is smoothed towards all pages
 
 The tables of the last three are grouped counts over all pages, labelled by the text alone where the text is decisive. The
-trigram models are fitted to the TRAIN_ROWS labelled documents whose ids hash lowest (a bound on the sample, documented here);
+trigram models are fitted to about TRAIN_ROWS labelled documents chosen by the hash of their ids (the bound is a parameter);
 everything else uses every row.
 
 Defined results: a page without text gets its language from the other evidence; a null html or url is empty; a null or unknown
@@ -73,8 +73,12 @@ class Models:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Models:
-    sample = docs.where("text IS NOT NULL AND lang IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(rows)
-    return Models([(r.text, r.lang) for r in sample.select("text", "lang").collect()])
+    """Fitted to about `rows` labelled texts, two times as many at most: those whose ids hash into a share of the hash range."""
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
+    n, steps = known.count(), 1 << 20
+    share = min(steps, rows * steps // max(n, 1) + 1)
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text", "lang").limit(2 * rows)
+    return Models(sorted((r.text, r.lang) for r in sample.collect()))
 
 
 def _read(models: Models):
@@ -93,7 +97,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     models = train(docs)
     langs = models.langs
     host, _ = host_and_path(F.col("url"))
-    read = pages.select("page_id", "html", host.alias("host")).mapInArrow(_read(models), "page_id long, host string, declared string, text array<double>")
+    read = shared.text_batches(pages).select("page_id", "html", host.alias("host")).mapInArrow(_read(models), "page_id long, host string, declared string, text array<double>")
     if not langs:
         none = F.lit(None)
         return read.select("page_id", "host", "declared", none.cast("string").alias("lang"), none.cast("double").alias("confidence"), none.cast("string").alias("text_lang"))
