@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 
-MEMO = 700_000
+MEMO = 350_000
 #: A full memo is emptied once so many parts weren't in it, in case the texts have changed.
 STALE = 10 * MEMO
 LONGEST = 20

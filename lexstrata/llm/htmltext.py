@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import shared
+
 TRAIN_PAGES = 700
 EPOCHS = 14
 PATH_BINS = 96
@@ -393,4 +395,4 @@ def _extract(model: Labeller):
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its length of every page."""
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(_extract(trained()), "page_id long, url string, text string, n_chars long")
+    return shared.text_batches(pages).selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(_extract(trained()), "page_id long, url string, text string, n_chars long")

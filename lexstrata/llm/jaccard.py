@@ -211,7 +211,7 @@ def _may_link(percent: int):
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = shared.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ranks(docs, shingle)
     rows = shared.written(docs.mapInArrow(_features(order, shingle, percent), FEATURES), "features")
     sketches = ["k0", "k1", "k2", "k3"]

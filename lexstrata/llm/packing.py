@@ -51,7 +51,7 @@ def _cut(path: str, end: int, capacity: int):
 
 def pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """The ids of each text and the end id, cut into pieces of `capacity`; the first piece takes what remains."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(path, end, capacity), PIECES)
+    return shared.text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(path, end, capacity), PIECES)
 
 
 class Plan:

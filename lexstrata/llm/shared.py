@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TEXT_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. A local one is made only where the session names none (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,10 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """Texts are long: Arrow batches hold TEXT_ROWS rows where the session has the default of 10,000. Returns df."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def packed(df: DataFrame) -> DataFrame:
     """All columns in one struct `r`, so that added columns can't clash with the caller's names."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
+    return text_batches(df).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))

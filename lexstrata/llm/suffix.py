@@ -87,7 +87,7 @@ def _anchors(length: int, gram: int):
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text, and a key: a hash of both; doc is doc_id without nulls."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shared.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text")
 
 

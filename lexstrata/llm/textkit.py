@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text per numpy batch; the uint64 arrays of a batch take about 50 times as much at the peak.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 _BASE = 6364136223846793005
 _U = np.uint64
