@@ -4,7 +4,7 @@ The pre-tokenizers of the byte-level and of the word-end BPE files never join te
 or Latin character follows: a pre-token can begin with that space, never contain it. So a text may be cut before such
 spaces and each part encoded alone; the ids are those of the whole text. Parts repeat (they are mostly single words), so each
 worker keeps a memo of at most MEMO parts, and encodes what a run of texts lacks in a few calls. Any other white space stays
-inside a part.
+inside a part, but for newlines where the file takes all white space as one space.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ RUN_CHARS = 1 << 19
 _SAFE = re.compile(r" (?=[!-~À-ÖØ-öø-ÿ])")
 _OTHER = re.compile(r" (?![!-~À-ÖØ-öø-ÿ])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Letters, then one punctuation mark: two pre-tokens.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?])")
+#: Letters, then a few punctuation marks (no apostrophe): two pre-tokens.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?#$%&*]{1,3})")
 
 
 @cache
@@ -45,6 +45,8 @@ class Encoder:
         self.missed = 0
         a = self.tokenizer.encode_batch_fast(["Á", "á"], add_special_tokens=False)
         self.folds = a[0].ids == a[1].ids  # case doesn't matter to this file
+        a = self.tokenizer.encode_batch_fast(["a b", "a\nb", "a \n\n b"], add_special_tokens=False)
+        self.blanks = a[0].ids == a[1].ids == a[2].ids  # any white space is as good as one space
         self.marks: dict[str, bytes] = {}
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         texts = [names.get(i, "") for i in range(max(names) + 1)]
@@ -103,6 +105,10 @@ class Encoder:
         heads = []
         for text in texts:
             if text:
+                if self.blanks:
+                    text = text.replace("\n", " ")
+                    while "  " in text:
+                        text = text.replace("  ", " ")
                 own = _SAFE.split(text) if _OTHER.search(text) else text.split(" ")
                 heads.append(own[0])
                 own[0] = ""
