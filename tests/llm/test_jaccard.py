@@ -6,11 +6,11 @@ import pytest
 from lexstrata.llm import graph, jaccard
 
 
-def naive(docs, percent=90):
+def naive(docs, percent=90, shingle=3):
     sets = []
     for _, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set())
     root = list(range(len(docs)))
 
     def find(i):
