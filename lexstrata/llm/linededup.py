@@ -58,9 +58,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("r", F.col("r.doc_id").cast("long").alias("doc"), F.xxhash64("r.doc_id", "r.text").alias("key"), text.alias("text"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """doc, key, text without repeated rows; only rows whose key may stand twice are shuffled."""
+    twice = rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = _marked(rows, "key", shared.written(_cells(twice.select(F.col("key").alias("h"))), "repeated-cells"))
+    return rows.where("NOT may").drop("may").unionByName(rows.where("may").drop("may").distinct())
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """doc, key, pos, norm, node of every line that has a character."""
-    rows = _rows(docs).select("doc", "key", "text")
+    rows = _once(_rows(docs).select("doc", "key", "text"))
     lines = rows.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("low", F.trim(F.lower("line")))
     lines = lines.select("doc", "key", "pos", normalised(F.col("low")).alias("norm")).where("norm != ''")
     return lines.withColumn("node", F.xxhash64("norm"))

@@ -95,6 +95,22 @@ def test_edge_cases(spark):
     assert run(docs.limit(0)) == []
 
 
+def test_repeated_row_and_near_line(spark):
+    rng = random.Random(7)
+    words = [f"w{i}{chr(97 + i % 26)}" for i in range(300)]
+    rows = []
+    while len(rows) < 24:
+        line = rng.choices(words, k=40)
+        near = [*line[:20], rng.choice(words), *line[21:]]
+        if line != near and (simhash(" ".join(line)) ^ simhash(" ".join(near))).bit_count() <= 2:
+            i = len(rows)
+            rows += [(i, " ".join(line))] * 2 + [(i + 1, " ".join(near))]
+    want = naive(rows)
+    assert sum(text == "" for _, text in want) == len(rows) // 3
+    assert run(rows_table := spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert linededup.hashed(linededup.numbered(rows_table)).where("n != 40").count() == 0
+
+
 def test_plan_has_no_python(spark, sf):
     plan = linededup.judged(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
