@@ -2,11 +2,12 @@
 
   1. Texts are cut into lines at newlines; a line is normalised (lower case, white space runs as one space, trimmed). Lines
      without a character left are no lines here: they are never removed.
-  2. Equal normalised lines are one node, named by a 64-bit hash. Each line gets a 60-bit SimHash of its words of two
-     characters or more (a separator may be half of all words): words are exploded and summed per line in lanes of LANE bits,
-     so hashing runs in generated code and is combined before the shuffle. It also gets the parity of its words in 128 cells.
-  3. The SimHash is cut into BLOCKS blocks. Of two hashes that differ in DISTANCE bits, at least BLOCKS - DISTANCE blocks are
-     equal (pigeonhole), so lines meet in the lists of each choice of KEYED blocks.
+  2. Equal normalised lines are one node, named by a 64-bit hash. Of each line the words are counted, and the parity of its words
+     in 128 cells is kept.
+  3. Lines meet on rare word pairs: of the pairs of neighbouring words, brought into one fixed order with rare ones first, each
+     line enters the lists of as many as edits can destroy, and one more (see `prefix`). Two lines that are similar enough share one
+     of these whatever the order is; the order (pairs that are not frequent in a sample of lines, then long pairs, then by hash)
+     only keeps lists short.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
      are not in the pivot's component are held against the list's lines in other components. So components are whole, and no
      pairs within one are made. Lengths and parities drop pairs that can't be similar (an edit of one word changes two
@@ -15,7 +16,7 @@
      word becomes one of 20,480 characters by hash, so that the built-in distance runs over words.
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
 
-Lines of fewer than LEAST_WORDS words are too short for a SimHash; equal ones are found all the same.
+Lines of fewer than LEAST_WORDS words are only held equal, never similar.
 
 Defined results: a null text stays null, an empty one stays as it is; a text may lose all its lines and is then empty. Repeated
 rows count as one document, each row gets the same result. Rows without doc_id come first in order. An empty table gives an
@@ -24,23 +25,17 @@ empty result. All columns, whatever their names, stay as they are but for the te
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .graph import components
 
-DISTANCE = 2
-BLOCKS = ((0, 15), (15, 15), (30, 15), (45, 15))
-KEYED = 2
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Four counters of so many bits in a long, its sign never touched: exact for lines of less than 2 ** (LANE - 1) words. Longer
-#: ones get some other, equally reproducible hash; they are found by equality all the same.
-LANE = 15
-ONES = sum(1 << LANE * k for k in range(4))
+#: One line in SAMPLE is looked at for frequent pairs, of which FREQUENT are known at most.
+SAMPLE = 64
+FREQUENT = 1000
 #: Cells of 64 bits of the bitmaps of hashes: a fixed size, so they can be broadcast at any scale.
 CELLS = 1 << 17
 
@@ -74,35 +69,47 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def hashed(lines: DataFrame) -> DataFrame:
-    """doc, key, pos, node, n (words), sim and the parities even0, even1 of every line."""
+    """doc, key, pos, node, n (words) and the parities even0, even1 of every line."""
     words = lines.select("doc", "key", "pos", "node", F.explode(F.split("norm", " ")).alias("word"))
-    words = words.select("doc", "key", "pos", "node", F.xxhash64("word").alias("h"), (F.length("word") > 1).alias("long"))
-    words = words.withColumn("g", F.when(F.col("long"), F.col("h")))
-    lane = lambda j: F.sum(F.shiftrightunsigned("g", j).bitwiseAND(F.lit(ONES)))
+    words = words.select("doc", "key", "pos", "node", F.xxhash64("word").alias("h"))
     cell = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     half = F.col("h").bitwiseAND(F.lit(64)) == 0
     even = [F.coalesce(F.bit_xor(F.when(half if k == 0 else ~half, cell)), F.lit(0)).alias(f"even{k}") for k in (0, 1)]
-    sums = words.groupBy("key", "pos", "node").agg(F.first("doc").alias("doc"), F.count("*").alias("n"), F.count("g").alias("m"), *even, *(lane(j).alias(f"l{j}") for j in range(LANE)))
-    # a counter over half of m carries into the top bit of its lane
-    carry = (F.lit(1 << LANE - 1) - F.expr("m div 2") - 1).bitwiseAND(F.lit((1 << LANE - 1) - 1)) * F.lit(ONES)
-    tops = F.lit(ONES << LANE - 1)
-    sim = F.lit(0).cast("long")
-    for j in range(LANE):
-        over = F.col(f"l{j}").bitwiseAND(F.lit(ONES * ((1 << LANE - 1) - 1))) + F.col("carry")
-        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over.bitwiseAND(tops), LANE - 1), j))
-    sums = sums.withColumn("carry", carry)
-    return sums.select("doc", "key", "pos", "node", "n", sim.alias("sim"), "even0", "even1")
-
-
-def block_keys(sim: str) -> Column:
-    block = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << size) - 1)) for at, size in BLOCKS]
-    keys = []
-    for i, own in enumerate(combinations(range(len(BLOCKS)), KEYED)):
-        key = F.lit(i).cast("long")
-        for b in own:
-            key = F.shiftleft(key, BLOCKS[b][1]).bitwiseOR(block[b])
-        keys.append(key)
-    return F.array(*keys)
+    return words.groupBy("key", "pos", "node").agg(F.first("doc").alias("doc"), F.count("*").alias("n"), *even).select("doc", "key", "pos", "node", "n", "even0", "even1")
+
+
+def most_edits(n: Column) -> Column:
+    """Of two similar lines, the longer one of n words."""
+    return F.floor(n * round(1 - SIMILARITY, 6))
+
+
+def word_pairs(norm: str) -> Column:
+    """A long for each pair of neighbouring words: long pairs are small, its lowest 56 bits are a hash."""
+    words, rest = F.split(norm, " "), F.size(F.split(norm, " ")) - 1
+    long = lambda x, y: F.shiftleft((F.lit(63) - F.least(F.length(x) + F.length(y), F.lit(63))).cast("long"), 56)
+    return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda x, y: long(x, y).bitwiseOR(F.xxhash64(x, y).bitwiseAND(F.lit((1 << 56) - 1))))
+
+
+def frequent_pairs(texts: DataFrame) -> list[int]:
+    """The most frequent pairs of a sample of the distinct lines, in any case a fixed number. Only the order depends on them."""
+    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("node", "norm").distinct()
+    some = some.where(F.size(F.split("norm", " ")) >= LEAST_WORDS).select(F.explode(F.array_distinct(word_pairs("norm"))).alias("pair"))
+    counts = some.groupBy("pair").agg(F.count("*").alias("lines")).where("lines > 2")
+    return [r.pair for r in counts.orderBy(F.desc("lines"), "pair").limit(FREQUENT).collect()]
+
+
+def prefix(norm: str, frequent: list[int]) -> Column:
+    """The first word pairs of a line.
+
+    Of two lines of n and n + k words that are similar, k of at most e = most_edits(n + k) edits insert words into the shorter one.
+    An insertion destroys one of its pairs, another edit two: together 2 e - k, the most of which over all k is at k = 0 or
+    k = 1. Of the longer one 2 e are destroyed at most. The first shared pair comes after destroyed ones only.
+    """
+    late = lambda x: F.when(x.isin(frequent), x.bitwiseOR(F.lit(1 << 62))).otherwise(x)
+    pairs = F.transform(word_pairs(norm), late) if frequent else word_pairs(norm)
+    n = F.size(F.split(norm, " "))
+    destroyed = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1)
+    return F.array_distinct(F.slice(F.array_sort(pairs), 1, (destroyed + 1).cast("int")))
 
 
 def _cells(hashes: DataFrame) -> DataFrame:
@@ -124,14 +131,18 @@ def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return _marked(rows, "node", cells).where("may").drop("may")
 
 
-SKETCH = ["n", "sim", "even0", "even1"]
+SKETCH = ["n", "even0", "even1"]
+
+
+def _apart() -> Column:
+    """Cells in which the parities of a pair (l, r) differ."""
+    return F.bit_count(F.col("l.even0").bitwiseXOR(F.col("r.even0"))) + F.bit_count(F.col("l.even1").bitwiseXOR(F.col("r.even1")))
 
 
 def _near() -> Column:
     """What a pair (l, r) must satisfy to be similar."""
-    apart = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")))
-    most = F.floor(F.greatest("l.n", "r.n") * round(1 - SIMILARITY, 6))
-    return (apart("sim") <= DISTANCE) & (F.greatest("l.n", "r.n") - F.least("l.n", "r.n") <= most) & (apart("even0") + apart("even1") <= 2 * most)
+    most = most_edits(F.greatest("l.n", "r.n"))
+    return (F.greatest("l.n", "r.n") - F.least("l.n", "r.n") <= most) & (_apart() <= 2 * most)
 
 
 def symbols(norm: str) -> Column:
@@ -158,13 +169,15 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = occurrences.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in SKETCH))
     lines = shared.written(lines, "distinct-lines")
 
-    keyed = lines.where(F.col("n") >= LEAST_WORDS).select("node", F.explode(block_keys("sim")).alias("block"))
-    common = keyed.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    keyed = texts.select("node", "norm").distinct().where(F.size(F.split("norm", " ")) >= LEAST_WORDS)
+    keyed = keyed.select("node", F.explode(prefix("norm", frequent_pairs(texts))).alias("block")).repartition("block")
+    # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
+    common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
     lists = shared.written(keyed.join(common, "block"), "common-blocks")
     lists = shared.written(lists.join(_among(lines.select("node", *SKETCH), lists), "node"), "blocks")
     pivots = shared.written(lists.groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("r")), "pivots")
     near = lists.join(pivots, "block").select(F.struct("node", *SKETCH).alias("l"), "r", "size").where((F.col("l.node") != F.col("r.node")) & _near())
-    near = shared.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.bit_count(F.col("l.sim").bitwiseXOR(F.col("r.sim"))).alias("apart"), "size"), "near")
+    near = shared.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
     stars = shared.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
     linked = shared.written(verified(stars, texts), "line-links")
     label = components(linked, "line-edges")

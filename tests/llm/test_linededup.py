@@ -111,6 +111,50 @@ def test_repeated_row_and_near_line(spark):
     assert linededup.hashed(linededup.numbered(rows_table)).where("n != 40").count() == 0
 
 
+def similar_only(docs):
+    """Kept texts by brute force on edit similarity alone; ids are distinct and not null."""
+    first = {}
+    for i, text in docs:
+        for pos, line in enumerate(text.split("\n")):
+            first.setdefault(norm(line), (i, pos))
+    nodes = list(first)
+    words = [x.split(" ") for x in nodes]
+    root = list(range(len(nodes)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, x in enumerate(words):
+        for j, y in enumerate(words[:k]):
+            most = int(max(len(x), len(y)) * 0.2)
+            if min(len(x), len(y)) >= 5 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                root[find(k)] = find(j)
+    keep = {}
+    for k, x in enumerate(nodes):
+        keep[find(k)] = min(keep.get(find(k), first[x]), first[x])
+    kept = set(keep.values())
+    return sorted(((i, "\n".join(x for pos, x in enumerate(text.split("\n")) if (i, pos) in kept)) for i, text in docs), key=str)
+
+
+def test_all_pairs_of_the_similarity(spark):
+    rng = random.Random(11)
+    words = [f"w{i}{chr(97 + i % 26)}" for i in range(60)]
+    rows = []
+    for n in [*range(5, 16), 19, 20, 24, 25, 33, 44, 60, 99, 100] * 2:
+        line = rng.choices(words, k=n)
+        near = list(line)
+        edits = (n + 1) // 5 if rng.random() < 0.5 else n // 5
+        for _ in range(edits):
+            at, kind = rng.randrange(len(near)), rng.random()
+            near[at : at + 1] = [rng.choice(words)] if kind < 0.5 else [near[at], rng.choice(words)] if kind < 0.8 else []
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
+    want = similar_only(rows)
+    assert sum(text == "" for _, text in want) > 20
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_plan_has_no_python(spark, sf):
     plan = linededup.judged(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
