@@ -8,8 +8,8 @@ Evidence for the language of a page, combined as log-probabilities:
   host      P(language | host), smoothed towards its domain, which is smoothed towards all pages
 
 The tables of the last three are grouped counts over all pages, labelled by the text alone where the text is decisive. The
-trigram models are fitted to about TRAIN_ROWS labelled documents chosen by the hash of their ids (the bound is a parameter);
-everything else uses every row.
+trigram models are fitted to about TRAIN_ROWS labelled documents, an even part from each language, chosen by a hash (the bound is a
+parameter); the languages are counted over all rows, and everything else uses every row.
 
 Defined results: a page without text gets its language from the other evidence; a null html or url is empty; a null or unknown
 declared language is evidence like any other value; without any labelled document the language is null; repeated rows get a row
@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from .linkgraph import host_and_path
 
 TRAIN_ROWS = 3000
+#: Of each language, whatever its share.
+LEAST_ROWS = 64
 BUCKETS = 1 << 13
 TEMPER = 0.05
 #: A text decides alone if the best language leads by so much (log-odds, tempered).
@@ -73,11 +75,17 @@ class Models:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Models:
-    """Fitted to about `rows` labelled texts, two times as many at most: those whose ids hash into a share of the hash range."""
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    n, steps = known.count(), 1 << 20
-    share = min(steps, rows * steps // max(n, 1) + 1)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text", "lang").limit(2 * rows)
+    """Fitted to labelled texts of every language there is: of each about its even part of `rows`, LEAST_ROWS if that is more, and
+    two times as many at most. They are those of the smallest hashes; the smallest one is always among them."""
+    steps = 1 << 30
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).alias("h"))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    if not langs:
+        return Models([])
+    part = max(LEAST_ROWS, rows // len(langs))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, max(r.least, part * steps // r.n)) for r in langs], "lang string, bound long")
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    sample = known.join(F.broadcast(bounds), "lang").where("h <= bound").withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * part).select("text", "lang")
     return Models(sorted((r.text, r.lang) for r in sample.collect()))
 
 

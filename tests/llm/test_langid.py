@@ -43,3 +43,10 @@ def test_posterior_by_hand(spark):
     host = [(2 + 5 * domain[0]) / 8, (1 + 5 * domain[1]) / 8]
     odds = [(0.5 / 7) * (2.5 / 7) * host[0], (1.5 / 6) * (1.5 / 6) * host[1]]
     assert got[4].lang == "bb" and abs(got[4].confidence - odds[1] / sum(odds)) < 1e-5
+
+
+def test_rare_language_has_a_model(spark):
+    big = spark.range(40000).selectExpr("id AS doc_id", "concat('the house and the tree ', id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    rare = spark.range(2).selectExpr("id + 50000 AS doc_id", "'le chat et la souris' AS text", "'fr' AS lang")
+    models = langid.train(big.unionByName(rare), rows=100)
+    assert models.langs == ["de", "en", "fr"]
