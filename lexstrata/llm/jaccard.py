@@ -1,11 +1,12 @@
-"""Operator 10: n-gram Jaccard join by grouped prefixes.
+"""Operator 10: n-gram Jaccard join by prefix lists.
 
 A document is the set of its distinct word shingles (64-bit hashes). Two sets with Jaccard similarity t or more share one of
 their first n - ceil(t n) + 1 elements in any fixed order. The order used here puts rare shingles first: they are counted in
 BUCKETS hash buckets over all documents, and ordered by the logarithm of their bucket's count, then by hash.
 
   1. Equal sets form one class, named by its smallest doc_id.
-  2. Classes with the same prefix and size form one group; a group counts for as much as it has documents.
+  2. Each class stands in the list of each of its prefix elements. Classes with the same prefix and size are not joined as one
+     group: they only count together, by their documents, when a pivot is chosen.
   3. Star step: in the list of each prefix element the class of the largest group is the pivot; every class is held against the
      nearest of its pivots. That links most copies of a text with one comparison each.
   4. Rest: classes of a list that are not yet in the pivot's component are held against all classes of the list in
