@@ -12,16 +12,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, name: str = "edges") -> DataFrame:
+def components(tmp: shared.Scratch, edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the smallest node that edges lead to.
 
     Each round moves every neighbour of a node to the node's smallest neighbour, larger ones first, then smaller ones; it ends
     when a round changes nothing. The number of rounds grows with the logarithm of the longest chain. Edges are written to
-    the shared folder after each round. A node that very many edges share only has its minimum taken (combined before the
-    shuffle) and is joined, never gathered. Null ends are ignored.
+    the shared folder after each round, and the round's before deleted. A node that very many edges share only has its minimum
+    taken (combined before the shuffle) and is joined, never gathered. Null ends are ignored.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
-    now = shared.written(now, name)
+    now = tmp.written(now, name)
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = shared.written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        before, now = now, tmp.written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        tmp.drop(before)
         after = _state(now)
         if after == state:
             break

@@ -1,19 +1,23 @@
-"""Operator 10: n-gram Jaccard join by prefix lists.
+"""Operator 10: n-gram Jaccard join by grouped prefixes.
 
 A document is the set of its distinct word shingles (64-bit hashes). Two sets with Jaccard similarity t or more share one of
 their first n - ceil(t n) + 1 elements in any fixed order. The order used here puts rare shingles first: they are counted in
-BUCKETS hash buckets over all documents, and ordered by the logarithm of their bucket's count, then by hash.
+BUCKETS hash buckets over all documents, and ordered by their bucket's count, then by hash.
 
   1. Equal sets form one class, named by its smallest doc_id.
-  2. Each class stands in the list of each of its prefix elements. Classes with the same prefix and size are not joined as one
-     group: they only count together, by their documents, when a pivot is chosen.
-  3. Star step: in the list of each prefix element the class of the largest group is the pivot; every class is held against the
-     nearest of its pivots. That links most copies of a text with one comparison each.
-  4. Rest: classes of a list that are not yet in the pivot's component are held against all classes of the list in
-     other components. So no link between two components is missed, and no pairs within a component are made.
-  5. Candidates pass the size, position and parity filters, all of which only drop pairs that can't link: the symmetric
-     difference of two sets has at least as many elements as the parity sketches differ in bits. A small sketch goes
-     with the lists, a wide one is held against the pairs found there. What is left is verified on the full sets, computed again from the texts of the documents in question.
+  2. Classes with the same prefix and size collapse into one group, named by its smallest class. Lists of prefix elements hold
+     a row for each group, not for its members.
+  3. Star step: in the list of each prefix element the group with the most documents is the pivot; every group is held against
+     the nearest of its pivots. Expanded: each member is held against one class of the pivot, and one class of its own group.
+     That links most copies of a text with one comparison each.
+  4. Rest: group pairs of a list of which members are not yet in one component. A pair of groups comes up at its first common
+     element only, however many it shares, and passes the size, position and sketch filters; then it is expanded to the members
+     in different components. So no link between two components is missed, and no pairs within a component are made.
+  5. Expanded pairs are held against wide sketches, then verified on the full sets, computed again from the texts in question.
+
+The filters only drop pairs that can't link. At a first common element the overlap is at most what follows it, and one; the
+symmetric difference of two sets has at least as many elements as their parity sketches differ in bits. A group of several classes
+has no sketch of its own: its members' are compared when it is expanded.
 
 Defined results: a text without words, or null, has size 0 and is linked with nothing; a text of fewer words than a shingle is
 one shingle. A row without doc_id gets no links, and a null component. Rows that share a doc_id are one document; repeated rows
@@ -36,10 +40,12 @@ from .textkit import SPACED, Words, batches
 
 SHINGLE = 3
 PERCENT = 90
-#: Sizes that don't depend on the data: the counters of the shingle order, the parity sketch, the bitmap of wanted ids.
-BUCKETS = 1 << 17
+#: Sizes that don't depend on the data: the counters of the shingle order (in rows of CELL), the parity sketch.
+BUCKETS = 1 << 20
+CELL = 1 << 14
 SKETCH = 256
-WANTED_BITS = 1 << 23
+#: A bitmap of wanted ids has 16 bits for each; of more ids than this there is none, and the texts are joined with them.
+BITMAP_IDS = 1 << 24
 
 FEATURES = "doc_id long, n long, s1 long, s2 long, prefix array<long>, k0 long, k1 long, k2 long, k3 long, wide binary"
 
@@ -63,26 +69,43 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def _counts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of CELL counters each, in as many bytes as the largest one needs; rows of zeros are left out."""
+    for k, cell in enumerate(total.reshape(-1, CELL)):
+        if (most := int(cell.max())):
+            kind = np.min_scalar_type(most)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind.itemsize], pa.int32()), pa.array([cell.astype(kind).tobytes()], pa.binary())], ["cell", "width", "counts"])
+
+
 def _count(shingle: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in rows:
             for _, raw in batches(batch.column(0).to_pylist()):
-                for s in sets(raw, shingle):
-                    np.add.at(total, bucket_of(s), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
+                np.add.at(total, bucket_of(np.concatenate(sets(raw, shingle))), 1)
+        yield from _counts(total)
 
     return run
 
 
+def _sum(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}  # BUCKETS counters at most
+    for batch in rows:
+        for k, width, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            total.setdefault(k, np.zeros(CELL, np.int64))
+            total[k] += np.frombuffer(raw, f"<u{width}").astype(np.int64)
+    for k, cell in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([8], pa.int32()), pa.array([cell.tobytes()], pa.binary())], ["cell", "width", "counts"])
+
+
 def ranks(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """For each bucket the logarithm of its count over the mean, as a small integer: BUCKETS bytes, whatever the corpus."""
-    counts = docs.select("text").mapInArrow(_count(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(BUCKETS)
-    for b, n in counts.collect():  # at most BUCKETS rows
-        total[b] = n
-    return np.log2(total / max(total.mean(), 1e-9) + 1).astype(np.uint8)
+    """For each bucket a place that grows with its count: 2 * BUCKETS bytes, whatever the corpus."""
+    kinds = "cell int, width int, counts binary"
+    counts = docs.select("text").mapInArrow(_count(shingle), kinds).repartition("cell").mapInArrow(_sum, kinds)
+    total = np.zeros((BUCKETS // CELL, CELL))
+    for row in counts.select("cell", "counts").collect():  # BUCKETS counters
+        total[row.cell] = np.frombuffer(row.counts, "<i8")
+    return np.minimum(np.log2(total.ravel() + 1) * 1024, 65_535).astype(np.uint16)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -134,22 +157,22 @@ def _features(order: np.ndarray, shingle: int, percent: int):
     return run
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of WANTED_BITS bits at any size; it may let others pass, never drops one."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(WANTED_BITS))
+def _wanted(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of hashed ids; it may let others pass, never drops one."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits))
     cell = ids.select(F.floor(bit / 32768).alias("cell"), (bit % 32768).alias("bit")).groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(WANTED_BITS // 8, np.uint8)
-    for c, bits in cell.collect():  # WANTED_BITS / 32768 rows of 4096 bytes
-        out[c * 4096 : c * 4096 + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for row in cell.collect():  # bits / 32768 rows of 4096 bytes
+        out[row.cell * 4096 : row.cell * 4096 + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
     return out
 
 
-def _sets(bitmap: np.ndarray, shingle: int):
+def _sets(bitmap: np.ndarray | None, shingle: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            bit = batch.column(2).to_numpy()
-            keep = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7)) & 1)
-            batch = batch.take(pa.array(keep))
+            if bitmap is not None:
+                bit = batch.column(2).to_numpy()
+                batch = batch.take(pa.array(np.flatnonzero((bitmap[bit >> 3] >> (bit & 7)) & 1)))
             ids = batch.column(0).to_pylist()
             for lo, raw in batches(batch.column(1).to_pylist()):
                 own = sets(raw, shingle)
@@ -190,70 +213,121 @@ def sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_sift(percent), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class names whose sets link."""
-    pairs = shared.written(sifted(pairs, classes, percent), "sifted")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    bitmap = _wanted(nodes)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED_BITS)).alias("bit")).where("doc_id IS NOT NULL")
-    found = shared.written(rows.mapInArrow(_sets(bitmap, shingle), "node long, s1 long, elements binary"), "sets")
+def verified(tmp: shared.Scratch, pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of class names whose sets link, as a written table."""
+    pairs = tmp.written(sifted(pairs, classes, percent), "sifted")
+    nodes = tmp.written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    n = nodes.count()
+    bits = max(1 << 15, 1 << (16 * n).bit_length())
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("bit")).where("doc_id IS NOT NULL")
+    if n > BITMAP_IDS:
+        rows = rows.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    found = tmp.written(rows.mapInArrow(_sets(_wanted(nodes, bits) if n <= BITMAP_IDS else None, shingle), "node long, s1 long, elements binary"), "sets")
     own = found.join(nodes, "node").join(classes.select("node", "s1").distinct(), ["node", "s1"]).select("node", "elements")
     x, y = own.select(F.col("node").alias("a"), F.col("elements").alias("x")), own.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
+    out = tmp.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), name)
+    tmp.drop(pairs, nodes, found)
+    return out
+
+
+SKETCHES = ["k0", "k1", "k2", "k3"]
+
+
+def _apart():
+    """Bits in which the sketches of a pair (l, r) differ; null where one has none."""
+    return sum((F.bit_count(F.col(f"l.{k}").bitwiseXOR(F.col(f"r.{k}"))) for k in SKETCHES[1:]), F.bit_count(F.col("l.k0").bitwiseXOR(F.col("r.k0"))))
+
+
+def _need(percent: int):
+    """Common elements that a pair (l, r) must have to link."""
+    return F.expr(f"({percent} * (l.n + r.n) + {100 + percent} - 1) div {100 + percent}")
 
 
 def _may_link(percent: int):
-    """What a pair (l, r) must satisfy to link: sizes, positions of a common element, parity sketches."""
-    need = F.expr(f"({percent} * (l.n + r.n) + {100 + percent} - 1) div {100 + percent}")
-    apart = sum((F.bit_count(F.col(f"l.k{i}").bitwiseXOR(F.col(f"r.k{i}"))) for i in range(1, 4)), F.bit_count(F.col("l.k0").bitwiseXOR(F.col("r.k0"))))
-    common = F.least("l.pos", "r.pos") + 1 + F.least(F.expr("l.n - l.pos - 1"), F.expr("r.n - r.pos - 1"))
-    return (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (common >= need) & (apart <= F.col("l.n") + F.col("r.n") - 2 * need)
+    """What the sizes and sketches of a pair (l, r) must satisfy to link."""
+    close = F.coalesce(_apart() <= F.col("l.n") + F.col("r.n") - 2 * _need(percent), F.lit(True))
+    return (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & close
+
+
+def grouped(classes: DataFrame) -> DataFrame:
+    """A row for each group of classes of the same size and prefix: g, n, prefix, weight (documents), members, sketch of a lone class."""
+    own = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g"), F.sum("copies").alias("weight"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), *(F.min(k).alias(k) for k in SKETCHES))
+    return own.select("g", "n", "p1", "p2", "weight", "members", "prefix", *(F.when(F.col("members") == 1, F.col(k)).alias(k) for k in SKETCHES))
 
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = shared.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ranks(docs, shingle)
-    rows = shared.written(docs.mapInArrow(_features(order, shingle, percent), FEATURES), "features")
-    sketches = ["k0", "k1", "k2", "k3"]
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), *(F.first(k).alias(k) for k in [*sketches, "wide"]))
-    classes = shared.written(classes, "classes")
-
-    # lists of prefix elements that two classes or more share
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "element"))
-    common = entries.groupBy("element").agg(F.count("*").alias("df")).where("df > 1").select("element")
-    weight = classes.groupBy("n", F.xxhash64("prefix").alias("g")).agg(F.sum("copies").alias("weight"))
-    about = classes.select("node", "n", F.xxhash64("prefix").alias("g"), *sketches).join(weight, ["n", "g"]).select("node", F.col("n").alias("own"), "weight", *sketches)
-    lists = entries.join(common, "element").join(about.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") == F.col("own"))).select("element", "node", "n", "pos", "weight", *sketches)
-    lists = shared.written(lists, "lists")
-
-    pivots = lists.groupBy("element").agg(F.max(F.struct("weight", "node", "n", "pos", *sketches)).alias("p")).select("element", "p.*")
-    apart = sum((F.bit_count(F.col(f"l.k{i}").bitwiseXOR(F.col(f"r.k{i}"))) for i in range(1, 4)), F.bit_count(F.col("l.k0").bitwiseXOR(F.col("r.k0"))))
-    stars = lists.alias("l").join(pivots.alias("r"), "element").where((F.col("l.node") != F.col("r.node")) & _may_link(percent)).select(F.col("l.node").alias("a"), F.struct(apart.alias("apart"), F.col("r.node").alias("b")).alias("near"))
-    stars = shared.written(stars.groupBy("a").agg(F.min("near.apart").alias("apart"), F.min_by("near.b", "near").alias("b")).select("a", "b"), "stars")
-    linked = shared.written(verified(stars, docs, classes, shingle, percent), "links")
-    label = components(linked)
-
-    named = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = shared.written(named, "named")
-    center = named.groupBy("element").agg(F.max(F.struct("weight", "node", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("element", F.col("p.label").alias("center"))
-    open_ = named.join(center, "element")
-    left, right = open_.where("label != center").alias("l"), open_.alias("r")
-    rest = left.join(right, "element").where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _may_link(percent))
-    rest = shared.written(rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "rest")
-    links = linked.unionByName(verified(rest, docs, classes, shingle, percent))
-    label = components(links, "all-edges")
-
-    # from classes to documents
-    ids = classes.select("n", "s1", "s2", "node").join(label, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(ids, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with shared.scratch(docs.sparkSession) as tmp:
+        rows = tmp.written(docs.mapInArrow(_features(ranks(docs, shingle), shingle, percent), FEATURES), "features")
+        keys = [F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2")]
+        classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), *(F.first(k).alias(k) for k in [*SKETCHES, "wide"]))
+        classes = tmp.written(classes.select("*", *keys), "classes")
+        groups = tmp.written(grouped(classes), "groups")
+        # members of groups of several classes, but for the one that names the group
+        more = tmp.written(classes.join(groups.where("members > 1").select("n", "p1", "p2", "g"), ["n", "p1", "p2"]).where("node != g").select("node", "g"), "members")
+
+        # lists of prefix elements that two groups or more share
+        entries = groups.select("g", "n", F.posexplode("prefix").alias("pos", "element")).repartition("element")
+        # `least` keeps both sides of the join on one and the same exchange, so that the entries are made once
+        common = entries.groupBy("element").agg(F.count("*").alias("size"), F.min("g").alias("least")).where("size > 1 AND least IS NOT NULL").select("element")
+        entries = tmp.written(entries.join(common, "element"), "entries")
+        lists = tmp.written(entries.join(groups.select("g", "n", "weight", *SKETCHES), ["g", "n"]), "lists")
+        tmp.drop(entries)
+
+        pivots = lists.groupBy("element").agg(F.max(F.struct("weight", "g", "n", *SKETCHES)).alias("p")).select("element", "p.*")
+        stars = lists.alias("l").join(pivots.alias("r"), "element").where((F.col("l.g") != F.col("r.g")) & _may_link(percent))
+        stars = stars.select(F.col("l.g").alias("a"), F.struct(_apart().alias("apart"), F.col("r.g").alias("b")).alias("near"))
+        stars = tmp.written(stars.groupBy("a").agg(F.min("near").alias("near")).select("a", "near.b"), "stars")
+        spread = more.select(F.col("node").alias("a"), F.col("g").alias("b")).unionByName(more.join(stars, F.col("g") == F.col("a")).select(F.col("node").alias("a"), "b"))
+        linked = verified(tmp, stars.unionByName(spread), docs, classes, shingle, percent, "links")
+        label = components(tmp, linked)
+
+        # groups with the components that their members are in
+        of = lambda rows, node: rows.join(label.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left").withColumn("label", F.coalesce("label", node)).drop("_node")
+        others = of(more, "node").select("g", "label").distinct()
+        first = of(lists, "g")
+        named = first.unionByName(lists.join(others, "g").select(*first.columns).join(of(groups.select("g"), "g"), ["g", "label"], "left_anti").select(*first.columns))
+        named = tmp.written(named, "named")
+        center = named.groupBy("element").agg(F.max(F.struct("weight", "g", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("element", F.col("p.label").alias("center"))
+        open_ = named.join(center, "element").join(groups.select("g", "n", "prefix"), ["g", "n"]).withColumn("head", F.slice("prefix", F.lit(1), F.col("pos"))).drop("prefix")
+        open_ = tmp.written(open_, "open")
+        tmp.drop(lists, named)
+        left, right = open_.where("label != center").alias("l"), open_.alias("r")
+        after = 1 + F.least(F.expr("l.n - l.pos - 1"), F.expr("r.n - r.pos - 1"))
+        once = (F.col("r.label") == F.col("r.center")) | (F.col("l.g") < F.col("r.g")) | ((F.col("l.g") == F.col("r.g")) & (F.col("l.label") < F.col("r.label")))
+        rest = left.join(right, "element").where((F.col("l.label") != F.col("r.label")) & once & _may_link(percent) & (after >= _need(percent)) & ~F.arrays_overlap("l.head", "r.head"))
+        rest = tmp.written(rest.select(F.least("l.g", "r.g").alias("g"), F.greatest("l.g", "r.g").alias("h")).distinct(), "rest")
+        links = linked.unionByName(verified(tmp, expanded(tmp, rest, more, label, classes, percent), docs, classes, shingle, percent, "more-links"))
+
+        # a doc_id with several texts is one document
+        torn = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1")).alias("lo"), F.max(F.struct("n", "s1")).alias("hi")).where("lo != hi").select("doc_id")
+        own = rows.join(torn, "doc_id").join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        label = components(tmp, links.unionByName(own), "all-edges")
+
+        # from classes to documents
+        ids = classes.select("n", "s1", "s2", "node").join(label, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
+        out = rows.select("doc_id", "n", "s1", "s2").join(ids, ["n", "s1", "s2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return shared.written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "joined")
+
+
+def expanded(tmp: shared.Scratch, rest: DataFrame, more: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components, from pairs (g, h) of groups, which may be equal."""
+    several = more.select("g").distinct()
+    lone = rest.join(several.select("g"), "g", "left_anti").join(several.select(F.col("g").alias("h")), "h", "left_anti")
+    wide = rest.join(several, "g", "left_semi").unionByName(rest.join(several, "g", "left_anti").join(several.select(F.col("g").alias("h")), "h", "left_semi").select("g", "h"))
+    members = more.unionByName(several.select(F.col("g").alias("node"), "g")).unionByName(rest.select(F.explode(F.array("g", "h")).alias("g")).distinct().join(several, "g", "left_anti").select(F.col("g").alias("node"), "g"))
+    members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(classes.select("node", "n", *SKETCHES), "node")
+    members = tmp.written(members, "expanded")
+    pairs = wide.join(members.select("g", F.struct("node", "label", "n", *SKETCHES).alias("l")), "g").join(members.select(F.col("g").alias("h"), F.struct("node", "label", "n", *SKETCHES).alias("r")), "h")
+    pairs = pairs.where((F.col("l.label") != F.col("r.label")) & _may_link(percent))
+    return lone.select(F.col("g").alias("a"), F.col("h").alias("b")).unionByName(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns: the one whose doc_id names the group; rows without doc_id stay."""
-    own = shared.written(joined(docs, shingle, percent), "joined")
-    keep = own.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_kept")
+    keep = joined(docs, shingle, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_kept")
     rows = shared.packed(docs)
     kept = rows.join(keep, F.col("r.doc_id").cast("long") == F.col("_kept"), "left").where("r.doc_id IS NULL OR _kept IS NOT NULL")
     single = kept.where("_kept IS NULL OR n = 1").select("r")

@@ -180,7 +180,8 @@ def removed(docs: DataFrame) -> DataFrame:
     near = shared.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
     stars = shared.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
     linked = shared.written(verified(stars, texts), "line-links")
-    label = components(linked, "line-edges")
+    tmp = shared.Scratch(docs.sparkSession)
+    label = components(tmp, linked, "line-edges")
 
     # a list of two has no pair but the one with its pivot
     named = lists.where("size > 2").join(pivots.select("block", F.col("r.node").alias("center")), "block").drop("size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -193,7 +194,7 @@ def removed(docs: DataFrame) -> DataFrame:
     pairs = near.where("size = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = shared.written(rest.unionByName(pairs).distinct(), "rest")
-    label = components(linked.unionByName(verified(rest, texts)), "all-line-edges")
+    label = components(tmp, linked.unionByName(verified(rest, texts)), "all-line-edges")
 
     several = _among(lines.where("copies = 1").select("node", "first", "copies"), label).unionByName(lines.where("copies > 1").select("node", "first", "copies"))
     known = several.join(label, "node", "left").where("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))

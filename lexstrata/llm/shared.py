@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 TEXT_ROWS = 1000
+#: Spark's own setting: shuffle files go when the execution that made them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A local one is made only where the session names none (tests)."""
+    """The folder that all executors see. A local one is made only where the session names none and runs in one process (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lexstrata-")
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/lexstrata-{spark.sparkContext.applicationId}"
@@ -25,11 +30,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEAN, None)
+    try:
+        conf.set(_CLEAN, "true")  # nothing reads these shuffles again: the table is what stays
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEAN, before) if before else conf.unset(_CLEAN)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """The intermediate tables of one call of an operator. They go with the call; `written` (above) makes tables that stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = _write(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    tmp = Scratch(spark)
+    try:
+        yield tmp
+    finally:
+        tmp.drop(*(t for t, _ in list(tmp.paths.values())))
 
 
 def text_batches(df: DataFrame) -> DataFrame:

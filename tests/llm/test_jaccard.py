@@ -2,8 +2,9 @@ import random
 import re
 
 import cases
+import numpy as np
 import pytest
-from lexstrata.llm import graph, jaccard
+from lexstrata.llm import graph, jaccard, shared
 
 
 def naive(docs, percent=90, shingle=3):
@@ -70,7 +71,35 @@ def test_edge_cases(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "6", "8", "None"]
 
 
+def test_groups_of_one_prefix(spark, monkeypatch):
+    """Classes of equal prefix and size, linked or not, are one row in the lists and lose no link when expanded."""
+    monkeypatch.setattr(jaccard, "bucket_of", lambda h: np.zeros(len(h), np.int64))
+    rows = [(3 * i + k, " ".join(f"{x}{j}" for j in range(40)) + f" z{i % 4} {'y' * k}") for i, x in enumerate("abcabcabc") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs, shingle=1, percent=95) == naive(rows, shingle=1, percent=95)
+    features = "n long, p1 long, p2 long, node long, copies long, prefix array<long>, k0 long, k1 long, k2 long, k3 long"
+    classes = spark.createDataFrame([(9, 1, 1, d, 2, [5, 6], d, 0, 0, 0) for d in (4, 3)] + [(9, 1, 2, 7, 1, [5, 8], 1, 0, 0, 0)], features)
+    got = sorted((r.g, r.weight, r.members, r.k0) for r in jaccard.grouped(classes).collect())
+    assert got == [(3, 4, 2, None), (7, 1, 1, 1)]
+
+
+def test_many_texts_with_one_passage(spark):
+    """Texts that share a passage and don't link: each pair of groups comes up once at most, whatever it shares."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"x{rng.randrange(10**6)}" for _ in range(30)])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == naive(rows) and all(d == c for d, _, c in run(docs))
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(3, "one two three four"), (5, "one two three four"), (5, "six seven eight nine"), (8, "six seven eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == naive(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
-    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    with shared.scratch(spark) as tmp:
+        got = dict(map(tuple, graph.components(tmp, spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
