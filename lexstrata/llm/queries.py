@@ -45,7 +45,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removed(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    done = suffix.removed(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may fall inside a character
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("kept_text"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Operator 7: removal of repeated byte strings by bucket-pointer refinement.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Sorting every suffix of a corpus would
-shuffle a row per byte. Here the suffixes that are sorted into buckets are chosen by content: of the GRAM-grams of each LENGTH-byte
+shuffle a row per byte. Here the suffixes that are dealt into buckets are chosen by content: of the GRAM-grams of each LENGTH-byte
 window the one with the smallest hash (leftmost of equals) is the window's anchor, so equal windows have equal anchors at
-equal offsets, and about one suffix in 160 is kept.
+equal offsets, and about one suffix in 160 is shuffled.
 
   1. Initial buckets: anchors by the hash of their GRAM bytes. Buckets of one anchor are done: none of its windows repeats.
-  2. Refinement by later offsets: each anchor carries the identifier of its whole context (all bytes that any window through
-     it covers). Anchors with the same identifiers repeat in all their windows, and need no further work; one of them stands
-     for them from here on.
-  3. What is left are contexts that differ somewhere (the ends of repeated passages). Within its bucket each window through the
-     anchor gets an identifier; windows whose identifiers meet repeat. Buckets up to SPLIT contexts are refined side by
-     side in tasks; larger ones by grouping (bucket, offset, identifier) over the cluster, so no bucket is one task's work.
-  4. Spans of repeated windows are joined per document and cut out.
-
-Strings never cross documents, are judged on the input, and overlaps count. Identifiers are 64-bit hashes.
+  2. Anchors of a bucket with the same context (all bytes that any window through them covers) repeat in all their windows; one of
+     them stands for them from here on.
+  3. Refinement: what is left are contexts that differ somewhere (the ends of repeated passages). All their suffixes get a bucket
+     by their first 8 bytes. A bucket of q bytes is split by sorting on pairs of bucket numbers: the suffix's own, and that of
+     the suffix q bytes later. The new numbers stand for 2 q bytes and are used again in the next round, until they stand for
+     LENGTH bytes. A suffix alone in its bucket is done, and ends those that point to it. Numbers are ranks of the bytes
+     themselves, not hashes. Each task refines whole initial buckets side by side.
+  4. Initial buckets of more than SPLIT contexts are refined over the cluster instead, by the same rule with hashed numbers: those
+     of GRAM bytes are combined with the numbers at later offsets up to LENGTH bytes, and grouped.
+  5. Spans of repeated windows are joined per document and cut out.
+
+Strings never cross documents, are judged on the input, and overlaps count. Hashes are 64-bit, and meet only inside a
+bucket of an equal 64-bit hash.
 
 Defined results: a null or empty text has 0 bytes; texts shorter than LENGTH keep all; of repeated rows each counts, so both
 lose all that is LENGTH bytes or longer; rows without doc_id are rows like others; an empty table gives an empty result; extra
@@ -23,7 +27,6 @@ columns are dropped.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .textkit import batches, inverse_powers, mix, prefix_hash, sliding_min, span_hash
+from .textkit import batches, mix, prefix_hash, sliding_min, span_hash
 
 LENGTH = 400
 GRAM = 80
-#: Largest bucket that one task refines: with all window identifiers some 150 MB.
-SPLIT = 16_384
-#: Contexts whose window identifiers are computed at once.
+#: Largest bucket that one task refines: some 200 MB.
+SPLIT = 2048
+#: Contexts that are refined at once, unless their bucket is larger.
 ROWS = 512
-#: Cells of 64 bits of the bitmap of documents that must be read again: a fixed size.
-CELLS = 1 << 17
+#: Bytes of the first bucket numbers of the refinement.
+FIRST = 8
 
 ANCHORS = "key long, doc long, pos long, gram long, context long, low int, high int"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
@@ -91,16 +94,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text")
 
 
-def _of(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among some keys (all that are, few others), and the rest."""
-    at = F.pmod(F.col("key"), F.lit(CELLS * 64))
-    cell, bit = (at / 64).cast("long").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-    cells = shared.written(keys.select(cell, bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")), "cells")
-    marked = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left")
-    may = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
-    return marked.where(may).drop("cell", "bits"), marked.where(~may).drop("cell", "bits")
-
-
 def _contexts(length: int, gram: int):
     w = length - gram + 1
 
@@ -125,42 +118,78 @@ def _contexts(length: int, gram: int):
 CONTEXTS = "gram long, key long, doc long, pos long, low int, high int, edge boolean, large boolean, bytes binary"
 
 
-def windows(raw: list[bytes], length: int) -> np.ndarray:
-    """Identifiers of the windows of some contexts: column d is the window that starts d bytes before the anchor."""
-    b = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    n = b.shape[1]
-    c = np.zeros((len(raw), n + 1), np.uint64)
-    one = prefix_hash(np.zeros(n, np.uint8))  # of zeros: the sums of the powers
-    power = np.diff(one)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, axis=1, out=c[:, 1:])
-    s = np.arange(n - length, -1, -1)
-    return mix((c[:, s + length] - c[:, s]) * inverse_powers(n + 1)[s])
+def matrix(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def repeats(b: np.ndarray, needed: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """At which `starts` in the rows of b a string of `length` bytes begins that begins at another of them, too.
+
+    needed: the places where a suffix gets a bucket at all. Contexts of one document overlap, so of the last round only the
+    starts take part: each window of a text is a start in one context.
+    """
+    n, m = b.shape
+    q = min(FIRST, length)
+    number = np.full(n * m, -1)  # of the bucket of each suffix; -1: alone, or not looked at
+    at = np.flatnonzero((needed if q < length else starts)[:, : m - q + 1])
+    at = at // (m - q + 1) * m + at % (m - q + 1)
+    key = np.zeros(len(at), np.uint64)
+    for k in range(q):
+        key = key << np.uint64(8) | b.ravel()[at + k]
+    while len(at):
+        order = np.argsort(key)
+        other = key[order][1:] != key[order][:-1]
+        first, last = np.concatenate(([True], other)), np.concatenate((other, [True]))
+        stay = ~(first & last)
+        rank = np.cumsum(first)
+        number[at] = -1
+        at = at[order[stay]]
+        number[at] = rank[stay]
+        if q == length:
+            break
+        step = min(q, length - q)
+        at = at[at % m + step + q <= m]
+        if q + step == length:
+            at = at[starts.ravel()[at]]
+        later = number[at + step]
+        at, later = at[later >= 0], later[later >= 0]
+        key = number[at] * (int(rank[-1]) + 1) + later
+        alone = number
+        number = np.full(n * m, -1)
+        number[at] = alone[at]
+        q += step
+    return number.reshape(n, m) >= 0
+
+
+def windows(raw: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Hashed bucket numbers of the windows of some contexts: column d is the window that starts d bytes before the anchor."""
+    b = matrix(raw)
+    n, m = b.shape
+    c = prefix_hash(np.concatenate((b, np.zeros((n, 1), np.uint8)), axis=1).ravel())
+    at = np.arange(n)[:, None] * (m + 1) + np.arange(m - gram + 1)[None, :]
+    ids, q = span_hash(c, at, at + gram), gram
+    while q < length:
+        step = min(q, length - q)
+        ids = mix(ids[:, :-step] * np.uint64(3) + mix(ids[:, step:]))
+        q += step
+    return ids[:, m - length :: -1]
 
 
 def _refine(length: int):
     """Rows sorted by bucket: the spans of the windows of edges that another context of the bucket has too."""
 
     def spans(rows: list[dict]) -> pa.RecordBatch:
-        ids = np.concatenate([windows([r.pop("bytes") for r in rows[s : s + ROWS]], length) for s in range(0, len(rows), ROWS)])
-        n, m = ids.shape
-        low, high = (np.array([r[c] for r in rows])[:, None] for c in ("low", "high"))
-        d = np.arange(m)[None, :]
-        own = (d >= low) & (d <= high)
-        i, k = np.nonzero(own)
-        bucket = np.array([r["gram"] for r in rows]).view(np.uint64)[i]
-        full = mix(ids[i, k] + mix(bucket * np.uint64(3) + k.astype(np.uint64)))
-        order = np.argsort(full, kind="stable")
-        same = full[order][1:] == full[order][:-1]
-        hit = np.zeros(len(full), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        twice = np.zeros((n, m), bool)
-        twice[i[hit], k[hit]] = True
+        b = matrix([r.pop("bytes") for r in rows])
+        n, m = b.shape
+        low, high, anchor = np.array([r["low"] for r in rows])[:, None], np.array([r["high"] for r in rows])[:, None], m - length
+        place = np.arange(m)[None, :]
+        starts = (place >= anchor - high) & (place <= anchor - low)
+        twice = repeats(b, (place >= anchor - high) & (place < anchor - low + length), starts, length)
         out = []
         for j in np.flatnonzero(twice.any(axis=1)).tolist():
             if rows[j]["edge"]:
-                on = np.flatnonzero(np.diff(np.concatenate(([0], twice[j].view(np.int8), [0]))))
-                out += [(rows[j]["key"], rows[j]["doc"], rows[j]["pos"] - int(e) + 1, rows[j]["pos"] - int(s) + length) for s, e in zip(on[::2], on[1::2], strict=True)]
+                on = np.flatnonzero(np.diff(np.concatenate(([0], twice[j].view(np.int8), [0])))) - anchor + rows[j]["pos"]
+                out += [(rows[j]["key"], rows[j]["doc"], int(s), int(e) - 1 + length) for s, e in zip(on[::2], on[1::2], strict=True)]
         cols = zip(*out, strict=True) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "doc", "start", "stop"])
 
@@ -180,12 +209,12 @@ def _refine(length: int):
     return run
 
 
-def _explode(length: int):
+def _explode(length: int, gram: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for s in range(0, batch.num_rows, ROWS):
                 own = batch.slice(s, ROWS).to_pylist()
-                ids = windows([r["bytes"] for r in own], length).view(np.int64)
+                ids = windows([r["bytes"] for r in own], length, gram).view(np.int64)
                 for j, r in enumerate(own):
                     d = np.arange(r["low"], r["high"] + 1)
                     n = len(d)
@@ -194,29 +223,30 @@ def _explode(length: int):
     return run
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
+def repeated(tmp: shared.Scratch, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """key, doc, start and stop of spans of repeated windows; spans of a document may overlap or touch."""
     rows = _rows(docs)
-    found = shared.written(rows.select("key", "doc", "text").mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
-    more = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    found = shared.written(found.join(more, "gram"), "repeated-anchors")
+    found = tmp.written(rows.select("key", "doc", "text").mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
+    # the small side of each join is a table of its own, so that a bucket of very many anchors can be split
+    more = tmp.written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "buckets")
+    first, found = found, tmp.written(found.join(more, "gram"), "repeated-anchors")
+    tmp.drop(first, more)
     own = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "doc", "pos", "low", "high")).alias("first"))
-    own = shared.written(own, "contexts")
-    whole = found.join(own.where("n > 1").select("gram", "context"), ["gram", "context"]).select("key", "doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop"))
+    own = tmp.written(own, "contexts")
+    equal = tmp.written(own.where("n > 1").select("gram", "context"), "equal-contexts")
+    whole = found.join(equal, ["gram", "context"]).select("key", "doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop"))
 
-    sizes = own.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = own.join(sizes, "gram").select("first.*", "gram", (F.col("n") == 1).alias("edge"), (F.col("m") > split).alias("large"))
+    sizes = tmp.written(own.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    open_ = tmp.written(own.join(sizes, "gram").select("first.*", "gram", (F.col("n") == 1).alias("edge"), (F.col("m") > split).alias("large")), "open-contexts")
     at = open_.groupBy("key", "doc").agg(F.collect_list(F.struct("gram", "pos", "low", "high", "edge", "large")).alias("at"))  # within one text
-    at = shared.written(at, "open")
-    again, _ = _of(rows.select("key", "doc", "text"), at)
-    contexts = again.dropDuplicates(["key", "doc"]).join(at, ["key", "doc"]).mapInArrow(_contexts(length, gram), CONTEXTS)
-    contexts = shared.written(contexts, "context-bytes")
-
-    small = contexts.where("NOT large")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = small.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_refine(length), "key long, doc long, start long, stop long")
-    ids = contexts.where("large").mapInArrow(_explode(length), "gram long, d long, id long, key long, doc long, start long, edge boolean")
-    twice = ids.groupBy("gram", "d", "id").agg(F.count("*").alias("n")).where("n > 1").select("gram", "d", "id")
+    at = tmp.written(at, "open")
+    again = shared.marked(tmp, rows.select("key", "doc", "text"), "key", at.select(F.col("key").alias("h"))).where("may")
+    contexts = again.dropDuplicates(["key", "doc"]).join(at, ["key", "doc"]).select("key", "doc", "text", "at").mapInArrow(_contexts(length, gram), CONTEXTS)
+    contexts = tmp.written(contexts, "context-bytes")
+
+    small = contexts.where("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine(length), "key long, doc long, start long, stop long")
+    ids = contexts.where("large").mapInArrow(_explode(length, gram), "gram long, d long, id long, key long, doc long, start long, edge boolean")
+    twice = tmp.written(ids.groupBy("gram", "d", "id").agg(F.count("*").alias("n")).where("n > 1").select("gram", "d", "id"), "repeated-windows")
     large = ids.where("edge").join(twice, ["gram", "d", "id"]).select("key", "doc", "start", (F.col("start") + length).alias("stop"))
     return whole.unionByName(small).unionByName(large)
 
@@ -234,17 +264,18 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = max(at, x["stop"])
             kept.append(raw[at:])
             rest = b"".join(kept)
-            out.append((doc, len(raw), len(raw) - len(rest), n, hashlib.sha256(rest).hexdigest()))
+            out.append((doc, len(raw), len(raw) - len(rest), n, rest))
         cols = zip(*out, strict=True) if out else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
-    """A row per row of docs: what is removed, and a digest of what stays."""
-    spans = repeated(docs, length, gram, split).groupBy("key", "doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = shared.written(spans, "spans")
-    hit, rest = _of(_rows(docs), spans)
-    rest = rest.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    hit = hit.join(spans, ["key", "doc"], "left").select("doc_id", "text", "spans")
+    """A row per row of docs: how much is removed, in how many runs, and the bytes that stay."""
+    with shared.scratch(docs.sparkSession) as tmp:
+        spans = repeated(tmp, docs, length, gram, split).groupBy("key", "doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        spans = shared.written(spans, "spans")
+    rows = shared.marked(shared.Scratch(docs.sparkSession), _rows(docs), "key", spans.select(F.col("key").alias("h")))
+    rest = rows.where("NOT may").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    hit = rows.where("may").join(spans, ["key", "doc"], "left").select("doc_id", "text", "spans")
     return hit.mapInArrow(_cut, RESULT).unionByName(rest.mapInArrow(_cut, RESULT))

@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import cases
-from lexstrata.llm import suffix
+import numpy as np
+import pytest
+from lexstrata.llm import queries, suffix
 
 
 def naive(docs, length):
@@ -22,7 +24,7 @@ def naive(docs, length):
 
 
 def run(docs, **more):
-    return sorted(map(tuple, suffix.removed(docs, **more).collect()), key=str)
+    return sorted(((*r[:4], hashlib.sha256(r.kept).hexdigest()) for r in suffix.removed(docs, **more).collect()), key=str)
 
 
 def test_against_brute_force(spark, sf):
@@ -32,6 +34,31 @@ def test_against_brute_force(spark, sf):
     assert run(docs) == want
 
 
+def test_query(spark, sf):
+    """The query's digests are those of the operator's bytes; passages caught are those of LENGTH bytes or more."""
+    got = queries.op7_suffix_array_dedup(spark, sf)
+    want = naive(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), 400)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == want
+    assert got.where("n_removed = 0 AND octet_length(kept_text) != n_bytes").count() == 0
+
+
+@pytest.mark.parametrize("length", [5, 8, 11, 40, 63])
+def test_refinement(length):
+    """Bucket numbers against a count of all strings; only needed places are looked at."""
+    rng = np.random.default_rng(length)
+    b = rng.integers(97, 99 if length < 12 else 123, (60, 90), dtype=np.uint8)
+    b[20:40, 10:80] = b[:20, 5:75]
+    b[40:50] = b[7]
+    needed = np.zeros(b.shape, bool)
+    needed[:, 3:85] = True
+    starts = needed & (rng.random(b.shape) < 0.7)
+    starts[:, 85 - length + 1 :] = False
+    at = [(i, k) for i in range(60) for k in range(3, 85 - length + 1) if starts[i, k]]
+    seen = Counter(b[i, k : k + length].tobytes() for i, k in at)
+    got = suffix.repeats(b, needed, starts, length)
+    assert all(got[i, k] == (seen[b[i, k : k + length].tobytes()] > 1) for i, k in at)
+
+
 def test_overlaps_runs_and_large_buckets(spark):
     rng = random.Random(6)
     base = "".join(rng.choices("abcdé ", k=260))
