@@ -2,16 +2,15 @@
 
   1. Texts are cut into lines at newlines; a line is normalised (lower case, white space runs as one space, trimmed). Lines
      without a character left are no lines here: they are never removed.
-  2. Equal normalised lines are one node, named by a 64-bit hash. Of each line the words are counted, and the parity of its words
-     in 128 cells is kept.
+  2. Equal normalised lines are one node, named by a 64-bit hash. A line whose second hash is not its node's is left alone.
   3. Lines meet on rare word pairs: of the pairs of neighbouring words, brought into one fixed order with rare ones first, each
      line enters the lists of as many as edits can destroy, and one more (see `prefix`). Two lines that are similar enough share one
-     of these whatever the order is; the order (pairs that are not frequent in a sample of lines, then long pairs, then by hash)
-     only keeps lists short.
+     of these whatever the order is. The order (counts of all pairs of all distinct lines in BUCKETS hash buckets, then a hash)
+     only keeps lists short. SimHash blocks, the method first thought of, find few of the lines that are this similar.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
      are not in the pivot's component are held against the list's lines in other components. So components are whole, and no
-     pairs within one are made. Lengths and parities drop pairs that can't be similar (an edit of one word changes two
-     cells at most).
+     pairs within one are made. Lengths and parities (of a line's words in 128 cells) drop pairs that can't be similar: an edit
+     of one word changes two cells at most.
   5. What is left is verified: an edit distance over words of at most 1 - SIMILARITY of the longer line's words. For it each
      word becomes one of 20,480 characters by hash, so that the built-in distance runs over words.
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
@@ -33,11 +32,8 @@ from .graph import components
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: One line in SAMPLE is looked at for frequent pairs, of which FREQUENT are known at most.
-SAMPLE = 64
-FREQUENT = 1000
-#: Cells of 64 bits of the bitmaps of hashes: a fixed size, so they can be broadcast at any scale.
-CELLS = 1 << 17
+#: Counters of word pairs: a fixed number, of which only the order of pairs depends.
+BUCKETS = 1 << 18
 
 
 def normalised(low: Column) -> Column:
@@ -53,29 +49,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("r", F.col("r.doc_id").cast("long").alias("doc"), F.xxhash64("r.doc_id", "r.text").alias("key"), text.alias("text"))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """doc, key, text without repeated rows; only rows whose key may stand twice are shuffled."""
-    twice = rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = _marked(rows, "key", shared.written(_cells(twice.select(F.col("key").alias("h"))), "repeated-cells"))
+def _single(tmp: shared.Scratch, rows: DataFrame, h: str) -> DataFrame:
+    """rows without repetitions; only rows whose h may stand twice are shuffled."""
+    twice = tmp.written(rows.groupBy(h).agg(F.count("*").alias("copies")).where("copies > 1").select(F.col(h).alias("h")), "repeated")
+    return _distinct(tmp, rows, h, twice)
+
+
+def _distinct(tmp: shared.Scratch, rows: DataFrame, h: str, twice: DataFrame) -> DataFrame:
+    rows = shared.marked(tmp, rows, h, twice)
     return rows.where("NOT may").drop("may").unionByName(rows.where("may").drop("may").distinct())
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc, key, pos, norm, node of every line that has a character."""
-    rows = _once(_rows(docs).select("doc", "key", "text"))
+def numbered(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
+    """doc, key, pos, norm, node and a second hash of every line that has a character."""
+    rows = _single(tmp, _rows(docs).select("doc", "key", "text"), "key")
     lines = rows.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("low", F.trim(F.lower("line")))
     lines = lines.select("doc", "key", "pos", normalised(F.col("low")).alias("norm")).where("norm != ''")
-    return lines.withColumn("node", F.xxhash64("norm"))
+    return lines.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(1), "norm").alias("second"))
 
 
-def hashed(lines: DataFrame) -> DataFrame:
-    """doc, key, pos, node, n (words) and the parities even0, even1 of every line."""
-    words = lines.select("doc", "key", "pos", "node", F.explode(F.split("norm", " ")).alias("word"))
-    words = words.select("doc", "key", "pos", "node", F.xxhash64("word").alias("h"))
+def sketched(lines: DataFrame) -> DataFrame:
+    """node, n (words) and the parities even0, even1 of distinct lines."""
+    words = lines.select("node", F.explode(F.split("norm", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
     cell = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     half = F.col("h").bitwiseAND(F.lit(64)) == 0
     even = [F.coalesce(F.bit_xor(F.when(half if k == 0 else ~half, cell)), F.lit(0)).alias(f"even{k}") for k in (0, 1)]
-    return words.groupBy("key", "pos", "node").agg(F.first("doc").alias("doc"), F.count("*").alias("n"), *even).select("doc", "key", "pos", "node", "n", "even0", "even1")
+    return words.groupBy("node").agg(F.count("*").alias("n"), *even)
 
 
 def most_edits(n: Column) -> Column:
@@ -83,52 +82,33 @@ def most_edits(n: Column) -> Column:
     return F.floor(n * round(1 - SIMILARITY, 6))
 
 
-def word_pairs(norm: str) -> Column:
-    """A long for each pair of neighbouring words: long pairs are small, its lowest 56 bits are a hash."""
-    words, rest = F.split(norm, " "), F.size(F.split(norm, " ")) - 1
-    long = lambda x, y: F.shiftleft((F.lit(63) - F.least(F.length(x) + F.length(y), F.lit(63))).cast("long"), 56)
-    return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda x, y: long(x, y).bitwiseOR(F.xxhash64(x, y).bitwiseAND(F.lit((1 << 56) - 1))))
+def word_pairs(words: str) -> Column:
+    """A hash for each pair of neighbouring words."""
+    rest = F.size(words) - 1
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
 
 
-def frequent_pairs(texts: DataFrame) -> list[int]:
-    """The most frequent pairs of a sample of the distinct lines, in any case a fixed number. Only the order depends on them."""
-    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("node", "norm").distinct()
-    some = some.where(F.size(F.split("norm", " ")) >= LEAST_WORDS).select(F.explode(F.array_distinct(word_pairs("norm"))).alias("pair"))
-    counts = some.groupBy("pair").agg(F.count("*").alias("lines")).where("lines > 2")
-    return [r.pair for r in counts.orderBy(F.desc("lines"), "pair").limit(FREQUENT).collect()]
+def pair_ranks(lines: DataFrame) -> DataFrame:
+    """One row: for each bucket of pairs a number from 0 to 127 that grows with its count over all lines, relative to the mean."""
+    pairs = lines.select(F.explode(word_pairs("words")).alias("h"))
+    counts = pairs.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("n"))
+    dense = lines.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    every = dense.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("every"), F.greatest(F.sum("n"), F.lit(1)).alias("total"))
+    return every.select(F.transform("every", lambda x: F.least(F.lit(127), F.floor(16 * F.log2(x["n"] * BUCKETS / F.col("total") + 1))).cast("int")).alias("rank"))
 
 
-def prefix(norm: str, frequent: list[int]) -> Column:
-    """The first word pairs of a line.
+def prefix(words: str, ranks: Column) -> Column:
+    """The first word pairs of a line, in the order of their ranks, then of their hashes.
 
     Of two lines of n and n + k words that are similar, k of at most e = most_edits(n + k) edits insert words into the shorter one.
     An insertion destroys one of its pairs, another edit two: together 2 e - k, the most of which over all k is at k = 0 or
     k = 1. Of the longer one 2 e are destroyed at most. The first shared pair comes after destroyed ones only.
     """
-    late = lambda x: F.when(x.isin(frequent), x.bitwiseOR(F.lit(1 << 62))).otherwise(x)
-    pairs = F.transform(word_pairs(norm), late) if frequent else word_pairs(norm)
-    n = F.size(F.split(norm, " "))
+    place = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
+    pairs = F.transform(word_pairs(words), lambda h: place(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    n = F.size(words)
     destroyed = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1)
-    return F.array_distinct(F.slice(F.array_sort(pairs), 1, (destroyed + 1).cast("int")))
-
-
-def _cells(hashes: DataFrame) -> DataFrame:
-    """A bitmap of CELLS cells of some hashes (column h)."""
-    at = F.pmod(F.col("h"), F.lit(CELLS * 64))
-    return hashes.select((at / 64).cast("long").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-
-
-def _marked(rows: DataFrame, h: str, cells: DataFrame) -> DataFrame:
-    """rows with `may`: whether the hash may be in the bitmap (always if it is)."""
-    at = F.pmod(F.col(h), F.lit(CELLS * 64))
-    rows = rows.withColumn("_cell", (at / 64).cast("long")).join(F.broadcast(cells.withColumnRenamed("cell", "_cell")), "_cell", "left")
-    return rows.withColumn("may", F.coalesce(F.call_function("shiftrightunsigned", F.col("bits"), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_cell", "bits")
-
-
-def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows whose node may be among some nodes (column node): all that are, and few others; nothing is shuffled."""
-    cells = shared.written(_cells(nodes.select(F.col("node").alias("h"))), "cells")
-    return _marked(rows, "node", cells).where("may").drop("may")
+    return F.array_distinct(F.slice(F.sort_array(pairs), F.lit(1), (destroyed + 1).cast("int")))
 
 
 SKETCH = ["n", "even0", "even1"]
@@ -151,63 +131,85 @@ def symbols(norm: str) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def verified(pairs: DataFrame, numbered_lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    found = _among(numbered_lines.select("node", "norm"), nodes).groupBy("node").agg(F.first("norm").alias("norm"))  # equal lines
-    texts = shared.written(found.select("node", symbols("norm").alias("words")), "line-words")
+def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough, as a written table."""
+    nodes = tmp.written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "nodes")
+    found = shared.marked(tmp, lines, "node", nodes).where("may")
+    texts = tmp.written(found.select("node", symbols("norm").alias("words")), "line-words")
     x, y = texts.select(F.col("node").alias("a"), F.col("words").alias("x")), texts.select(F.col("node").alias("b"), F.col("words").alias("y"))
     most = f"cast(floor(greatest(length(x), length(y)) * {round(1 - SIMILARITY, 6)}) as int)"
-    return pairs.join(x, "a").join(y, "b").where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
-
+    out = tmp.written(pairs.join(x, "a").join(y, "b").where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b").distinct(), name)
+    tmp.drop(nodes, texts)
+    return out
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc, key and the positions `gone` of the lines to remove, for documents that lose any."""
-    texts = shared.written(numbered(docs), "line-texts")
-    occurrences = shared.written(hashed(texts), "lines")
-    place = F.struct("doc", "key", "pos")
-    lines = occurrences.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in SKETCH))
-    lines = shared.written(lines, "distinct-lines")
 
-    keyed = texts.select("node", "norm").distinct().where(F.size(F.split("norm", " ")) >= LEAST_WORDS)
-    keyed = keyed.select("node", F.explode(prefix("norm", frequent_pairs(texts))).alias("block")).repartition("block")
+def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
+    """block, node, size and sketch: the lists of word pairs that two lines or more have in their prefixes, as a written table."""
+    split = lines.select("node", F.split("norm", " ").alias("words")).where(F.size("words") >= LEAST_WORDS)
+    ranks = tmp.written(pair_ranks(split), "pair-ranks")
+    keyed = split.withColumn("ranks", ranks.scalar()).select("node", F.explode(prefix("words", F.col("ranks"))).alias("block")).repartition("block")
     # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
     common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
-    lists = shared.written(keyed.join(common, "block"), "common-blocks")
-    lists = shared.written(lists.join(_among(lines.select("node", *SKETCH), lists), "node"), "blocks")
-    pivots = shared.written(lists.groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("r")), "pivots")
+    common = tmp.written(keyed.join(common.hint("shuffle_hash"), "block"), "common-blocks")
+    found = shared.marked(tmp, lines, "node", tmp.written(common.select(F.col("node").alias("h")).distinct(), "common-nodes")).where("may")
+    sketches = tmp.written(sketched(found.select("node", "norm")), "sketches")
+    out = tmp.written(common.join(sketches, "node"), "blocks")
+    tmp.drop(ranks, common, sketches)
+    return out
+
+
+def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
+    """(a, b): pairs of similar lines (node, norm) that connect all that are connected, as a written table."""
+    lists = lists_of(tmp, lines)
+    pivots = tmp.written(lists.groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("r")), "pivots")
     near = lists.join(pivots, "block").select(F.struct("node", *SKETCH).alias("l"), "r", "size").where((F.col("l.node") != F.col("r.node")) & _near())
-    near = shared.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
-    stars = shared.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
-    linked = shared.written(verified(stars, texts), "line-links")
-    tmp = shared.Scratch(docs.sparkSession)
+    near = tmp.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
+    stars = tmp.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
+    linked = verified(tmp, stars, lines, "line-links")
     label = components(tmp, linked, "line-edges")
 
     # a list of two has no pair but the one with its pivot
     named = lists.where("size > 2").join(pivots.select("block", F.col("r.node").alias("center")), "block").drop("size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(label.select(F.col("node").alias("center"), F.col("label").alias("c")), "center", "left").withColumn("center", F.coalesce("c", "center")).drop("c")
-    named = shared.written(named, "named-blocks")
+    named = tmp.written(named, "named-blocks")
+    tmp.drop(lists, pivots)
     left = named.where("label != center").alias("l")
     rest = left.join(named.alias("r"), "block").where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near())
     rest = rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     pairs = near.where("size = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = shared.written(rest.unionByName(pairs).distinct(), "rest")
-    label = components(tmp, linked.unionByName(verified(rest, texts)), "all-line-edges")
+    rest = tmp.written(rest.unionByName(pairs).distinct(), "rest")
+    tmp.drop(named, near)
+    return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")), "all-line-links")
 
-    several = _among(lines.where("copies = 1").select("node", "first", "copies"), label).unionByName(lines.where("copies > 1").select("node", "first", "copies"))
+
+def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
+    """doc, key and the positions `gone` of the lines to remove, for documents that lose any."""
+    texts = tmp.written(numbered(tmp, docs), "line-texts")
+    place = F.struct("doc", "key", "pos")
+    nodes = texts.groupBy("node").agg(F.min(F.struct("doc", "key", "pos", "second")).alias("first"), F.count("*").alias("copies"))
+    nodes = tmp.written(nodes, "distinct-lines")
+    twice = tmp.written(nodes.where("copies > 1").select(F.col("node").alias("h")), "repeated-lines")
+    lines = _distinct(tmp, texts.select("node", "second", "norm"), "node", twice).select("node", "norm")
+    label = components(tmp, links(tmp, lines), "all-line-edges")
+
+    named = tmp.written(label.select(F.col("node").alias("h")), "linked-lines")
+    several = shared.marked(tmp, nodes.where("copies = 1"), "node", named).where("may").drop("may").unionByName(nodes.where("copies > 1"))
     known = several.join(label, "node", "left").where("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
     kept = known.groupBy("label").agg(F.min("first").alias("kept"))
-    known = shared.written(known.select("node", "label").join(kept, "label").select("node", "kept"), "kept")
-    gone = _among(occurrences.select("doc", "key", "pos", "node"), known).join(known, "node").where(~place.eqNullSafe(F.col("kept")))
+    known = known.select("node", F.col("first.second").alias("own"), "label").join(kept, "label").select("node", "own", F.struct("kept.doc", "kept.key", "kept.pos").alias("kept"))
+    known = tmp.written(known, "kept")
+    gone = shared.marked(tmp, texts.select("doc", "key", "pos", "node", "second"), "node", known.select(F.col("node").alias("h"))).where("may")
+    gone = gone.join(known, "node").where((F.col("second") == F.col("own")) & ~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("gone"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Struct r with all columns of docs, kept_text, n_lines and n_removed."""
-    gone = shared.written(removed(docs), "gone")
-    rows = _marked(_rows(docs), "key", shared.written(_cells(gone.select(F.col("key").alias("h"))), "gone-cells"))
+    with shared.scratch(docs.sparkSession) as tmp:
+        gone = shared.written(removed(tmp, docs), "gone")
+    rows = shared.marked(shared.Scratch(docs.sparkSession), _rows(docs), "key", gone.select(F.col("key").alias("h")))
     gone = gone.select(F.col("doc").alias("d"), "key", "gone")
     rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
     hit = rows.where("may").join(gone, "key", "left").where("gone IS NULL OR doc <=> d")
