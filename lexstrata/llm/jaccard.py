@@ -10,14 +10,14 @@ BUCKETS hash buckets over all documents, and ordered by their bucket's count, th
   3. Star step: in the list of each prefix element the group with the most documents is the pivot; every group is held against
      the nearest of its pivots. Expanded: each member is held against one class of the pivot, and one class of its own group.
      That links most copies of a text with one comparison each.
-  4. Rest: group pairs of a list of which members are not yet in one component. A pair of groups comes up at its first common
-     element only, however many it shares, and passes the size, position and sketch filters; then it is expanded to the members
-     in different components. So no link between two components is missed, and no pairs within a component are made.
+  4. Rest: group pairs of a list of which members are not yet in one component. They pass the size, position and sketch filters, each
+     pair once; then they are expanded to the members in different components. So no link between two components is missed,
+     and no pairs within a component are made.
   5. Expanded pairs are held against wide sketches, then verified on the full sets, computed again from the texts in question.
 
-The filters only drop pairs that can't link. At a first common element the overlap is at most what follows it, and one; the
-symmetric difference of two sets has at least as many elements as their parity sketches differ in bits. A group of several classes
-has no sketch of its own: its members' are compared when it is expanded.
+The filters only drop pairs that can't link. At the first common element of a pair the overlap is at most what follows it, and
+one, so a pair that links passes there; the symmetric difference of two sets has at least as many elements as their parity
+sketches differ in bits. A group of several classes has no sketch of its own: its members' are compared when it is expanded.
 
 Defined results: a text without words, or null, has size 0 and is linked with nothing; a text of fewer words than a shingle is
 one shingle. A row without doc_id gets no links, and a null component. Rows that share a doc_id are one document; repeated rows
@@ -290,13 +290,12 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
         named = first.unionByName(lists.join(others, "g").select(*first.columns).join(of(groups.select("g"), "g"), ["g", "label"], "left_anti").select(*first.columns))
         named = tmp.written(named, "named")
         center = named.groupBy("element").agg(F.max(F.struct("weight", "g", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("element", F.col("p.label").alias("center"))
-        open_ = named.join(center, "element").join(groups.select("g", "n", "prefix"), ["g", "n"]).withColumn("head", F.slice("prefix", F.lit(1), F.col("pos"))).drop("prefix")
-        open_ = tmp.written(open_, "open")
+        open_ = tmp.written(named.drop("weight").join(center, "element"), "open")
         tmp.drop(lists, named)
         left, right = open_.where("label != center").alias("l"), open_.alias("r")
         after = 1 + F.least(F.expr("l.n - l.pos - 1"), F.expr("r.n - r.pos - 1"))
         once = (F.col("r.label") == F.col("r.center")) | (F.col("l.g") < F.col("r.g")) | ((F.col("l.g") == F.col("r.g")) & (F.col("l.label") < F.col("r.label")))
-        rest = left.join(right, "element").where((F.col("l.label") != F.col("r.label")) & once & _may_link(percent) & (after >= _need(percent)) & ~F.arrays_overlap("l.head", "r.head"))
+        rest = left.join(right, "element").where((F.col("l.label") != F.col("r.label")) & once & _may_link(percent) & (after >= _need(percent)))
         rest = tmp.written(rest.select(F.least("l.g", "r.g").alias("g"), F.greatest("l.g", "r.g").alias("h")).distinct(), "rest")
         links = linked.unionByName(verified(tmp, expanded(tmp, rest, more, label, classes, percent), docs, classes, shingle, percent, "more-links"))
 

@@ -84,7 +84,7 @@ def test_groups_of_one_prefix(spark, monkeypatch):
 
 
 def test_many_texts_with_one_passage(spark):
-    """Texts that share a passage and don't link: each pair of groups comes up once at most, whatever it shares."""
+    """Texts that share a passage and don't link."""
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(30)]
     rows = [(i, " ".join(passage + [f"x{rng.randrange(10**6)}" for _ in range(30)])) for i in range(150)]
