@@ -63,14 +63,14 @@ def _distinct(tmp: shared.Scratch, rows: DataFrame, h: str, twice: DataFrame) ->
 def numbered(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     """doc, key, pos, norm, node and a second hash of every line that has a character."""
     rows = _single(tmp, _rows(docs).select("doc", "key", "text"), "key")
-    lines = rows.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("low", F.trim(F.lower("line")))
+    lines = rows.select("doc", "key", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn("low", F.trim(F.lower("line")))
     lines = lines.select("doc", "key", "pos", normalised(F.col("low")).alias("norm")).where("norm != ''")
     return lines.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(1), "norm").alias("second"))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
     """node, n (words) and the parities even0, even1 of distinct lines."""
-    words = lines.select("node", F.explode(F.split("norm", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
+    words = lines.select("node", F.explode_outer(F.split("norm", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
     cell = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     half = F.col("h").bitwiseAND(F.lit(64)) == 0
     even = [F.coalesce(F.bit_xor(F.when(half if k == 0 else ~half, cell)), F.lit(0)).alias(f"even{k}") for k in (0, 1)]
@@ -82,7 +82,12 @@ def most_edits(n: Column) -> Column:
     return F.floor(n * round(1 - SIMILARITY, 6))
 
 
-def word_pairs(words: str) -> Column:
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_pairs(words: Column) -> Column:
     """A hash for each pair of neighbouring words."""
     rest = F.size(words) - 1
     return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
@@ -90,14 +95,14 @@ def word_pairs(words: str) -> Column:
 
 def pair_ranks(lines: DataFrame) -> DataFrame:
     """One row: for each bucket of pairs a number from 0 to 127 that grows with its count over all lines, relative to the mean."""
-    pairs = lines.select(F.explode(word_pairs("words")).alias("h"))
+    pairs = lines.select(F.explode_outer(once(F.split("norm", " "), word_pairs)).alias("h"))  # (outer: else it is computed twice)
     counts = pairs.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("n"))
     dense = lines.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
     every = dense.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("every"), F.greatest(F.sum("n"), F.lit(1)).alias("total"))
     return every.select(F.transform("every", lambda x: F.least(F.lit(127), F.floor(16 * F.log2(x["n"] * BUCKETS / F.col("total") + 1))).cast("int")).alias("rank"))
 
 
-def prefix(words: str, ranks: Column) -> Column:
+def prefix(words: Column, ranks: Column) -> Column:
     """The first word pairs of a line, in the order of their ranks, then of their hashes.
 
     Of two lines of n and n + k words that are similar, k of at most e = most_edits(n + k) edits insert words into the shorter one.
@@ -145,9 +150,11 @@ def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str)
 
 def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """block, node, size and sketch: the lists of word pairs that two lines or more have in their prefixes, as a written table."""
-    split = lines.select("node", F.split("norm", " ").alias("words")).where(F.size("words") >= LEAST_WORDS)
-    ranks = tmp.written(pair_ranks(split), "pair-ranks")
-    keyed = split.withColumn("ranks", ranks.scalar()).select("node", F.explode(prefix("words", F.col("ranks"))).alias("block")).repartition("block")
+    long = lines.where(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= LEAST_WORDS - 1)
+    ranks = tmp.written(pair_ranks(long), "pair-ranks")
+    # the ranks are one value for all rows: the optimizer puts it where it is used, no row carries it
+    keyed = long.withColumn("ranks", ranks.scalar()).select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("ranks"))).alias("blocks"))
+    keyed = keyed.select("node", F.explode_outer("blocks").alias("block")).repartition("block")
     # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
     common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
     common = tmp.written(keyed.join(common.hint("shuffle_hash"), "block"), "common-blocks")
