@@ -17,11 +17,6 @@ def unicode_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def word_tokens(text: Column) -> Column:
-    """Alternating runs of white space and of anything else."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\s+|\S+"), F.lit(0))
-
-
 def parse_date(text: Column) -> Column:
     """year-month-day, unpadded parts too; null if it isn't three parts or no date of the calendar."""
     return F.when(F.size(F.split(text, "-")) == 3, F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"))
@@ -52,13 +47,8 @@ def party(name: Column) -> Column:
 
 
 def chamber(name: Column) -> Column:
-    """House or Senate; null for other names."""
-    low = F.lower(name)
-    return F.when(low.isin("house", "house of representatives"), "House").when(low == "senate", "Senate")
-
-
-def in_uslm_path(kind: Column) -> Column:
-    return ~kind.isin("level", "unknown")
+    """House or Senate by their aliases; null for other names."""
+    return _lookup(name, schema.CHAMBERS, F.lit(None).cast("string"))
 
 
 def structural_path(parent: Column, kind: Column, number: Column) -> Column:
@@ -71,12 +61,6 @@ def verbose_name(parent: Column, display: Column) -> Column:
     return F.concat_ws(" ", parent, display)
 
 
-def path_prefixes(path: Column) -> Column:
-    """The path itself and all paths above it, shortest first."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-
-
 def short_path(path: Column) -> Column:
     """The last six segments."""
     parts = F.split(path, "/")

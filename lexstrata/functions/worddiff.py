@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,38 +42,45 @@ def edits(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | N
 
 
 def _script(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Indexes deleted from a and inserted from b, by the greedy furthest-reaching search; each level's frontier is kept."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return set(range(n)), set(range(m))
-    front, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(front))
-        for k in range(-d, d + 1, 2):
-            x = front[k + 1] if k == -d or (k != d and front[k - 1] < front[k + 1]) else front[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            front[k] = x
-            if x >= n and x - k >= m:
-                return _walk(trace, n, m)
-    raise AssertionError("no script")
+    """Indexes deleted from a and inserted into it to make b: all but a longest common subsequence.
 
-
-def _walk(trace: list[dict[int, int]], x: int, y: int) -> tuple[set[int], set[int]]:
-    gone, come = set(), set()
-    for d in range(len(trace) - 1, 0, -1):
-        front, k = trace[d], x - y
-        down = k == -d or (k != d and front[k - 1] < front[k + 1])
-        k2 = k + 1 if down else k - 1
-        x2 = front[k2]
-        if down:
-            come.add(x2 - k2)
-        else:
-            gone.add(x2)
-        x, y = x2, x2 - k2
+    Divide and conquer in linear space: a is cut in the middle, b where the common subsequences of both halves are longest.
+    """
+    gone, come = set(range(len(a))), set(range(len(b)))
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and a[i] == b[j]:
+            gone.discard(i)
+            come.discard(j)
+            i, j = i + 1, j + 1
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:m]:
+                gone.discard(i)
+                come.discard(b.index(a[i], j, m))
+            continue
+        mid = (i + k) // 2
+        both = _common(a[i:mid], b[j:m]) + _common(a[mid:k][::-1], b[j:m][::-1])[::-1]
+        cut = j + int(both.argmax())
+        todo += [(i, mid, j, cut), (mid, k, cut, m)]
     return gone, come
 
 
+def _common(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each prefix of b, a bit of one integer for each step along b."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = rows = (1 << len(b)) - 1
+    for x in a:
+        if hit := where.get(x, 0) & rows:
+            rows = (rows + hit | rows - hit) & full
+    steps = np.unpackbits(np.frombuffer(rows.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)] == 0
+    return np.concatenate(([0], np.cumsum(steps)))
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("old_index", T.IntegerType()), T.StructField("new_index", T.IntegerType()), T.StructField("tag", T.StringType())])))
 def word_changes(old: pd.Series, new: pd.Series) -> pd.Series:
     """Null counts as empty. Filter equal texts out before: this is the one operator that leaves the JVM."""

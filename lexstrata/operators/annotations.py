@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,8 +59,31 @@ def sponsors_for_path(annotations: DataFrame, sponsors: DataFrame, members: Data
     return rows.join(people, "bill_id").join(members, "bioguide_id").select("path", *members.columns)
 
 
-def with_status(annotations: DataFrame, annotation_id: int, status: str) -> DataFrame:
-    return annotations.withColumn("status", F.when(F.col("annotation_id") == annotation_id, F.lit(status)).otherwise(F.col("status")))
+def with_updates(annotations: DataFrame, updates: DataFrame) -> DataFrame:
+    """Annotations with the status of their last update (annotation_id, status, seq), where they have any."""
+    last = upserted(updates, ["annotation_id"], "seq").select("annotation_id", F.col("status").alias("_status"))
+    return annotations.join(last, "annotation_id", "left").withColumn("status", F.coalesce("_status", "status")).select(*annotations.columns)
+
+
+def with_texts(annotations: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Annotations with the text of their amendment, null where there is none."""
+    texts = amendments.groupBy("amendment_id").agg(F.first("amending_text").alias("amending_text"))  # its id is a hash of it
+    return annotations.join(texts, "amendment_id", "left")
+
+
+def with_changes(annotations: DataFrame, changed: DataFrame) -> DataFrame:
+    """A row per annotation and path, with what is known of the changed node (null columns where it isn't one)."""
+    return exploded(annotations).join(changed, "path", "left")
+
+
+def amendment(amendments: DataFrame, amendment_id: str) -> DataFrame:
+    """The amendment of an id, as it was added first."""
+    return amendments.where(F.col("amendment_id") == amendment_id).orderBy("seq").limit(1)
+
+
+def replaced(bill_diffs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes of bills, those of the amendments in `changes` replaced by the ones there."""
+    return bill_diffs.join(changes.select("amendment_id").distinct(), "amendment_id", "left_anti").unionByName(changes)
 
 
 def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -75,11 +98,25 @@ def owning_bill(ids: DataFrame, amendments: DataFrame) -> DataFrame:
     return ids.join(first, "amendment_id", "left").withColumn("bill_id", F.coalesce("bill_id", F.lit("unknown")))
 
 
+def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rank (from 1) of each row in an order, without all rows in one task.
+
+    Rows are sorted by ranges; a row's rank is its place in its range and the sizes of the ranges before, of which there is one for
+    each partition. The sorted rows are persisted, since they are counted and then read.
+    """
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*rows.columns, "rank")
+
+
 def node_order(nodes: DataFrame, scores: DataFrame, mentioned: DataFrame) -> DataFrame:
     """rank of each node for an amendment: best score, then mentioned, then document order (`ord`)."""
     rows = nodes.join(scores.select("path", "score"), "path", "left").join(mentioned.select("path").distinct().withColumn("mentioned", F.lit(True)), "path", "left")
     rows = rows.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("mentioned"), "ord")))
+    return ranked(rows, F.desc("score"), F.desc("mentioned"), "ord")
 
 
 def amendment_order(amendments: DataFrame, scores: DataFrame, mentioned: DataFrame) -> DataFrame:
@@ -87,7 +124,7 @@ def amendment_order(amendments: DataFrame, scores: DataFrame, mentioned: DataFra
     flag = lambda df, name: df.select("amendment_id").distinct().withColumn(name, F.lit(1))
     rows = amendments.join(flag(scores, "s"), "amendment_id", "left").join(flag(mentioned, "m"), "amendment_id", "left")
     rows = rows.withColumn("weight", 2 * F.coalesce("m", F.lit(0)) + F.coalesce("s", F.lit(0))).drop("s", "m")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "ord")))
+    return ranked(rows, F.desc("weight"), "ord")
 
 
 def by_first_path(annotations: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Differences of two snapshots: one full outer join on paths, word changes only where texts differ."""
+"""Differences of two snapshots: both sides meet once per path, in a narrow table that all parts of the result read.
+
+That table is persisted (memory, then disk): without it every part would join both snapshots again. Call `release` when done.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.worddiff import word_changes
 from ..schema import TEXT_FIELDS
 
+#: What of an element takes part in a comparison.
+COMPARED = ("snapshot_date", "parent_path", "ancestor_paths", "ord_path", "element_type", *TEXT_FIELDS)
+
+
+class PathMismatch(ValueError):
+    """The snapshots don't have the same root paths."""
+
 
 @dataclass(frozen=True)
 class TreeDiff:
@@ -21,6 +31,7 @@ class TreeDiff:
     added: DataFrame
     removed: DataFrame
     errors: DataFrame
+    compared: DataFrame
 
     def find(self, path: str) -> DataFrame:
         """The node of a path and all below it."""
@@ -31,48 +42,69 @@ class TreeDiff:
 
     def changed_nodes(self) -> DataFrame:
         """Nodes with changed fields or with added or removed children, and how many of each."""
-        count = lambda df, by, name: df.groupBy(F.col(by).alias("path")).agg(F.count("*").alias(name))
-        out = self.nodes
-        for df, by, name in ((self.field_changes, "path", "n_changes"), (self.added, "parent_path", "n_added"), (self.removed, "parent_path", "n_removed")):
-            out = out.join(count(df, by, name), "path", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-        return out.where("n_changes > 0 OR n_added > 0 OR n_removed > 0")
+        parts = (self.field_changes, "path", "n_changes"), (self.added, "parent_path", "n_added"), (self.removed, "parent_path", "n_removed")
+        one = lambda df, by, name: df.select(F.col(by).alias("path"), *(F.lit(int(n == name)).alias(n) for *_, n in parts))
+        each = one(*parts[0]).unionByName(one(*parts[1])).unionByName(one(*parts[2]))
+        return self.nodes.join(each.groupBy("path").agg(*(F.sum(n).alias(n) for *_, n in parts)), "path")
+
+    def release(self) -> None:
+        self.compared.unpersist()
+
+
+def containing(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose path contains the trimmed text; all of them for a blank one."""
+    return nodes.where(F.contains("path", F.lit(text.strip()))) if text.strip() else nodes
 
 
 def matched(old: DataFrame, new: DataFrame) -> DataFrame:
     """Structs o and n per path; one of them is null where only one side has the path. Shadowed rows take no part."""
-    side = lambda df, name: df.where(~F.col("shadowed")).select("path", F.struct(*[c for c in df.columns if c != "path"]).alias(name))
+    side = lambda df, name: df.where(~F.col("shadowed")).select("path", F.struct(*COMPARED).alias(name))
     return side(old, "o").join(side(new, "n"), "path", "full_outer")
 
 
+def _differences():
+    each = F.array(*(F.struct(F.lit(i).alias("field_order"), F.lit(f).alias("field_name"), F.coalesce(F.col(f"o.{f}"), F.lit("")).alias("old_value"), F.coalesce(F.col(f"n.{f}"), F.lit("")).alias("new_value")) for i, f in enumerate(TEXT_FIELDS)))
+    both = F.col("o").isNotNull() & F.col("n").isNotNull() & (F.col("o.element_type") == F.col("n.element_type"))
+    return F.when(both, F.filter(each, lambda x: x["old_value"] != x["new_value"]))
+
+
 def changed_fields(pairs: DataFrame) -> DataFrame:
     """A row per field whose text differs; a missing text equals an empty one."""
-    each = F.array(*(F.struct(F.lit(i).alias("field_order"), F.lit(f).alias("field_name"), F.coalesce(F.col(f"o.{f}"), F.lit("")).alias("old_value"), F.coalesce(F.col(f"n.{f}"), F.lit("")).alias("new_value")) for i, f in enumerate(TEXT_FIELDS)))
-    both = pairs.where("o IS NOT NULL AND n IS NOT NULL AND o.element_type = n.element_type")
-    return both.select("path", F.col("o.snapshot_date").alias("from_date"), F.col("n.snapshot_date").alias("to_date"), F.inline(each)).where("old_value <> new_value")
+    return pairs.select("path", F.col("o.snapshot_date").alias("from_date"), F.col("n.snapshot_date").alias("to_date"), F.inline(_differences()))
+
+
+def compared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A row per path: which sides have it, its place in the tree, and the fields that differ."""
+    either = [F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in ("parent_path", "ancestor_paths", "ord_path")]
+    return matched(old, new).select("path", *either, F.col("o.element_type").alias("old_type"), F.col("n.element_type").alias("new_type"), F.col("o.snapshot_date").alias("from_date"), F.col("n.snapshot_date").alias("to_date"), _differences().alias("fields"))
+
+
+def check_roots(old: DataFrame, new: DataFrame) -> None:
+    roots = [df.where("parent_path IS NULL AND NOT shadowed").select("path", F.lit(k).alias("side")) for k, df in enumerate((old, new))]
+    odd = roots[0].unionByName(roots[1]).groupBy("path").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo = hi").first()
+    if odd:
+        raise PathMismatch(f"only the {('older', 'newer')[odd.lo]} snapshot has the root {odd.path}")
 
 
 def compute_diff(old: DataFrame, new: DataFrame, prune: str = "reference") -> TreeDiff:
     """prune="reference" keeps the root and what lies on the way to a changed field; "complete" also keeps what lies on the way
-    to an added or removed child."""
+    to an added or removed child. Snapshots with other root paths are a PathMismatch."""
     if prune not in ("reference", "complete"):
         raise ValueError(prune)
-    pairs = matched(old, new)
-    fields = changed_fields(pairs)
-    only_new = pairs.where("o IS NULL").select("path", "n.parent_path", "n.ancestor_paths", "n.element_type", "n.ord_path")
-    only_old = pairs.where("n IS NULL").select("path", "o.parent_path", "o.ancestor_paths", "o.element_type", "o.ord_path")
-    both = pairs.where("o IS NOT NULL AND n IS NOT NULL")
-    here = both.select(F.col("path").alias("parent_path"))
-    added, removed = (df.join(here, "parent_path", "left_semi") for df in (only_new, only_old))
-
-    about = both.select("path", F.col("o.ancestor_paths").alias("ancestor_paths"), F.col("o.ord_path").alias("ord_path"), F.col("o.parent_path").alias("parent_path"), F.col("o.element_type").alias("element_type"))
-    touched = about.join(fields.select("path").distinct(), "path", "left_semi").select(F.explode(F.concat("ancestor_paths", F.array("path"))).alias("path"))
-    roots = about.where("parent_path IS NULL").select("path")
-    keep = touched.unionByName(roots)
+    check_roots(old, new)
+    rows = compared(old, new).persist()
+    both = rows.where("old_type IS NOT NULL AND new_type IS NOT NULL")
+    one = lambda side, kind: rows.where(f"{side} IS NULL").select("path", "parent_path", "ancestor_paths", F.col(kind).alias("element_type"), "ord_path")
+    added, removed = one("old_type", "new_type"), one("new_type", "old_type")
+    keep = both.where("size(fields) > 0").select(F.explode(F.concat("ancestor_paths", F.array("path"))).alias("path")).unionByName(both.where("parent_path IS NULL").select("path"))
     if prune == "complete":
-        keep = keep.unionByName(added.select(F.explode("ancestor_paths").alias("path"))).unionByName(removed.select(F.explode("ancestor_paths").alias("path")))
-    keep = keep.distinct()
-    nodes = about.join(keep, "path", "left_semi")
+        here = both.select(F.col("path").alias("parent_path"))
+        for df in (added, removed):
+            keep = keep.unionByName(df.join(here, "parent_path", "left_semi").select(F.explode("ancestor_paths").alias("path")))
+    keep = keep.distinct()  # all of them matched: what lies above a matched path is matched
     kept = keep.withColumnRenamed("path", "parent_path")
-    errors = both.where("o.element_type <> n.element_type").select("path", F.col("o.element_type").alias("old_type"), F.col("n.element_type").alias("new_type"))
+    nodes = both.join(keep, "path", "left_semi").select("path", "ancestor_paths", "ord_path", "parent_path", F.col("old_type").alias("element_type"))
+    errors = both.where("old_type <> new_type").select("path", "old_type", "new_type")
+    fields = both.select("path", "from_date", "to_date", F.inline("fields"))
     changes = fields.withColumn("changes", word_changes("old_value", "new_value")).select("from_date", "to_date", "path", "field_name", "old_value", "new_value", "changes")
-    return TreeDiff(nodes, changes, added.join(kept, "parent_path", "left_semi"), removed.join(kept, "parent_path", "left_semi"), errors)
+    return TreeDiff(nodes, changes, added.join(kept, "parent_path", "left_semi"), removed.join(kept, "parent_path", "left_semi"), errors, rows)

@@ -17,6 +17,12 @@ def by_date(versions: DataFrame, date: str) -> DataFrame:
     return versions.where(F.col("snapshot_date") == date).orderBy("seq").limit(1)
 
 
+def elements_at(elements: DataFrame, versions: DataFrame, date: str) -> DataFrame:
+    """Elements (version, seq, ...) of the snapshot that was added first of those with this date."""
+    own = by_date(versions, date).select(F.col("snapshot_date").alias("version"), "seq")
+    return elements.where(F.col("version") == date).join(F.broadcast(own), ["version", "seq"], "left_semi")  # one row
+
+
 def by_label(versions: DataFrame, label: str) -> DataFrame:
     return versions.where(F.col("label") == label).orderBy("snapshot_date", "seq").limit(1)
 

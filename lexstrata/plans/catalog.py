@@ -1,7 +1,8 @@
 """A dataset: one Parquet table per kind of thing, under one folder.
 
-Adding appends rows, keyed things (members, sponsors) are read as the last row of their key; nothing is rewritten and nothing is
-held on the driver. Elements are partitioned by snapshot date, so a diff of two versions reads two partitions.
+Adding appends rows, keyed things (members, sponsors, statuses) are read as the last row of their key; nothing is rewritten and
+nothing is held on the driver. Elements are partitioned by snapshot (its date, and a number for snapshots of one date), so a diff of
+two versions reads two partitions. A snapshot is there once its row in `versions` is: elements of one that broke off are not seen.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from ..operators import diff, match, tree, versions
 from ..sources import congress, uslm
 
 TABLES = {
-    "metadata": "name string, description string, author string, seq long", "versions": schema.VERSIONS, "elements": f"{schema.ELEMENTS}, version string",
-    "amendments": f"{schema.AMENDMENTS}, seq long", "bill_diffs": f"{schema.BILL_DIFFS}, seq long", "annotations": f"{schema.ANNOTATIONS}",
+    "metadata": "name string, description string, author string, seq long", "versions": schema.VERSIONS, "elements": f"{schema.ELEMENTS}, version string, seq long",
+    "amendments": f"{schema.AMENDMENTS}, seq long", "bill_diffs": f"{schema.BILL_DIFFS}, generation long, seq long", "annotations": f"{schema.ANNOTATIONS}",
+    "statuses": "annotation_id long, status string, seq long",
     "members": f"{schema.MEMBERS}, seq long", "sponsors": f"{schema.SPONSORS}, seq long",
 }
 
@@ -41,17 +43,20 @@ class Dataset:
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], TABLES[name])
 
     def _append(self, name: str, rows: DataFrame) -> None:
         out = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.mode("append")
-        (out.partitionBy("version") if name == "elements" else out).parquet(f"{self.path}/{name}")
+        (out.partitionBy("version", "seq") if name == "elements" else out).parquet(f"{self.path}/{name}")
 
     # versions
     def add_version(self, date: str, elements: DataFrame, label: str | None = None) -> None:
-        self._append("elements", elements.withColumn("version", F.lit(date)))
-        self._append("versions", self.spark.createDataFrame([(date, label, self._seq())], schema.VERSIONS))
+        own = self._seq()
+        self._append("elements", elements.withColumn("version", F.lit(date)).withColumn("seq", F.lit(own)))
+        self._append("versions", self.spark.createDataFrame([(date, label, own)], schema.VERSIONS))
 
     def add_uslm_xml(self, path: str, date: str, label: str | None = None) -> None:
         self.add_version(date, uslm.read_uslm(self.spark, path, date).drop("source", "error"), label)
@@ -64,19 +69,31 @@ class Dataset:
         return self.table("versions").orderBy("snapshot_date", "seq")
 
     def elements(self, date: str) -> DataFrame:
-        if versions.by_date(self.table("versions"), date).isEmpty():
+        """Elements of the snapshot of a date, the one added first if there are several."""
+        own = versions.by_date(self.table("versions"), date).first()
+        if own is None:
             raise VersionNotFound(date)
-        return self.table("elements").where(F.col("version") == date).drop("version")
+        return self.table("elements").where((F.col("version") == date) & (F.col("seq") == own.seq)).drop("version", "seq")
+
+    def all_elements(self) -> DataFrame:
+        """Elements of all snapshots."""
+        known = self.table("versions").select(F.col("snapshot_date").alias("version"), "seq")
+        return self.table("elements").join(known, ["version", "seq"], "left_semi").drop("version", "seq")
 
     def find_element(self, path: str) -> DataFrame:
-        return tree.element_versions(self.table("elements"), path)
+        return tree.element_versions(self.all_elements(), path)
 
     def search_text(self, query: str) -> DataFrame:
-        return tree.search_text(self.table("elements"), query)
+        return tree.search_text(self.all_elements(), query)
 
     def compute_diff(self, from_date: str, to_date: str, prune: str = "reference") -> diff.TreeDiff:
         return diff.compute_diff(self.elements(from_date), self.elements(to_date), prune)
 
+    @staticmethod
+    def pair_diff(spark: SparkSession, old: str, new: str, from_date: str, to_date: str, prune: str = "reference") -> diff.TreeDiff:
+        """Difference of two files, without a dataset."""
+        return diff.compute_diff(uslm.read_uslm(spark, old, from_date), uslm.read_uslm(spark, new, to_date), prune)
+
     # bills
     def add_bill(self, amendments: DataFrame) -> None:
         self._append("amendments", amendments.withColumn("seq", F.lit(self._seq())))
@@ -86,13 +103,34 @@ class Dataset:
         rows = self.table("amendments").where(F.col("bill_id") == bill_id)
         return rows.join(rows.agg(F.min("seq").alias("seq")), "seq", "left_semi").drop("seq")
 
+    def amendment(self, amendment_id: str) -> DataFrame:
+        return notes.amendment(self.table("amendments"), amendment_id).drop("seq")
+
+    @property
+    def bill_diffs(self) -> DataFrame:
+        """Changes of amendments: of each, those since they were last replaced."""
+        rows = self.table("bill_diffs")
+        last = rows.groupBy("amendment_id").agg(F.max("generation").alias("generation"))
+        return rows.join(last, ["amendment_id", "generation"], "left_semi").where("diff_ordinal IS NOT NULL")
+
     def add_bill_diff(self, amendment_id: str, added: list[str], removed: list[str]) -> bool:
         """Append a change to the first bill that has the amendment; False if none has it."""
-        own = self.table("amendments").where(F.col("amendment_id") == amendment_id).orderBy("seq").limit(1).first()
+        own = self.amendment(amendment_id).first()
+        if own is None:
+            return False
+        last = self.table("bill_diffs").where(F.col("amendment_id") == amendment_id).orderBy(F.desc("generation"), F.desc_nulls_last("diff_ordinal")).first()
+        at = (0, -1) if last is None else (last.generation, -1 if last.diff_ordinal is None else last.diff_ordinal)
+        self._append("bill_diffs", self.spark.createDataFrame([(own.bill_id, amendment_id, at[1] + 1, added, removed, at[0], self._seq())], TABLES["bill_diffs"]))
+        return True
+
+    def replace_bill_diffs(self, amendment_id: str, changes: list[tuple[list[str], list[str]]]) -> bool:
+        """Put these changes (added, removed) in the place of all that the amendment has; False if no bill has it."""
+        own = self.amendment(amendment_id).first()
         if own is None:
             return False
-        n = self.table("bill_diffs").where(F.col("amendment_id") == amendment_id).agg(F.max("diff_ordinal")).first()[0]
-        self._append("bill_diffs", self.spark.createDataFrame([(own.bill_id, amendment_id, 0 if n is None else n + 1, added, removed, self._seq())], TABLES["bill_diffs"]))
+        now = self._seq()
+        rows = [(own.bill_id, amendment_id, k, added, removed, now, now) for k, (added, removed) in enumerate(changes)]
+        self._append("bill_diffs", self.spark.createDataFrame(rows or [(own.bill_id, amendment_id, None, None, None, now, now)], TABLES["bill_diffs"]))
         return True
 
     def load_bill_downloads(self, downloads: DataFrame) -> None:
@@ -102,7 +140,7 @@ class Dataset:
         self.add_members(congress.shred_members(downloads.select(F.explode(F.map_values("member_jsons")).alias("json"))))
 
     def best_amendments(self, changes: diff.TreeDiff) -> DataFrame:
-        return match.best_amendments(changes.field_changes, self.table("bill_diffs"))
+        return match.best_amendments(changes.field_changes, self.bill_diffs)
 
     def mentions(self, changes: diff.TreeDiff) -> DataFrame:
         return match.mentions(changes.nodes.select("path"), self.table("amendments"))
@@ -137,17 +175,41 @@ class Dataset:
         self._append("annotations", row)
         return own
 
+    def add_annotations(self, rows: DataFrame) -> None:
+        """Many annotations at once."""
+        self._append("annotations", rows)
+
+    def set_status(self, annotation_id: int, status: str) -> bool:
+        """Store a new status; False if there is no such annotation."""
+        if status not in schema.STATUSES:
+            raise ValueError(f"unknown status: {status}")
+        if self.table("annotations").where(F.col("annotation_id") == annotation_id).isEmpty():
+            return False
+        self._append("statuses", self.spark.createDataFrame([(annotation_id, status, self._seq())], TABLES["statuses"]))
+        return True
+
+    def all_annotations(self) -> DataFrame:
+        return notes.with_updates(self.table("annotations"), self.table("statuses"))
+
     def annotations(self, from_date: str, to_date: str) -> DataFrame:
-        return self.table("annotations").where((F.col("from_date") == from_date) & (F.col("to_date") == to_date))
+        return self.all_annotations().where((F.col("from_date") == from_date) & (F.col("to_date") == to_date))
 
     def unannotated_paths(self, from_date: str, to_date: str) -> DataFrame:
         changed = self.compute_diff(from_date, to_date).changed_nodes()
         return notes.unannotated(changed, self.annotations(from_date, to_date)).select("path", "ord_path").orderBy("ord_path").select("path")
 
     def sponsors_for_path(self, path: str) -> DataFrame:
-        return notes.sponsors_for_path(self.table("annotations"), self.sponsors, self.members, path)
+        return notes.sponsors_for_path(self.all_annotations(), self.sponsors, self.members, path)
 
     def export_json(self, path: str) -> None:
         """Every table as lines of JSON."""
         for name in TABLES:
             uslm.write_json(self.table(name), f"{path}/{name}")
+
+    @classmethod
+    def load_json(cls, spark: SparkSession, json: str, path: str) -> Dataset:
+        """A dataset from what `export_json` wrote, kept under a new path."""
+        out = cls(spark, path)
+        for name, ddl in TABLES.items():
+            out._append(name, uslm.read_json(spark, f"{json}/{name}", ddl))
+        return out

@@ -364,3 +364,161 @@ def owning_bill(spark, sf_dir):
     rows = _annotations(spark, sf_dir).select("amendment_id", "bill_id", F.col("annotation_id").alias("seq"))
     ids = rows.select("amendment_id").distinct().unionByName(spark.createDataFrame([("none",)], "amendment_id string"))
     return notes.owning_bill(ids, rows)
+
+
+# lookups, updates and what else has no query above
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 < 2 THEN 'Senate' WHEN n_nationkey % 7 < 5 THEN 'House' END AS chamber FROM nation")
+def chamber_alias(spark, sf_dir):
+    names = F.array(*map(F.lit, ("senate", "S", "H", "house", "House of Representatives", "SENATE", "Court")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", fn.chamber(F.get(names, (F.col("n_nationkey") % 7).cast("int"))).alias("chamber"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n > 6 THEN '…/' ELSE '' END || array_to_string(['s' || i for i in range(greatest(1, n - 5), n + 1)], '/') AS short FROM (SELECT o_orderkey, o_orderkey % 9 + 1 AS n FROM orders)")
+def short_paths(spark, sf_dir):
+    n = (F.col("o_orderkey") % 9 + 1).cast("int")
+    path = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("s"), i.cast("string"))), "/")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fn.short_path(path).alias("short"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 1 AS ok FROM orders")
+def json_validity(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, ('{"a": [1]}', '{"a": [1}', "7"))), (F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", congress.is_json(text).alias("ok"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS bill_id, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE '' END AS sponsor, 's' || (o_orderkey % 10) AS cosponsor, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey % 3 = 0 AS withdrawn FROM orders WHERE o_orderkey % 5 <> 0")
+def sponsors_shred(spark, sf_dir):
+    k, date = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    own = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("c"), "o_custkey").alias("bioguideId"))).alias("sponsors")).alias("bill")))
+    other = F.struct(F.concat(F.lit("s"), k % 10).alias("bioguideId"), date.alias("sponsorshipDate"), F.when(k % 3 == 0, date).alias("sponsorshipWithdrawnDate"))
+    others = F.when(k % 5 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.array(other).alias("cosponsors"))))
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("bill_id"), F.when(k % 2 == 0, own).otherwise(F.lit("{}")).alias("sponsors_json"), others.alias("cosponsors_json"))
+    return congress.shred_sponsors(rows).select("bill_id", "sponsor", F.inline("cosponsors")).withColumnRenamed("bioguide_id", "cosponsor")
+
+
+@query("SELECT o_orderkey::VARCHAR AS bill_id, 'u' || o_orderkey AS url FROM orders WHERE o_orderkey % 3 = 0")
+def law_text_urls(spark, sf_dir):
+    k = F.col("o_orderkey")
+    form = lambda kind, url: F.struct(F.lit(kind).alias("type"), url.alias("url"))
+    version = lambda kind, *forms: F.struct(kind.alias("type"), F.array(*forms).alias("formats"))
+    law = version(F.when(k % 3 == 0, "Public Law").otherwise("Enrolled"), form("PDF", F.lit("p")), form("United States Legislative Markup", F.concat(F.lit("u"), k)))
+    text = F.to_json(F.struct(F.array(version(F.lit("Introduced"), form("United States Legislative Markup", F.lit("i"))), law).alias("textVersions")))
+    return congress.law_text_urls(table(spark, sf_dir, "orders").select(k.cast("string").alias("bill_id"), text.alias("text_json")))
+
+
+@query("SELECT n_nationkey, 'publiclawdocument_119-' || n_nationkey AS path, '/us/pl/119-' || n_nationkey AS uslm_id, 'public_law' AS bill_type, '119-' || n_nationkey AS bill_id FROM nation UNION ALL SELECT n_nationkey, 'publiclawdocument_119-' || n_nationkey || '/title_I', '/t', 'public_law', '119-' || n_nationkey FROM nation")
+def public_law_parse(spark, sf_dir):
+    xml = F.format_string('<pLaw xmlns="urn:x"><meta><congress>119</congress><docNumber>%d</docNumber></meta><preface><docNumber>119-%d</docNumber></preface><title identifier="/t"><num value="I">TITLE I</num></title></pLaw>', "n_nationkey", "n_nationkey")
+    rows = uslm.parse_documents(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source"), xml.alias("xml"), F.lit("2025-07-18").alias("date")))
+    return rows.select(F.col("source").cast("int").alias("n_nationkey"), "path", "uslm_id", "document_type.bill_type", "document_type.bill_id")
+
+
+@query("SELECT n_nationkey, g AS credit, CASE g WHEN 0 THEN '/a' ELSE '/b' END || n_nationkey AS ref_id, CASE g WHEN 0 THEN n_name ELSE '' END AS description FROM nation, (VALUES (0), (1)) v(g)")
+def source_credits(spark, sf_dir):
+    xml = F.format_string('<uscDoc xmlns="urn:x"><meta><type>USCTitle</type><docNumber>1</docNumber></meta><main><section identifier="/s"><num value="1"/><sourceCredit>(<ref href="/a%d">%s</ref>; <ref href="/b%d"/>)</sourceCredit></section></main></uscDoc>', "n_nationkey", "n_name", "n_nationkey")
+    rows = uslm.parse_documents(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source"), xml.alias("xml"), F.lit("2025-07-18").alias("date")))
+    pairs = rows.select(F.col("source").cast("int").alias("n_nationkey"), F.posexplode("source_credits").alias("credit", "c")).select("n_nationkey", "credit", F.inline("c.ref_pairs"))
+    return pairs.select("n_nationkey", "credit", "ref_id", "description")
+
+
+@query("SELECT n_nationkey::VARCHAR AS bill_id, CASE WHEN n_nationkey % 4 = 0 THEN 'missing' WHEN n_nationkey % 4 = 1 THEN 'xml' END AS code, CASE WHEN n_nationkey % 4 > 1 THEN n_name END AS text FROM nation")
+def bills_permissive(spark, sf_dir):
+    k = F.col("n_nationkey")
+    xml = F.when(k % 4 == 0, F.lit('<a role="instruction"><amendingAction/></a>')).when(k % 4 == 1, F.lit("<a")).otherwise(F.format_string('<a role="instruction">%s</a>', "n_name"))
+    rows = uslm.parse_bill_amendments(table(spark, sf_dir, "nation").select(k.cast("string").alias("bill_id"), xml.alias("xml")), "PERMISSIVE")
+    return rows.select("bill_id", "error.code", F.col("amending_text").alias("text"))
+
+
+@query("SELECT '2025-07-18' AS snapshot, n_name AS heading FROM nation WHERE n_nationkey = 0 UNION ALL SELECT '2025-07-30', n_name FROM nation WHERE n_nationkey = 0")
+def element_versions(spark, sf_dir):
+    rows = elements(spark, sf_dir).unionByName(elements(spark, sf_dir, new=True))
+    return tree.element_versions(rows, "title_0/chapter_0").select(F.col("snapshot_date").cast("string").alias("snapshot"), "heading")
+
+
+@query(_TREE + _CHANGED + _KEPT + "SELECT path FROM kept WHERE path = 'title_1' OR starts_with(path, 'title_1/')")
+def diff_find(spark, sf_dir):
+    return _diff(spark, sf_dir).find("title_1").select("path")
+
+
+@query(_TREE + _CHANGED + _KEPT + "SELECT path FROM kept WHERE contains(path, 'section_1')")
+def diff_path_filter(spark, sf_dir):
+    return diff.containing(_diff(spark, sf_dir).nodes, " section_1 ").select("path")
+
+
+@query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-01') = '1996-01-01' AND o_orderkey % 3 = (SELECT min(o_orderkey % 3) FROM orders WHERE strftime(o_orderdate, '%Y-%m-01') = '1996-01-01')")
+def version_equal_dates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-01").alias("version"), (F.col("o_orderkey") % 3).alias("seq"))
+    known = rows.select(F.col("version").alias("snapshot_date"), "seq").distinct()
+    return versions.elements_at(rows, known, "1996-01-01").select("o_orderkey")
+
+
+@query(_VERSIONS + "SELECT 'next' AS step, min(snapshot_date) AS snapshot_date FROM v WHERE snapshot_date > '1996-01-01' UNION ALL SELECT 'prev', max(snapshot_date) FROM v WHERE snapshot_date < '1996-01-01'")
+def version_steps(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    step = lambda df, name: df.select(F.lit(name).alias("step"), "snapshot_date")
+    return step(versions.next_version(v, "1996-01-01"), "next").unionByName(step(versions.prev_version(v, "1996-01-01"), "prev"))
+
+
+@query("SELECT doc_id AS annotation_id FROM labels WHERE quality <> 1 AND toxic <> 1")
+def annotations_by_status(spark, sf_dir):
+    return notes.by_status(_annotations(spark, sf_dir), "Pending").select("annotation_id")
+
+
+@query("SELECT doc_id AS annotation_id, CASE WHEN doc_id % 6 = 0 THEN 'Rejected' WHEN doc_id % 3 = 0 THEN 'Verified' WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'Disputed' ELSE 'Verified' END WHEN toxic = 1 THEN 'Rejected' END AS status FROM labels")
+def status_updates(spark, sf_dir):
+    rows = _annotations(spark, sf_dir)
+    update = lambda by, status, seq: rows.where(F.col("annotation_id") % by == 0).select("annotation_id", F.lit(status).alias("status"), F.lit(seq).alias("seq"))
+    return notes.with_updates(rows, update(6, "Rejected", 2).unionByName(update(3, "Verified", 1))).select("annotation_id", "status")
+
+
+@query("SELECT doc_id AS annotation_id, n_name AS amending_text FROM labels LEFT JOIN nation ON n_nationkey = doc_id % 50")
+def annotation_texts(spark, sf_dir):
+    texts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("amendment_id"), F.col("n_name").alias("amending_text"))
+    return notes.with_texts(_annotations(spark, sf_dir), texts).select("annotation_id", "amending_text")
+
+
+@query("SELECT doc_id AS annotation_id, path, n_changes FROM (SELECT doc_id, 'doc_' || doc_id AS path FROM labels UNION ALL SELECT doc_id, 'group_' || (doc_id % 20) FROM labels) LEFT JOIN (SELECT 'group_' || n_nationkey AS path, n_regionkey AS n_changes FROM nation) USING (path)")
+def annotation_changes(spark, sf_dir):
+    changed = table(spark, sf_dir, "nation").select(F.concat(F.lit("group_"), "n_nationkey").alias("path"), F.col("n_regionkey").alias("n_changes"))
+    return notes.with_changes(_annotations(spark, sf_dir), changed).select("annotation_id", "path", "n_changes")
+
+
+@query("SELECT 'a1' AS amendment_id, min(o_orderkey) AS bill_id FROM orders WHERE o_custkey % 10 = 1")
+def amendment_by_id(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), F.col("o_custkey") % 10).alias("amendment_id"), F.col("o_orderkey").alias("bill_id"), F.col("o_orderkey").alias("seq"))
+    return notes.amendment(rows, "a1").select("amendment_id", "bill_id")
+
+
+@query("SELECT o_orderkey AS amendment_id, 0 AS diff_ordinal, o_orderpriority AS added FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, unnest([0, 1]), 'new' FROM orders WHERE o_orderkey % 5 = 0")
+def changes_replaced(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("amendment_id"), F.lit(0).alias("diff_ordinal"), F.array("o_orderpriority").alias("added"))
+    fresh = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("amendment_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("diff_ordinal"), F.array(F.lit("new")).alias("added"))
+    return notes.replaced(rows, fresh).select("amendment_id", "diff_ordinal", F.explode("added").alias("added"))
+
+
+_FOUND = """
+WITH a AS (SELECT n_nationkey AS id, 'As in Section ' || (n_nationkey % 5) || '(1) and section ' || (n_nationkey % 3) || '.' AS t FROM nation),
+m AS (SELECT id, 'title_1/section_' || r_regionkey AS path, regexp_extract(t, '[Ss]ection\\s*' || r_regionkey || '\\D', 0) AS s, regexp_extract(t, '[Ss]ection\\s*' || r_regionkey, 0) AS m FROM a, region),
+found AS (SELECT id, path, CASE WHEN length(m) > length(s) THEN m ELSE s END AS matched_text FROM m WHERE s <> '' OR m <> '')
+"""
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("As in Section "), k % 5, F.lit("(1) and section "), k % 3, F.lit("."))
+    paths = table(spark, sf_dir, "region").select(F.concat(F.lit("title_1/section_"), "r_regionkey").alias("path"))
+    return match.mentions(paths, table(spark, sf_dir, "nation").select(k.alias("amendment_id"), text.alias("amending_text")))
+
+
+@query(_FOUND + "SELECT DISTINCT path, id AS amendment_id FROM found")
+def mention_index(spark, sf_dir):
+    return match.amendments_by_path(_found(spark, sf_dir))
+
+
+@query(_FOUND + "SELECT id AS amendment_id, string_agg(path || '=' || matched_text, ';' ORDER BY path) AS matches FROM found GROUP BY 1")
+def matches_by_amendment(spark, sf_dir):
+    each = F.transform("matches", lambda m: F.concat(m["path"], F.lit("="), m["matched_text"]))
+    return match.matches_by_amendment(_found(spark, sf_dir)).select("amendment_id", F.array_join(each, ";").alias("matches"))

@@ -41,6 +41,7 @@ ACTIONS = ("amend", "add", "delete", "insert", "redesignate", "repeal", "move",
 ACTION_ALIASES = {"strikeandinsert": "strike_and_insert"}
 #: Parties and chambers with their aliases.
 PARTIES = {"D": "Democrat", "Democrat": "Democrat", "Democratic": "Democrat", "R": "Republican", "Republican": "Republican", "I": "Independent", "ID": "Independent", "Independent": "Independent"}
+CHAMBERS = {"Senate": "Senate", "senate": "Senate", "S": "Senate", "House": "House", "house": "House", "H": "House", "House of Representatives": "House"}
 STATUSES = ("Pending", "Verified", "Disputed", "Rejected")
 #: Words that say nothing about a change.
 STOP_WORDS = (

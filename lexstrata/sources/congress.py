@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
@@ -112,6 +114,23 @@ class ResponseCache:
             path.unlink()
 
 
+def http_transport(base: str, key: str, timeout: float = 30) -> Callable[[str], tuple[int, str]]:
+    """A transport over HTTP: paths are taken below `base`, full urls as they are; the key goes with requests to `base` only."""
+
+    def get(path: str) -> tuple[int, str]:
+        whole = "://" in path
+        request = urllib.request.Request(path if whole else f"{base.rstrip('/')}/{path}", headers={} if whole else {"X-Api-Key": key})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return answer.status, answer.read().decode("utf-8")
+        except urllib.error.HTTPError as e:
+            return e.code, ""
+        except OSError as e:
+            raise CongressError("http", str(e)) from None
+
+    return get
+
+
 class CongressClient:
     """transport(path) -> (status, body). Answers are cached; a status is mapped to CongressError."""
 

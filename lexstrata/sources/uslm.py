@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import date as Date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -251,30 +251,70 @@ def _instructions(bill_id: str, xml: str) -> Iterator[dict]:
         yield {"bill_id": bill_id, "action_types": [n for n in names if n in schema.ACTIONS], "amending_text": "".join(texts).translate(_QUOTES), "ordinal": k}
 
 
-def _bills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for bill_id, xml in zip(batch["bill_id"], batch["xml"], strict=True):
-            rows = list(_instructions(bill_id, xml))
-            for s in range(0, len(rows), CHUNK):
-                yield pd.DataFrame(rows[s : s + CHUNK], columns=["bill_id", "action_types", "amending_text", "ordinal"])
+def _bills(permissive: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bill_id, xml in zip(batch["bill_id"], batch["xml"], strict=True):
+                try:
+                    rows = [r | {"error": None} for r in _instructions(bill_id, xml)]
+                except UslmError as e:
+                    if not permissive:
+                        raise
+                    rows = [{"bill_id": bill_id, "action_types": None, "amending_text": None, "ordinal": None, "error": {"code": e.code, "message": e.message}}]
+                for s in range(0, len(rows), CHUNK):
+                    yield pd.DataFrame(rows[s : s + CHUNK], columns=["bill_id", "action_types", "amending_text", "ordinal", "error"]).astype({"ordinal": "Int32"})
+
+    return run
+
 
+def parse_bill_amendments(bills: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """Amendments of bills (bill_id, xml): one per text of a bill, the last where texts repeat.
 
-def parse_bill_amendments(bills: DataFrame) -> DataFrame:
-    """Amendments of bills (bill_id, xml): one per text of a bill, the last where texts repeat."""
-    rows = bills.select("bill_id", "xml").mapInPandas(_bills, "bill_id string, action_types array<string>, amending_text string, ordinal int")
+    PERMISSIVE adds `error`, and gives one row with it for a bill that can't be parsed.
+    """
+    permissive = mode.upper() == "PERMISSIVE"
+    rows = bills.select("bill_id", "xml").mapInPandas(_bills(permissive), f"bill_id string, action_types array<string>, amending_text string, ordinal int, error {schema.ERROR}")
     rows = rows.withColumn("amendment_id", fn.amendment_id(F.col("bill_id"), F.col("amending_text")))
-    return rows.groupBy("bill_id", "amendment_id").agg(F.max_by(F.struct("action_types", "amending_text", "ordinal"), "ordinal").alias("r")).select("bill_id", "amendment_id", "r.*")
+    own = ["action_types", "amending_text", "ordinal", *(["error"] if permissive else [])]
+    return rows.groupBy("bill_id", "amendment_id").agg(F.max_by(F.struct(*own), F.coalesce("ordinal", F.lit(-1))).alias("r")).select("bill_id", "amendment_id", "r.*")
 
 
-def read_bill_amendments(spark: SparkSession, path: str, bill_id: str | None = None) -> DataFrame:
+def read_bill_amendments(spark: SparkSession, path: str, bill_id: str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Amendments of bill files; without bill_id it comes from each file's name."""
     files = read_files(spark, path)
     named = F.regexp_replace(F.regexp_extract("source", r"([^/]*)\.xml$", 1), r"^bill_", "")
     own = F.lit(bill_id) if bill_id is not None else F.when(named.rlike(r"^\d+_"), F.replace(named, F.lit("_"), F.lit("-"))).otherwise(named)
-    return parse_bill_amendments(files.select(own.alias("bill_id"), "xml"))
+    return parse_bill_amendments(files.select(own.alias("bill_id"), "xml"), mode)
+
+
+def failures(rows: DataFrame) -> int:
+    """How many documents of a PERMISSIVE result could not be parsed."""
+    return rows.where("error IS NOT NULL").count()
+
+
+#: Microseconds, too, so that what is written can be read again as it was.
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     """Rows as lines of JSON; `by` splits into a folder per value (one per source document, say)."""
-    out = df.write.mode("errorifexists").option("ignoreNullFields", "false")
+    out = df.write.mode("errorifexists").option("ignoreNullFields", "false").option("timestampFormat", _STAMP)
     (out.partitionBy(by) if by else out).json(path)
+
+
+def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Typed rows of lines of JSON; a line that isn't of the schema is an error."""
+    return spark.read.schema(ddl).option("mode", "FAILFAST").option("timestampFormat", _STAMP).json(path)
+
+
+def uslm_to_json(spark: SparkSession, path: str, date: str, to: str) -> None:
+    """A file, or each file of a folder, as lines of JSON: a folder per file, named by its stem.
+
+    Files that can't be parsed are left out; after the others are written, their number is raised as an error.
+    """
+    seen = Observation()
+    bad = F.count(F.when(F.col("error").isNotNull(), 1)).alias("failures")
+    rows = read_uslm(spark, path, date, "PERMISSIVE").observe(seen, bad).where("error IS NULL")
+    write_json(rows.withColumn("stem", F.regexp_extract("source", r"([^/]*)\.[^./]*$", 1)).drop("error"), to, by="stem")
+    if n := seen.get["failures"]:
+        raise UslmError("unable_to_parse_element", f"{n} files could not be parsed")

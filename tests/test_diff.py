@@ -1,10 +1,12 @@
 import random
+import time
 from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexstrata.functions import worddiff
+from lexstrata.operators import annotations as notes
 from lexstrata.operators import diff, match
 from lexstrata.sources import uslm
 from pyspark.sql import functions as F
@@ -38,6 +40,13 @@ def test_word_edits_are_shortest_and_rebuild_both(old, new):
     assert all(v == (a[i] if t == "delete" else b[j]) for v, i, j, t in edits)
 
 
+def test_a_rewritten_section_takes_linear_space():
+    old, new = [[f"{side}{i // 2}" if i % 3 else " " for i in range(10_000)] for side in "ab"]
+    began = time.process_time()
+    edits = worddiff.edits(old, new)
+    assert time.process_time() - began < 20 and len(edits) >= 2 * 6_600
+
+
 def test_published_word_index():
     old = "In the case of a taxpayer's specified research or experimental expenditures"
     got = worddiff.edits(worddiff.tokens(old), worddiff.tokens(old.replace("specified", "foreign")))
@@ -84,6 +93,23 @@ def recursive(old, new):
     return sorted(n["path"] for n in nodes), sorted(p for n in nodes for p in n["added"]), sorted(p for n in nodes for p in n["removed"])
 
 
+def test_parts_read_one_table(spark, tmp_path):
+    """Each part of a difference reads the compared rows; none joins the snapshots again."""
+    a, b = (read(spark, tmp_path / n, usc(section(1, f"<content>{n}</content>")), "2025-07-18") for n in "ab")
+    d = diff.compute_diff(a, b)
+    for part in (d.nodes, d.added, d.removed, d.changed_nodes()):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and "FullOuter" not in plan.split("InMemoryRelation")[0]
+    d.release()
+
+
+def test_ranks_of_many_ties(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("score"), "id").repartition(7)
+    got = {r.id: r.rank for r in notes.ranked(rows, F.desc("score"), "id").collect()}
+    want = sorted(range(5000), key=lambda i: (-(i % 3), i))
+    assert [got[i] for i in want] == list(range(1, 5001))
+
+
 def test_against_a_recursive_model(spark):
     rng = random.Random(8)
 
