@@ -5,8 +5,9 @@
   2. Equal normalised lines are one node, named by a 64-bit hash. A line whose second hash is not its node's is left alone.
   3. Lines meet on rare word pairs: of the pairs of neighbouring words, brought into one fixed order with rare ones first, each
      line enters the lists of as many as edits can destroy, and one more (see `prefix`). Two lines that are similar enough share one
-     of these whatever the order is. The order (counts of all pairs of all distinct lines in BUCKETS hash buckets, then a hash)
-     only keeps lists short. SimHash blocks, the method first thought of, find few of the lines that are this similar.
+     of these whatever the order is. The order only keeps lists short: all pairs of all distinct lines are counted; pairs that
+     occur once come first and enter no list, since no line shares them; the others follow by their counts in BUCKETS hash
+     buckets, then by hash. SimHash blocks, the method first thought of, find few of the lines that are this similar.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
      are not in the pivot's component are held against the list's lines in other components. So components are whole, and no
      pairs within one are made. Lengths and parities (of a line's words in 128 cells) drop pairs that can't be similar: an edit
@@ -32,7 +33,8 @@ from .graph import components
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Counters of word pairs: a fixed number, of which only the order of pairs depends.
+#: Cells of 64 bits that mark repeated word pairs, and counters of these: fixed numbers. Full ones only make lists longer.
+CELLS = 1 << 20
 BUCKETS = 1 << 18
 
 
@@ -61,10 +63,10 @@ def _distinct(tmp: shared.Scratch, rows: DataFrame, h: str, twice: DataFrame) ->
 
 
 def numbered(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
-    """doc, key, pos, norm, node and a second hash of every line that has a character."""
+    """doc, key, pos, norm, node and a second hash of every line; norm is empty for lines without a character."""
     rows = _single(tmp, _rows(docs).select("doc", "key", "text"), "key")
     lines = rows.select("doc", "key", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn("low", F.trim(F.lower("line")))
-    lines = lines.select("doc", "key", "pos", normalised(F.col("low")).alias("norm")).where("norm != ''")
+    lines = lines.select("doc", "key", "pos", F.coalesce(normalised(F.col("low")), F.lit("")).alias("norm"))
     return lines.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(1), "norm").alias("second"))
 
 
@@ -93,27 +95,53 @@ def word_pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
 
 
-def pair_ranks(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket of pairs a number from 0 to 127 that grows with its count over all lines, relative to the mean."""
-    pairs = lines.select(F.explode_outer(once(F.split("norm", " "), word_pairs)).alias("h"))  # (outer: else it is computed twice)
-    counts = pairs.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("n"))
-    dense = lines.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    every = dense.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("every"), F.greatest(F.sum("n"), F.lit(1)).alias("total"))
-    return every.select(F.transform("every", lambda x: F.least(F.lit(127), F.floor(16 * F.log2(x["n"] * BUCKETS / F.col("total") + 1))).cast("int")).alias("rank"))
+def repeated_pairs(lines: DataFrame) -> DataFrame:
+    """h and n of the word pairs that occur more than once in all lines."""
+    pairs = lines.select(F.explode_outer(once(F.split("norm", " "), word_pairs)).alias("h"))  # (outer: else they are computed twice)
+    return pairs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def prefix(words: Column, ranks: Column) -> Column:
-    """The first word pairs of a line, in the order of their ranks, then of their hashes.
+def _bits(h: Column, at: int, size: int) -> Column:
+    """A number below size, a power of two, from some bits of a hash."""
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit(size - 1))
+
+
+def _dense(rows: DataFrame, size: int) -> DataFrame:
+    """One row: an array `every` of the values v by id, 0 where there is no row, and their mean."""
+    whole = rows.sparkSession.range(size).join(rows, "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+    return whole.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("e"), F.avg("v").alias("mean")).select(F.transform("e", lambda x: x["v"]).alias("every"), "mean")
+
+
+def pair_marks(repeated: DataFrame) -> DataFrame:
+    """One row: a bitmap of the repeated pairs."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.col("h"), 0, 64).cast("int"))
+    return _dense(repeated.groupBy(_bits(F.col("h"), 6, CELLS).alias("id")).agg(F.bit_or(bit).alias("v")), CELLS).select("every")
+
+
+def pair_ranks(repeated: DataFrame) -> DataFrame:
+    """One row: for each bucket of repeated pairs a number from 1 to 127 that grows with its count, relative to the mean."""
+    counts = repeated.groupBy(_bits(F.col("h"), 32, BUCKETS).alias("id")).agg(F.sum("n").alias("v"))
+    rank = lambda n: F.least(F.lit(127), 1 + F.floor(16 * F.log2(n / F.greatest("mean", F.lit(1e-9)) + 1))).cast("int")
+    return _dense(counts, BUCKETS).select(F.transform("every", rank).alias("every"))
+
+
+def prefix(words: Column, marks: Column, ranks: Column) -> Column:
+    """The first word pairs of a line, in the order of their ranks, then of their hashes, without those that occur once.
 
     Of two lines of n and n + k words that are similar, k of at most e = most_edits(n + k) edits insert words into the shorter one.
     An insertion destroys one of its pairs, another edit two: together 2 e - k, the most of which over all k is at k = 0 or
     k = 1. Of the longer one 2 e are destroyed at most. The first shared pair comes after destroyed ones only.
     """
-    place = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
+
+    def place(h: Column) -> Column:
+        repeated = F.call_function("shiftrightunsigned", F.get(marks, _bits(h, 6, CELLS).cast("int")), _bits(h, 0, 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.when(repeated, F.shiftleft(F.get(ranks, _bits(h, 32, BUCKETS).cast("int")).cast("long"), 56)).otherwise(F.lit(0))
+
     pairs = F.transform(word_pairs(words), lambda h: place(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     n = F.size(words)
     destroyed = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1)
-    return F.array_distinct(F.slice(F.sort_array(pairs), F.lit(1), (destroyed + 1).cast("int")))
+    first = F.slice(F.sort_array(pairs), F.lit(1), (destroyed + 1).cast("int"))
+    return F.array_distinct(F.filter(first, lambda x: x >= F.lit(1 << 56)))
 
 
 SKETCH = ["n", "even0", "even1"]
@@ -151,17 +179,20 @@ def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str)
 def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """block, node, size and sketch: the lists of word pairs that two lines or more have in their prefixes, as a written table."""
     long = lines.where(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= LEAST_WORDS - 1)
-    ranks = tmp.written(pair_ranks(long), "pair-ranks")
-    # the ranks are one value for all rows: the optimizer puts it where it is used, no row carries it
-    keyed = long.withColumn("ranks", ranks.scalar()).select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("ranks"))).alias("blocks"))
-    keyed = keyed.select("node", F.explode_outer("blocks").alias("block")).repartition("block")
+    repeated = tmp.written(repeated_pairs(long), "repeated-pairs")
+    marks, ranks = tmp.written(pair_marks(repeated), "pair-marks"), tmp.written(pair_ranks(repeated), "pair-ranks")
+    tmp.drop(repeated)
+    # marks and ranks are one value for all rows: the optimizer puts them where they are used, no row carries them
+    keyed = long.withColumn("marks", marks.scalar()).withColumn("ranks", ranks.scalar())
+    keyed = keyed.select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("marks"), F.col("ranks"))).alias("blocks"))
+    keyed = keyed.select("node", F.explode_outer("blocks").alias("block")).where("block IS NOT NULL").repartition("block")
     # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
     common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
     common = tmp.written(keyed.join(common.hint("shuffle_hash"), "block"), "common-blocks")
-    found = shared.marked(tmp, lines, "node", tmp.written(common.select(F.col("node").alias("h")).distinct(), "common-nodes")).where("may")
-    sketches = tmp.written(sketched(found.select("node", "norm")), "sketches")
+    nodes = tmp.written(common.select(F.col("node").alias("h")).distinct(), "common-nodes")
+    sketches = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm")), "sketches")
     out = tmp.written(common.join(sketches, "node"), "blocks")
-    tmp.drop(ranks, common, sketches)
+    tmp.drop(marks, ranks, common, nodes, sketches)
     return out
 
 
@@ -193,7 +224,7 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
 
 def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     """doc, key and the positions `gone` of the lines to remove, for documents that lose any."""
-    texts = tmp.written(numbered(tmp, docs), "line-texts")
+    texts = tmp.written(numbered(tmp, docs), "line-texts").where("norm != ''")
     place = F.struct("doc", "key", "pos")
     nodes = texts.groupBy("node").agg(F.min(F.struct("doc", "key", "pos", "second")).alias("first"), F.count("*").alias("copies"))
     nodes = tmp.written(nodes, "distinct-lines")

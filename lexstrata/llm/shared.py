@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,19 @@ TEXT_ROWS = 1000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lexstrata-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. A local one is made only where the session names none and runs in one process (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place, own = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not place:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="lexstrata-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/lexstrata-{spark.sparkContext.applicationId}"
+        place = _local_dir(own)
+    return f"{place.rstrip('/')}/lexstrata-{own}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
