@@ -20,6 +20,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
+#: Open tags that a leaf's vector looks at, from the innermost out.
+DEPTH = 16
 TRAIN_PAGES = 700
 EPOCHS = 14
 PATH_BINS = 96
@@ -51,9 +54,13 @@ _NAME = re.compile(r"[a-z]+")
 
 
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(open tags with their names, text, characters inside links) of each leaf block, in page order."""
+    """(innermost open tags with their names, text, characters inside links) of each leaf block, in page order.
+
+    Steps are in proportion to the page: a tag is looked for among the open ones only if one of its name is open.
+    """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     run: list[str] = []
     linked = 0
     in_link = 0
@@ -63,10 +70,14 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                out.append((tuple(label for _, label in stack), text, linked))
+                out.append((tuple(label for _, label in stack[-DEPTH:]), text, linked))
             run.clear()
         linked = 0
 
+    def shut(i: int):
+        opened.subtract(name for name, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -91,24 +102,24 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in VOID:
             continue
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    in_link = 0
-                    break
+            if opened[name] > 0:
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+                in_link = 0
             continue
         ends = CLOSES.get(name, set()) | ({"p"} if name in _BLOCK_END_P else set())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
-                del stack[i:]
-                break
-            if stack[i][0] in _STOPS:
-                break
+        if any(opened[x] > 0 for x in ends):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ends:
+                    shut(i)
+                    break
+                if stack[i][0] in _STOPS:
+                    break
         label = name
         if attrs:
             for _, x, y, z in _ATTR.findall(attrs):
                 label += " " + " ".join(_NAME.findall((x or y or z).lower()))
         stack.append((name, label))
+        opened[name] += 1
     flush()
     return out
 

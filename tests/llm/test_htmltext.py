@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 from lexstrata.llm import htmltext
@@ -57,6 +58,15 @@ def test_pages(spark, sf):
         assert got[r.page_id].text == article(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_deep_pages_take_linear_time():
+    n = 60_000
+    for page in ("<div>x" * n, "<q1>x" * n, "<p><b1>" * n + "</i1>" * n, "<ul><li>x" * n, "</div>" * n):
+        began = time.process_time()
+        assert len(htmltext.leaves(page)) in (0, n)
+        assert time.process_time() - began < 10
+    assert htmltext.leaves("<div>a<p>b<div>c</div>d</div>") == [(("div",), "a", 0), (("div", "p"), "b", 0), (("div", "div"), "c", 0), (("div",), "d", 0)]
+
+
 def test_edge_cases(spark):
     body = "<html><body><nav><a href=/x>Menu</a></nav><article><h1>A &amp;\n B</h1><p>One <b>two</b>three.<p>caf&eacute; &#x41; 1 &lt; 2<script>if (a < b) { '<p>' }</script> end</p>%s</article><footer>Foot</footer></body></html>"
     rows = [
