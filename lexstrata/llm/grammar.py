@@ -2,9 +2,10 @@
 
 Documents are dealt by ranges of doc_id and sorted, so the files hold them in ascending order. Each task cuts its
 documents into shards of about `shard_ids` ids (whole documents). In a shard, frequent pairs of neighbouring symbols are
-replaced by new symbols, again and again: each round counts all pairs of the shard (not across documents) and replaces up to
-`pairs_per_round` of the most frequent, runs of overlapping pairs from the left; a later round's rules may hold symbols of
-earlier ones.
+replaced by new symbols, until no pair (not across documents) occurs LEAST times: each round counts all pairs of the shard and
+replaces up to `per_round` of the most frequent, runs of overlapping pairs from the left; a later round's rules may hold symbols
+of earlier ones. Pairs are counted in hash slots, of which one pair each is replaced; when no slot has a frequent pair any
+more, they are counted by sorting, so that none is left behind.
 
 File format: Parquet, a row per shard:
   part        first doc_id of the task's range; shards order by (part, seq)
@@ -37,46 +38,66 @@ from . import shared
 from .encode import encoder
 
 SHARD_IDS = 1_000_000
-ROUNDS = 2
-PAIRS_PER_ROUND = 1024
+PAIRS_PER_ROUND = 4096
 LEAST = 8
 #: More writing tasks than this are joined to their shards without broadcast.
 BROADCAST_PARTS = 100_000
 FILES = "part long, seq int, start long, n_ids long, first_rule int, doc_ids array<long>, doc_symbols array<int>, rules binary, lengths binary, width int, symbols binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_slot(seq: np.ndarray, last: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, places): frequent pairs by their counts in hash slots, one of each slot, and for every place its pair or -1."""
+    slots = 1 << 18
+    slot = (seq[:-1] * np.int32(40503) + seq[1:] * np.int32(9973)) & np.int32(slots - 1)
+    slot[last[:-1]] = slots
+    often = np.bincount(slot, minlength=slots + 1)
+    often[-1] = 0
+    bar = max(least, int(np.partition(often, -per_round)[-per_round]))
+    at = np.flatnonzero((often >= bar)[slot])
+    slot = slot[at]
+    key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+    pair = np.zeros(slots, np.int64)
+    pair[slot] = key  # one pair stands for its slot; others that hash to it wait
+    own = pair[slot] == key
+    at, slot = at[own], slot[own]
+    n = np.bincount(slot, minlength=slots)
+    chosen = np.argsort(-n, kind="stable")[:per_round]
+    chosen = chosen[n[chosen] >= least]
+    number = np.full(slots, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    which = np.full(len(seq) - 1, -1, np.int32)
+    which[at] = number[slot]
+    return pair[chosen], which
+
+
+def _by_sorting(seq: np.ndarray, last: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all pairs."""
+    at = np.flatnonzero(~last[:-1])
+    key, where, n = np.unique((seq[at].astype(np.int64) << 32) | seq[at + 1], return_inverse=True, return_counts=True)
+    chosen = np.argsort(-n, kind="stable")[:per_round]
+    chosen = chosen[n[chosen] >= least]
+    number = np.full(len(key), -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    which = np.full(len(seq) - 1, -1, np.int32)
+    which[at] = number[where]
+    return key[chosen], which
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, per_round: int = PAIRS_PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents in symbols, rules) for ids and the ends of documents in them."""
     seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
-    made, slots = 0, 1 << 18
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        slot = (seq[:-1] * np.int32(40503) + seq[1:] * np.int32(9973)) & np.int32(slots - 1)
-        slot[last[:-1]] = slots
-        often = np.bincount(slot, minlength=slots + 1)
-        often[-1] = 0
-        bar = max(least, int(np.partition(often, -per_round)[-per_round]))
-        at = np.flatnonzero((often >= bar)[slot])
-        # one pair stands for its slot; others that hash to it wait for a later round
-        slot = slot[at]
-        key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-        pair = np.zeros(slots, np.int64)
-        pair[slot] = key
-        own = pair[slot] == key
-        at, slot = at[own], slot[own]
-        n = np.bincount(slot, minlength=slots)
-        chosen = np.argsort(-n, kind="stable")[:per_round]
-        chosen = chosen[n[chosen] >= least]
+    made = 0
+    while len(seq) > 1:
+        chosen, which = _by_slot(seq, last, per_round, least)
+        if not len(chosen):
+            chosen, which = _by_sorting(seq, last, per_round, least)
         if not len(chosen):
             break
-        number = np.full(slots, -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        which = number[slot]
-        at, which = at[which >= 0], which[which >= 0]
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
         # pairs that overlap: from the left of each run, every other one
         begin = np.concatenate(([True], np.diff(at) != 1))
         keep = (at - at[np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))]) % 2 == 0
@@ -86,7 +107,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = R
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules.append(np.stack((pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF), axis=1))
+        rules.append(np.stack((chosen >> 32, chosen & 0xFFFFFFFF), axis=1))
         made += len(chosen)
     return seq, np.flatnonzero(last) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -176,3 +197,43 @@ def read(docs_dir: str, spark) -> DataFrame:
     small = parts.count() <= BROADCAST_PARTS
     at = files.join(F.broadcast(before) if small else before, F.col("part").eqNullSafe(F.col("p"))).select((F.col("before") + F.col("start")).alias("at"), "first_rule", "doc_ids", "doc_symbols", "rules", "lengths", "width", "symbols")
     return at.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _decode(doc: int | None, begin: int, end: int | None):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                rules, lengths = np.frombuffer(row["rules"], "<i4").reshape(-1, 2), np.frombuffer(row["lengths"], "<i4")
+                symbols, first = np.frombuffer(row["symbols"], f"<u{row['width']}"), row["first_rule"]
+                for k in (k for k, d in enumerate(row["doc_ids"]) if d == doc):
+                    own = symbols[row["doc_symbols"][k - 1] if k else 0 : row["doc_symbols"][k]].astype(np.int64)
+                    sizes = np.where(own >= first, lengths[np.maximum(own - first, 0)] if len(lengths) else 1, 1)
+                    stops = np.cumsum(sizes)
+                    to = int(stops[-1]) if end is None else min(end, int(stops[-1]))
+                    lo, hi = np.searchsorted(stops, begin, "right"), np.searchsorted(stops, to, "left") + 1
+                    out, todo = [], own[lo:hi].tolist()[::-1]
+                    while todo:  # only the symbols that the range touches
+                        x = todo.pop()
+                        if x < first:
+                            out.append(x)
+                        else:
+                            todo += rules[x - first].tolist()[::-1]
+                    skip = begin - int(stops[lo - 1] if lo else 0)
+                    ids = out[skip : skip + max(0, to - begin)] if lo < len(own) else []
+                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return run
+
+
+def decode(docs_dir: str, spark, doc: int | None, begin: int = 0, end: int | None = None) -> DataFrame:
+    """Random access: doc_id and ids begin to end of one document; a row for each that has the id.
+
+    The shard is found by its range of ids (the filter reaches the Parquet scan), and only the symbols of the range are expanded.
+    """
+    files = spark.read.schema(FILES).parquet(docs_dir)
+    if doc is None:
+        own = files.where("part IS NULL AND exists(doc_ids, x -> x IS NULL)")
+    else:
+        part = files.where(F.col("part") <= doc).agg(F.max("part")).first()[0]
+        own = files.where(F.col("part").eqNullSafe(F.lit(part).cast("long")) & F.array_contains("doc_ids", F.lit(doc).cast("long")))
+    return own.select("first_rule", "doc_ids", "doc_symbols", "rules", "lengths", "width", "symbols").mapInArrow(_decode(doc, begin, end), "doc_id long, ids array<int>")
