@@ -7,8 +7,9 @@ sorted-array probe in the tasks), and extends each hit: every window that covers
 own hash and then word by word. Items of fewer than WINDOW words have one window of their own length, which winnowing
 can't promise to touch; their lengths are few, and for each of them every run of that many words is probed.
 
-The corpus is never shuffled. The benchmark is held in blocks of at most `block_words` words (a size bound that is
-checked, not assumed); more blocks mean one more map over the corpus each.
+A benchmark of at most `block_words` words (by its bytes, counted first) is probed in the tasks, and the corpus is not shuffled.
+A larger one is never gathered: its windows and fingerprints are tables, the documents' fingerprints are joined with them in Spark,
+and only windows around the hits are compared. Both ways give the same rows.
 
 Defined results: a null or empty text has no words: n_words 0, not contaminated. Null, empty or wordless items never
 occur; an item without id is counted, and named by an empty string. Repeated documents get a row each; repeated items
@@ -110,30 +111,14 @@ def found(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in runs of at most block_words words (one item at least); only one run is on the driver at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
-    run, size = [], 0
-    for row in rows.toLocalIterator():
-        n = len((row.t or "").split()) + 1
-        if run and size + n > block_words:
-            yield run
-            run, size = [], 0
-        run.append((row.i, row.t))
-        size += n
-    if run:
-        yield run
-
-
-def _scan(block: Block, first: bool):
-    """Adds what this block hits to the spans and items so far."""
+def _scan(block: Block):
+    """Adds the spans and items that the benchmark hits."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             row = batch.column(0)
             texts = row.field("text").to_pylist()
-            spans = [set() for _ in texts] if first else [set(map(tuple, x)) for x in batch.column(1).to_pylist()]
-            items = [set() for _ in texts] if first else [set(x) for x in batch.column(2).to_pylist()]
+            spans, items = [set() for _ in texts], [set() for _ in texts]
             counts = [0] * len(texts)
             for lo, raw in batches(texts):
                 w = Words(raw, PLAIN, True)
@@ -166,16 +151,120 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([row, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())], ["r", *FIELDS.names])
 
 
+def fingerprints(w: Words, m: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) by which windows of m words meet: winnowed grams for whole windows, else the windows themselves."""
+    if m < window:
+        return w.grams(m)
+    at, h = w.grams(gram)
+    kept = winnowed(h, w.doc[at], window - gram + 1) if len(at) else at
+    return at[kept], h[kept]
+
+
+def _spelled(w: Words, i: int, m: int) -> bytes:
+    return b" ".join(w.raw[s:e].tobytes() for s, e in zip(w.starts[i : i + m].tolist(), w.ends[i : i + m].tolist(), strict=True))
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+
+
+def _item_windows(window: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = Words([(text or "").encode("utf-8", "surrogatepass")], PLAIN, True)
+                m = min(len(w.starts), window)
+                at, h = w.grams(m) if m else ([], np.zeros(0, np.uint64))
+                out = [(name, m, x, _spelled(w, i, m)) for i, x in zip(list(at), h.view(np.int64).tolist(), strict=True)]
+                yield _table(out, ["item", "m", "h", "words"], [pa.string(), pa.int32(), pa.int64(), pa.binary()])
+
+    return run
+
+
+def _prints(lengths: list[int] | None, window: int, gram: int):
+    """Fingerprints of texts for windows of some lengths; of items (None) for the length that their own windows have."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keys = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+            for lo, raw in batches(batch.column(2).to_pylist()):
+                if lengths is None:
+                    parts = [(lo + k, m, *fingerprints(w, m, window, gram)) for k, x in enumerate(raw) if (m := min(window, len((w := Words([x], PLAIN, True)).starts)))]
+                    parts = [(np.full(len(at), k), m, at, h) for k, m, at, h in parts]
+                else:
+                    w = Words(raw, PLAIN, True)
+                    parts = []
+                    for m in lengths:
+                        at, h = fingerprints(w, m, window, gram)
+                        parts.append((lo + w.doc[at], m, at - w.cut[w.doc[at]], h))
+                for own, m, at, h in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][own]), pa.array(keys[1][own]), pa.array(np.full(len(at), m, np.int32)), pa.array(at.astype(np.int64)), pa.array(h.view(np.int64))], ["k1", "k2", "m", "pos", "g"])
+
+    return run
+
+
+def _windows_near(window: int, gram: int):
+    """The windows of a text that cover one of its hits (m, pos)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for k1, k2, text, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                w = Words([(text or "").encode("utf-8", "surrogatepass")], PLAIN, True)
+                n, want = len(w.starts), set()
+                for x in hits:
+                    m, p = x["m"], x["pos"]
+                    want |= {(m, i) for i in range(max(0, p - (window - gram)) if m == window else p, p + 1) if i + m <= n}
+                out = []
+                for m in sorted({m for m, _ in want}):
+                    _, h = w.grams(m)
+                    h = h.view(np.int64)
+                    out += [(k1, k2, i, m, int(h[i]), _spelled(w, i, m)) for mm, i in want if mm == m]
+                yield _table(out, ["k1", "k2", "i", "m", "h", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+
+    return run
+
+
+def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        counts: list[int] = []
+        for _, raw in batches(batch.column(0).field("text").to_pylist()):
+            counts += Words(raw, PLAIN, True).counts.tolist()
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(counts, pa.int64())], ["r", "spans", "items", "n_words"])
+
+
+def _joined(rows: DataFrame, items: DataFrame, window: int, gram: int, state: T.StructType) -> DataFrame:
+    """Struct r, spans, items and n_words of every row, by joins; a text is named by 128 bits of hash."""
+    spark, text = rows.sparkSession, F.col("r.text").cast("string")
+    keyed = rows.select("r", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    texts = keyed.select("k1", "k2", F.col("r.text").cast("string").alias("text"))
+    kinds = "k1 long, k2 long, m int, pos long, g long"
+    with shared.scratch(spark) as tmp:
+        known = tmp.written(items.mapInArrow(_item_windows(window), "item string, m int, h long, words binary"), "item-windows")
+        lengths = [r.m for r in known.select("m").distinct().collect()]  # `window` numbers at most
+        prints = items.select(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "text").mapInArrow(_prints(None, window, gram), kinds)
+        prints = tmp.written(prints.select("m", "g").distinct(), "item-prints")
+        hits = tmp.written(texts.mapInArrow(_prints(lengths, window, gram), kinds).join(prints, ["m", "g"], "left_semi").select("k1", "k2", "m", "pos").distinct(), "hits")
+        near = tmp.written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "pos")).alias("hits")), "hit-texts")  # within one text
+        again = shared.marked(tmp, texts, "k1", near.select(F.col("k1").alias("h"))).where("may").dropDuplicates(["k1", "k2"])
+        around = again.join(near, ["k1", "k2"]).select("k1", "k2", "text", "hits").mapInArrow(_windows_near(window, gram), "k1 long, k2 long, i long, m int, h long, words binary")
+        found = around.join(known, ["m", "h", "words"]).groupBy("k1", "k2").agg(F.collect_set(F.array(F.col("i"), F.col("m").cast("long"))).alias("spans"), F.collect_set("item").alias("items"))
+        found = shared.written(found, "contaminated-texts")
+    marked = shared.marked(shared.Scratch(spark), keyed, "k1", found.select(F.col("k1").alias("h")))
+    none = [F.lit(None).cast(state[c].dataType).alias(c) for c in ("spans", "items")]
+    both = marked.where("may").join(found, ["k1", "k2"], "left").select("r", "spans", "items").unionByName(marked.where("NOT may").select("r", *none))
+    return both.mapInArrow(_counted, state)
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = 500_000) -> DataFrame:
     """Struct r with all columns of docs, and what the benchmark hits in each row."""
     rows = shared.packed(docs)
     state = T.StructType([rows.schema["r"], T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
-    found_any = False
-    for run in blocks(benchmark, block_words):
-        rows = rows.mapInArrow(_scan(Block(run, window, gram), not found_any), state)
-        found_any = True
-    if not found_any:
-        rows = rows.mapInArrow(_scan(Block([], window, gram), True), state)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (size or 0) + n <= 16 * block_words:
+        rows = rows.mapInArrow(_scan(Block([(r.item, r.text) for r in items.collect()], window, gram)), state)
+    else:
+        rows = _joined(rows, items, window, gram, state)
     return rows.mapInArrow(_digest, T.StructType([rows.schema["r"], *FIELDS]))
 
 
