@@ -36,6 +36,8 @@ LEAST_WORDS = 5
 #: Cells of 64 bits that mark repeated word pairs, and counters of these: fixed numbers. Full ones only make lists longer.
 CELLS = 1 << 20
 BUCKETS = 1 << 18
+#: Labels of lines that are broadcast at most (16 MB); more are joined without.
+SMALL = 1 << 20
 
 
 def normalised(low: Column) -> Column:
@@ -200,17 +202,21 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """(a, b): pairs of similar lines (node, norm) that connect all that are connected, as a written table."""
     lists = lists_of(tmp, lines)
     pivots = tmp.written(lists.groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("r")), "pivots")
-    near = lists.join(pivots, "block").select(F.struct("node", *SKETCH).alias("l"), "r", "size").where((F.col("l.node") != F.col("r.node")) & _near())
+    paired = tmp.written(lists.join(pivots, "block").select("block", "size", F.struct("node", *SKETCH).alias("l"), "r"), "paired-blocks")
+    tmp.drop(lists, pivots)
+    near = paired.where((F.col("l.node") != F.col("r.node")) & _near())
     near = tmp.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
     stars = tmp.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
     linked = verified(tmp, stars, lines, "line-links")
     label = components(tmp, linked, "line-edges")
+    if label.count() <= SMALL:
+        label = F.broadcast(label)
 
     # a list of two has no pair but the one with its pivot
-    named = lists.where("size > 2").join(pivots.select("block", F.col("r.node").alias("center")), "block").drop("size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(label.select(F.col("node").alias("center"), F.col("label").alias("c")), "center", "left").withColumn("center", F.coalesce("c", "center")).drop("c")
-    named = tmp.written(named, "named-blocks")
-    tmp.drop(lists, pivots)
+    own = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
+    named = paired.where("size > 2").select("block", "l.*", F.col("r.node").alias("center"))
+    named = named.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("center"), F.col("center") == F.col("_center"), "left")
+    named = named.select("block", "node", *SKETCH, F.coalesce("node_label", "node").alias("label"), F.coalesce("center_label", "center").alias("center"))
     left = named.where("label != center").alias("l")
     rest = left.join(named.alias("r"), "block").where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near())
     rest = rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
@@ -218,7 +224,7 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     pairs = near.where("size = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = tmp.written(rest.unionByName(pairs).distinct(), "rest")
-    tmp.drop(named, near)
+    tmp.drop(paired, near)
     return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")), "all-line-links")
 
 
