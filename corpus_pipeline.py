@@ -47,13 +47,16 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL can express neither the SimHash blocks of line dedup nor the tokenizer; tests/llm/test_pipeline.py has brute force.
+#: SQL can express neither the tokenizer nor the divergences of the quality rules; tests/llm/test_pipeline.py has brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
-    docs = shared.documents(spark, sf_dir)
+    """All stages over documents, each one's result written and read again; a stage's input goes when its result is there."""
+    tmp = shared.Scratch(spark)
+    docs, before = shared.documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = tmp.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tmp.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
