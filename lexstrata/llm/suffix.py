@@ -39,8 +39,8 @@ from .textkit import batches, mix, prefix_hash, sliding_min, span_hash
 
 LENGTH = 400
 GRAM = 80
-#: Largest bucket that one task refines: some 200 MB.
-SPLIT = 2048
+#: Largest bucket that one task refines: some 300 MB.
+SPLIT = 8192
 #: Contexts that are refined at once, unless their bucket is larger.
 ROWS = 512
 #: Bytes of the first bucket numbers of the refinement.
@@ -130,18 +130,19 @@ def repeats(b: np.ndarray, needed: np.ndarray, starts: np.ndarray, length: int)
     """
     n, m = b.shape
     q = min(FIRST, length)
-    number = np.full(n * m, -1)  # of the bucket of each suffix; -1: alone, or not looked at
-    at = np.flatnonzero((needed if q < length else starts)[:, : m - q + 1])
+    number = np.full(n * m, -1, np.int32)  # of the bucket of each suffix; -1: alone, or not looked at
+    at = np.flatnonzero((needed if q < length else starts)[:, : m - q + 1]).astype(np.int32)
     at = at // (m - q + 1) * m + at % (m - q + 1)
     key = np.zeros(len(at), np.uint64)
     for k in range(q):
         key = key << np.uint64(8) | b.ravel()[at + k]
     while len(at):
         order = np.argsort(key)
-        other = key[order][1:] != key[order][:-1]
+        key = key[order]
+        other = key[1:] != key[:-1]
         first, last = np.concatenate(([True], other)), np.concatenate((other, [True]))
         stay = ~(first & last)
-        rank = np.cumsum(first)
+        rank = np.cumsum(first, dtype=np.int32)
         number[at] = -1
         at = at[order[stay]]
         number[at] = rank[stay]
@@ -153,10 +154,10 @@ def repeats(b: np.ndarray, needed: np.ndarray, starts: np.ndarray, length: int)
             at = at[starts.ravel()[at]]
         later = number[at + step]
         at, later = at[later >= 0], later[later >= 0]
-        key = number[at] * (int(rank[-1]) + 1) + later
-        alone = number
-        number = np.full(n * m, -1)
-        number[at] = alone[at]
+        own = number[at]
+        key = own.astype(np.uint64) * np.uint64(int(rank[-1]) + 1) + later.astype(np.uint64)
+        number[:] = -1
+        number[at] = own
         q += step
     return number.reshape(n, m) >= 0
 
