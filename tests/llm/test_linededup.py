@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import cases
 from lexstrata.llm import linededup, shared
@@ -29,6 +30,7 @@ def naive(docs):
             if norm(line):
                 occurrences.setdefault(norm(line), []).append((i is not None, i or 0, text, pos))
     nodes = list(occurrences)
+    bags = [Counter(x.split(" ")) for x in nodes]  # an edit takes one word away at most
     root = list(range(len(nodes)))
 
     def find(i):
@@ -40,7 +42,8 @@ def naive(docs):
     for k, i in enumerate(fuzzy):
         for j in fuzzy[:k]:
             a, b = len(nodes[i].split(" ")), len(nodes[j].split(" "))
-            if abs(a - b) <= int(max(a, b) * 0.2) and distance(nodes[i].split(" "), nodes[j].split(" ")) <= int(max(a, b) * 0.2):
+            most = int(max(a, b) * 0.2)
+            if abs(a - b) <= most and (bags[i] - bags[j]).total() <= most and distance(nodes[i].split(" "), nodes[j].split(" ")) <= most:
                 root[find(i)] = find(j)
     keep = {}
     for i, x in enumerate(nodes):
