@@ -4,8 +4,8 @@ Documents are dealt by ranges of doc_id and sorted, so the files hold them in as
 documents into shards of about `shard_ids` ids (whole documents). In a shard, frequent pairs of neighbouring symbols are
 replaced by new symbols, until no pair (not across documents) occurs LEAST times: each round counts all pairs of the shard and
 replaces up to `per_round` of the most frequent, runs of overlapping pairs from the left; a later round's rules may hold symbols
-of earlier ones. Pairs are counted in hash slots, of which one pair each is replaced; when no slot has a frequent pair any
-more, they are counted by sorting, so that none is left behind.
+of earlier ones. Pairs are counted in hash slots, of which one pair each is replaced; once the frequent slots hold few places,
+their pairs are counted by sorting, so that none is left behind.
 
 File format: Parquet, a row per shard:
   part        first doc_id of the task's range; shards order by (part, seq)
@@ -40,47 +40,52 @@ from .encode import encoder
 SHARD_IDS = 1_000_000
 PAIRS_PER_ROUND = 4096
 LEAST = 8
+#: Hash slots that pairs are counted in, and so many places are few enough to sort their pairs.
+SLOTS = 1 << 18
+FEW = 100_000
 #: More writing tasks than this are joined to their shards without broadcast.
 BROADCAST_PARTS = 100_000
 FILES = "part long, seq int, start long, n_ids long, first_rule int, doc_ids array<long>, doc_symbols array<int>, rules binary, lengths binary, width int, symbols binary"
 
 
-def _by_slot(seq: np.ndarray, last: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, places): frequent pairs by their counts in hash slots, one of each slot, and for every place its pair or -1."""
-    slots = 1 << 18
-    slot = (seq[:-1] * np.int32(40503) + seq[1:] * np.int32(9973)) & np.int32(slots - 1)
-    slot[last[:-1]] = slots
-    often = np.bincount(slot, minlength=slots + 1)
-    often[-1] = 0
-    bar = max(least, int(np.partition(often, -per_round)[-per_round]))
-    at = np.flatnonzero((often >= bar)[slot])
-    slot = slot[at]
-    key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-    pair = np.zeros(slots, np.int64)
-    pair[slot] = key  # one pair stands for its slot; others that hash to it wait
-    own = pair[slot] == key
-    at, slot = at[own], slot[own]
-    n = np.bincount(slot, minlength=slots)
-    chosen = np.argsort(-n, kind="stable")[:per_round]
-    chosen = chosen[n[chosen] >= least]
-    number = np.full(slots, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    which = np.full(len(seq) - 1, -1, np.int32)
-    which[at] = number[slot]
-    return pair[chosen], which
-
+def _frequent(seq: np.ndarray, last: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, numbers): frequent pairs, where they stand, and which one stands there.
 
-def _by_sorting(seq: np.ndarray, last: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for all pairs."""
-    at = np.flatnonzero(~last[:-1])
+    A pair is as frequent as its hash slot at most. So only the places of frequent slots are looked at: one pair of each slot, or,
+    where FEW places are left or no slot gives a pair, all pairs by sorting.
+    """
+    slot = ((seq[:-1] * np.int32(40503) + seq[1:] * np.int32(9973)) & np.int32(SLOTS - 1)).astype(np.intp)
+    slot[last[:-1]] = SLOTS
+    often = np.bincount(slot, minlength=SLOTS + 1)[:-1]
+    full = np.append(often >= least, False)
+    at = np.flatnonzero(full[slot])
+    if len(at) > FEW:
+        bar = max(least, int(np.partition(often, -per_round)[-per_round]))
+        few = at if bar == least else at[often[slot[at]] >= bar]
+        own_slot, key = slot[few], (seq[few].astype(np.int64) << 32) | seq[few + 1]
+        pair = np.zeros(SLOTS, np.int64)
+        pair[own_slot] = key  # one pair stands for its slot; others that hash to it wait
+        own = pair[own_slot] == key
+        few, own_slot = few[own], own_slot[own]
+        n = np.bincount(own_slot, minlength=SLOTS)
+        chosen = _most(n, per_round, least)
+        if len(chosen):
+            number = np.full(SLOTS, -1, np.int32)
+            number[chosen] = np.arange(len(chosen))
+            which = number[own_slot]
+            return pair[chosen], few[which >= 0], which[which >= 0]
     key, where, n = np.unique((seq[at].astype(np.int64) << 32) | seq[at + 1], return_inverse=True, return_counts=True)
-    chosen = np.argsort(-n, kind="stable")[:per_round]
-    chosen = chosen[n[chosen] >= least]
+    chosen = _most(n, per_round, least)
     number = np.full(len(key), -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    which = np.full(len(seq) - 1, -1, np.int32)
-    which[at] = number[where]
-    return key[chosen], which
+    which = number[where]
+    return key[chosen], at[which >= 0], which[which >= 0]
+
+
+def _most(n: np.ndarray, per_round: int, least: int) -> np.ndarray:
+    """Where the largest counts of `least` or more stand, largest first."""
+    at = np.flatnonzero(n >= least)
+    return at[np.argsort(-n[at], kind="stable")[:per_round]]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, per_round: int = PAIRS_PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,13 +96,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, per_round: int
     rules: list[np.ndarray] = []
     made = 0
     while len(seq) > 1:
-        chosen, which = _by_slot(seq, last, per_round, least)
-        if not len(chosen):
-            chosen, which = _by_sorting(seq, last, per_round, least)
+        chosen, at, which = _frequent(seq, last, per_round, least)
         if not len(chosen):
             break
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
         # pairs that overlap: from the left of each run, every other one
         begin = np.concatenate(([True], np.diff(at) != 1))
         keep = (at - at[np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))]) % 2 == 0
