@@ -113,29 +113,40 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, per_round: int
     return seq, np.flatnonzero(last) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
+def _runs(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules (from, to) that only hold symbols of the runs before them: one for each round that made them."""
+    needs, s = rules.max(axis=1, initial=-1) - first_rule, 0
+    while s < len(rules):
+        stop = np.flatnonzero(needs[s:] >= s)
+        e = s + int(stop[0]) if len(stop) else len(rules)
+        yield s, e
+        s = e
+
+
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
-    out = np.zeros(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = sum(1 if x < first_rule else out[x - first_rule] for x in (a, b))
-    return out
+    size = np.ones(first_rule + len(rules), np.int64)
+    for s, e in _runs(rules, first_rule):
+        size[first_rule + s : first_rule + e] = size[rules[s:e]].sum(axis=1)
+    return size[first_rule:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids of some symbols."""
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.zeros(int(starts[-1]), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = starts[k]
-        for x in (a, b):
-            m = 1 if x < first_rule else int(lengths[x - first_rule])
-            flat[at : at + m] = x if x < first_rule else flat[starts[x - first_rule] : starts[x - first_rule] + m]
-            at += m
-    # every symbol as a slice of one table: ids themselves, then the expansions
-    table = np.concatenate((np.arange(first_rule), flat)).astype(np.int32)
-    begin = np.concatenate((np.arange(first_rule), first_rule + starts[:-1])).astype(np.int64)
-    n = np.concatenate((np.ones(first_rule, np.int64), lengths))[symbols]
-    ends = np.cumsum(n)
-    return table[np.repeat(begin[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    # every symbol is a slice of one table: ids themselves, then the expansions of the rules in order
+    size = np.concatenate((np.ones(first_rule, np.int64), lengths))
+    begin = np.cumsum(size) - size
+    table = np.zeros(int(size.sum()), np.int32)
+    table[:first_rule] = np.arange(first_rule)
+
+    def slices(of: np.ndarray) -> np.ndarray:
+        n = size[of]
+        ends = np.cumsum(n)
+        return table[np.repeat(begin[of] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    for s, e in _runs(rules, first_rule):
+        got = slices(rules[s:e].ravel())
+        table[begin[first_rule + s] :][: len(got)] = got
+    return slices(symbols)
 
 
 def _write(path: str, end: int, first_rule: int, shard_ids: int):
