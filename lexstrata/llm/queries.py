@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, quality, shared, sql, suffix, winnow
+from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, phrases, quality, resample, shared, sql, suffix, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(shared.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(shared.documents(spark, sf_dir).select("text", "lang"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = shared.documents(spark, sf_dir).select("doc_id", "text"), shared.documents(spark, sf_dir, "benchmark")
+    return resample.resampled(docs, target).select("r.doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_html_extraction, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_html_extraction, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join, op12_phrase_mining, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": sql.op5(URL_RULES), "op9_decontamination": sql.OP9, "op10_ngram_jaccard_join": sql.OP10}
+    return {"op5_url_filters": sql.op5(URL_RULES), "op9_decontamination": sql.OP9, "op10_ngram_jaccard_join": sql.OP10, "op12_phrase_mining": sql.OP12, "op13_importance_resampling": sql.OP13}

@@ -34,6 +34,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS compon
 """
 
 
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m))) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') AND x.m = k JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.m], ' ') AND y.m = c.m - k),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_runs AS (SELECT lang, array_to_string(w[i : i + q - 1], ' ') AS phrase, a FROM (SELECT lang, w, a, q, unnest(range(1, m - q + 2)) AS i FROM c, (VALUES (2), (3)) v(q) WHERE q < m)),
+over_runs AS (SELECT lang, phrase, max(a) AS f FROM inner_runs GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM low LEFT JOIN over_runs o USING (lang, phrase) JOIN n USING (lang) WHERE o.f IS NULL OR 100 * o.f < 80 * a QUALIFY rank <= 2000
+"""
+
+#: The CRC of a word comes byte by byte from its hexadecimal form; it is only taken of different words.
+OP13 = f"""
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS9}') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS9}')) AS w FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+words AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(w), i, 2))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM dw UNION SELECT DISTINCT w FROM b), t),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN words USING (w) GROUP BY 1),
+u AS (SELECT bucket, count(*) AS t FROM b JOIN words USING (w) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (alls + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * (allt + 10000))))::BIGINT AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN u USING (bucket), (SELECT sum(s) AS alls FROM s), (SELECT sum(t) AS allt FROM u)),
+weight AS (SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM dw JOIN words USING (w) JOIN gain USING (bucket) GROUP BY 1),
+score AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight USING (doc_id)),
+top AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM score WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM score LEFT JOIN top USING (doc_id)
+"""
+
+
 def op5(rules: list[tuple[str, str]]) -> str:
     table = ", ".join(f"('{v}', '{t}', '{t.partition('/')[0]}', '{t[len(t.partition('/')[0]) :]}')" for v, t in rules)
     rounds = ", ".join(

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from lexstrata.llm import queries
 
@@ -11,5 +12,6 @@ def test_query_equals_sql(spark, sf, name):
     want = con.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v == int(v) else v
+    rows = lambda df: sorted(str([plain(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
