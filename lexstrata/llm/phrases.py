@@ -5,9 +5,11 @@ runs of one word more: a k-gram is a pair of the ids of two (k-1)-grams that beg
 places where both are frequent, and its id comes from a global count of such pairs, joined back to the places.
 
 What travels is not the places but the different runs of a block of words: a task turns its texts into blocks of at most
-BLOCK_WORDS words of one language, each with a sequence of numbers into the block's own list of runs. The lists are exploded,
-counted over all blocks, and the runs with `least` occurrences get ids; the ids are joined back to the lists, and each block rewrites its
-sequence in ids, then in pairs of neighbours. So a word that is everywhere has one row for each block.
+BLOCK_WORDS words of one language, each with a sequence of numbers into the block's own list of runs. Words are exploded and counted
+as rows, those with `least` occurrences get ids, and a join gives each block the ids of its words. Pairs are many more, so a block
+sends them packed: its pairs of each hash bucket, sorted and compressed, are one row. A bucket's group adds up the counts of all
+blocks, names the frequent pairs (bucket and place in it), and answers each block with the ids of the pairs that it sent. There are
+as many buckets as keep one to about BUCKET_WORDS words, and a run that is everywhere has one entry for each block.
 
 A k-gram's two ids are its parents: without the last word, and without the first. Frequencies of all its beginnings are those of its
 first parent and its own; of all its ends, those of its second parent and its own; these give both sides of every cut. Of
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shared
+from .textkit import mix
 
 LEAST = 30
 LONGEST = 4
@@ -38,6 +41,7 @@ TOP = 2000
 #: Percent of a candidate's occurrences that a longer one must have to take its place.
 SUBSUMED = 80
 BLOCK_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 21
 CHUNK = 1 << 20
 ROWS = 1 << 16
 #: Parts of a language that are cut to the first rows before the language is ranked.
@@ -47,9 +51,23 @@ PARTS = 64
 _BYTES = bytes(ord(" ") if b == 9 else 10 if 10 <= b <= 13 or b in b".,;:!?" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"."  # can't be a word
 
-#: A row for each run of a block, and one (number 0) with the block's sequence.
+#: A row for each word of a block, and one (number 0) with the block's sequence.
 BLOCKS = "block long, lang string, number int, word string, n long, seq binary"
-PAIRS = "block long, number int, a long, b long, n long, seq binary"
+#: A block's sequence of numbers, and the id of each number (0 is none).
+NAMED = "block long, seq binary, ids binary"
+SENT = "bucket long, block long, pairs binary"
+#: Names (a, b, f, id) and answers (block, ids) of a bucket.
+COUNTED = "bucket long, a long, b long, f long, id long, block long, ids binary"
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers, bytes of one weight together, compressed."""
+    return pa.compress(b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def opened(raw: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(raw, 8 * rows * columns, "zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.reshape(8, rows).T).view("<i8").ravel() for c in flat.reshape(columns, 8 * rows)]
 
 
 class Block:
@@ -131,35 +149,105 @@ def neighbours(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], n
 
 
-def _rewrite(key: tuple, blocks: pa.Table, names: pa.Table) -> pa.Table:
-    """The next sequence of a block, and its list of pairs; a pair's number is its place in the list, from 1."""
+def _row(block: int, seq: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """A block whose numbers are those with ids alone."""
+    number = np.zeros(len(ids), np.int32)
+    known = np.flatnonzero(ids)
+    number[known] = np.arange(1, len(known) + 1)
+    ids = np.concatenate(([0], ids[known]))
+    return pa.Table.from_arrays([pa.array([block], pa.int64()), pa.array([number[seq].tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["block", "seq", "ids"])
+
+
+def _words(key: tuple, blocks: pa.Table, names: pa.Table) -> pa.Table:
+    """A block with the ids of its words."""
     seq = np.frombuffer(blocks.column("seq")[0].as_py(), np.int32)
     ids = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
     ids[names.column("number").to_numpy()] = names.column("id").to_numpy()
-    out, a, b, n = neighbours(seq, ids)
-    m = len(a) + 1
-    columns = [pa.array(np.full(m, key[0].as_py())), pa.array(np.arange(m, dtype=np.int32))] + [pa.array(np.concatenate(([0], x)), pa.int64()) for x in (a, b, n)]
-    return pa.Table.from_arrays([*columns, _first(out, m)], ["block", "number", "a", "b", "n", "seq"])
+    return _row(key[0].as_py(), seq, ids)
+
+
+def dealt(seq: bytes, ids: bytes, buckets: int) -> tuple:
+    """The next sequence, the ids a and b and the count of each pair, the order of pairs by bucket, and where each bucket begins."""
+    out, a, b, n = neighbours(np.frombuffer(seq, np.int32), np.frombuffer(ids, np.int64))
+    bucket = (mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((b, a, bucket))
+    found, cut = np.unique(bucket[order], return_index=True)
+    return out, a, b, n, order, found, np.append(cut, len(order))
+
+
+def _send(buckets: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for block, seq, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, a, b, n, order, found, cut = dealt(seq, ids, buckets)
+                packed = [(int(e - s).to_bytes(8, "little") + squeezed(a[at], b[at], n[at])) for s, e in zip(cut, cut[1:], strict=False) for at in [order[s:e]]]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), block), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "pairs"])
+
+    return run
+
+
+def _count(least: int, answers: bool):
+    def run(key: tuple, sent: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        parts = [opened(x[8:], int.from_bytes(x[:8], "little"), 3) for x in sent.column("pairs").to_pylist()]
+        a, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((b, a))
+        new = np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(n[order], first)
+        good = f >= least
+        ids = np.where(good, bucket << 36 | np.cumsum(good), 0)
+        at = order[first[good]]
+        m, none = len(at), pa.nulls(len(at), pa.int64())
+        columns = [pa.array(np.full(m, bucket)), pa.array(a[at]), pa.array(b[at]), pa.array(f[good]), pa.array(ids[good]), none, pa.nulls(m, pa.binary())]
+        names = pa.Table.from_arrays(columns, [c.split(" ")[0] for c in COUNTED.split(", ")])
+        if not answers:
+            return names
+        own = np.empty(len(a), np.int64)
+        own[order] = ids[np.cumsum(new) - 1]
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        replies = [(k, squeezed(own[s:e])) for k, s, e in zip(sent.column("block").to_pylist(), cut, cut[1:], strict=False) if own[s:e].any()]
+        m = len(replies)
+        long = pa.nulls(m, pa.int64())
+        columns = [pa.array(np.full(m, bucket)), long, long, long, long, pa.array([k for k, _ in replies], pa.int64()), pa.array([x for _, x in replies], pa.binary())]
+        return pa.concat_tables([names, pa.Table.from_arrays(columns, names.column_names)])
+
+    return run
+
+
+def _answered(buckets: int):
+    def run(key: tuple, blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        seq, a, _, _, order, found, cut = dealt(blocks.column("seq")[0].as_py(), blocks.column("ids")[0].as_py(), buckets)
+        ids = np.zeros(len(a) + 1, np.int64)
+        for bucket, raw in zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist(), strict=True):
+            k = int(np.searchsorted(found, bucket))
+            at = order[cut[k] : cut[k + 1]]
+            ids[at + 1] = opened(raw, len(at), 1)[0]
+        return _row(key[0].as_py(), seq, ids)
+
+    return run
 
 
-def levels(tmp: shared.Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+def levels(tmp: shared.Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (lang, n), and for each length the frequent runs: id, f, and word and lang or the parents a and b."""
     blocks = tmp.written(shared.text_batches(docs).select("text", "lang").mapInArrow(_blocks(block_words), BLOCKS), "phrase-blocks")
-    keys = ["lang", "word"]
-    total, names = None, []
-    for k in range(longest):
-        each = blocks.where("number > 0").select("block", "number", *keys, "n")
-        counted = each.groupBy(*keys).agg(F.sum("n").alias("f"))
-        if k == 0:
-            total = tmp.written(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-words")
-        names.append(tmp.written(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1), f"phrase-names-{k + 1}"))
-        if k + 1 == longest:
-            break
-        here = each.join(names[k], keys).select(F.col("block").alias("of"), "number", "id")
-        before = blocks
-        blocks = blocks.where("number = 0").select("block", "seq").groupBy("block").cogroup(here.groupBy("of")).applyInArrow(_rewrite, PAIRS)
-        blocks, keys = tmp.written(blocks, f"phrase-pairs-{k + 2}"), ["a", "b"]
-        tmp.drop(before)
+    each = blocks.where("number > 0").select("block", "number", "lang", "word", "n")
+    counted = each.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    names = [tmp.written(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1), "phrase-names-1")]
+    total = tmp.written(each.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
+    buckets = max(1, (total.agg(F.sum("n")).first()[0] or 0) // bucket_words)
+    here = each.join(names[0], ["lang", "word"]).select(F.col("block").alias("of"), "number", "id")
+    before, of = blocks, lambda df: df.groupBy("of")
+    blocks = tmp.written(blocks.where("number = 0").select("block", "seq").groupBy("block").cogroup(of(here)).applyInArrow(_words, NAMED), "phrase-ids-1")
+    tmp.drop(before)
+    for k in range(2, longest + 1):
+        pairs = blocks.mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_count(least, k < longest), COUNTED)
+        pairs = tmp.written(pairs, f"phrase-names-{k}")
+        names.append(pairs.where("id IS NOT NULL").select("id", "a", "b", "f"))
+        if k < longest:
+            replies = pairs.where("block IS NOT NULL").select(F.col("block").alias("of"), "bucket", "ids")
+            before, blocks = blocks, tmp.written(blocks.groupBy("block").cogroup(of(replies)).applyInArrow(_answered(buckets), NAMED), f"phrase-ids-{k}")
+            tmp.drop(before)
     tmp.drop(blocks)
     return total, names
 
@@ -186,10 +274,10 @@ def candidates(names: list[DataFrame]) -> DataFrame:
     return out
 
 
-def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, subsumed: int = SUBSUMED, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, subsumed: int = SUBSUMED, block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first `top` collocations."""
     tmp = shared.Scratch(docs.sparkSession)
-    total, names = levels(tmp, docs, least, longest, block_words)
+    total, names = levels(tmp, docs, least, longest, block_words, bucket_words)
     big = lambda c: F.col(c).cast("decimal(20,0)")
     rows = candidates(names).where(F.col("over").isNull() | (big("over") * 100 < big("a") * subsumed)).drop("over")
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]

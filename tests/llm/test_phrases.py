@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import cases
+import numpy as np
 import pytest
 from lexstrata.llm import phrases
 
@@ -54,7 +55,7 @@ def test_small_blocks_subsumption_and_ties(spark, block):
     texts = [("A b c d. a b c d e; x\ty, x Y", "en")] * 9 + [("a b c d f\na  b", "en"), ("b c! b c? z é É", None), ("b c b c b c", "und"), (None, "en"), ("", None), ("..,;", "de")]
     docs = cases.table(spark, [(i, t, g) for i, (t, g) in enumerate(texts)])
     for least, top, subsumed in ((1, 2000, 80), (3, 5, 80), (2, 2000, 101), (9, 3, 1)):
-        assert rows(phrases.mined(docs.repartition(3), least, 4, top, subsumed, block)) == naive(texts, least, 4, top, subsumed)
+        assert rows(phrases.mined(docs.repartition(3), least, 4, top, subsumed, block, block)) == naive(texts, least, 4, top, subsumed)
 
 
 def test_edge_cases(spark):
@@ -76,3 +77,8 @@ def test_counts_pass_64_bits(spark):
 def test_pieces_are_cut_at_line_ends_only(monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK", 5)
     assert list(phrases.pieces(b"aa bb cc dd\nee ff\ng")) == [b"aa bb cc dd", b"ee ff", b"g"]
+
+
+def test_arrays_survive_squeezing():
+    a, b = np.array([1, 1 << 40, -1, 0]), np.arange(4)
+    assert [x.tolist() for x in phrases.opened(phrases.squeezed(a, b), 4, 2)] == [a.tolist(), b.tolist()]
