@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, phrases, quality, resample, shared, sql, suffix, winnow
+from . import encode, grammar, htmltext, jaccard, langid, linededup, linkgraph, packing, phrases, pii, quality, resample, shared, sql, suffix, winnow
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(shared.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    mark = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    joined = lambda spans: F.array_join(F.transform(spans, mark), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("r.doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(shared.documents(spark, sf_dir).select("text", "lang"))
 
@@ -74,7 +83,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_html_extraction, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join, op12_phrase_mining, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_html_extraction, op4_token_id_output, op5_url_filters, op6_quality_rules, op7_suffix_array_dedup, op8_language_id, op9_decontamination, op10_ngram_jaccard_join, op11_pii, op12_phrase_mining, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
