@@ -204,6 +204,27 @@ def uslm_parse(spark, sf_dir):
     return uslm.parse_documents(documents).select("path", "heading", "verbose_name", "uslm_id", F.col("source").cast("int").alias("doc"))
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_name FROM customer), s AS (SELECT o_custkey AS k, o_orderkey AS o, o_orderpriority AS pr FROM orders)
+SELECT k, NULL AS path, NULL AS display, NULL AS content, NULL AS continuation, NULL AS shadowed, CASE k % 11 WHEN 0 THEN 'xml' WHEN 1 THEN 'xml' ELSE 'unable_to_parse_element' END AS code FROM c WHERE k % 11 < 3
+UNION ALL SELECT k, p, d, NULL, t, false, NULL FROM (SELECT k, unnest(['uscode', 'uscode/title_' || k]) AS p, unnest(['', 'Title ' || k]) AS d, unnest([NULL, c_name]) AS t FROM c WHERE k % 11 > 2)
+UNION ALL SELECT k, 'uscode/title_' || k || '/section_' || (o % 4), '§ ' || o, NULL, pr, o <> max(o) OVER (PARTITION BY k, o % 4), NULL FROM s WHERE k % 11 > 2
+UNION ALL SELECT k, 'uscode/title_' || k || '/section_' || (o % 4) || '/paragraph_a', '', 'text of ' || o, NULL, o <> max(o) OVER (PARTITION BY k, o % 4), NULL FROM s WHERE k % 11 > 2
+""")
+def uslm_pulled(spark, sf_dir):
+    """Numbers and texts after the children, equal paths, deep markup, documents that can't be read."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    deep = F.concat(F.repeat(F.lit("<i>"), 1500), F.repeat(F.lit("</i>"), 1500))
+    paragraph = F.concat(F.lit('<paragraph identifier="/p"><num value="a"/><content>text of '), o.cast("string"), F.when(o % 500 == 0, deep).otherwise(F.lit("<b/>")), F.lit("</content></paragraph>"))
+    section = F.concat(F.lit('<section identifier="/s">'), paragraph, F.format_string('<num value="%d">§ %d</num><continuation>%s</continuation></section>', o % 4, o, "o_orderpriority"))
+    inner = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(o.alias("o"), section.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    title = F.concat(F.format_string('<uscDoc xmlns="urn:x"><meta><type>USCTitle</type><docNumber>%d</docNumber></meta><main><title identifier="/t">', k), F.coalesce("s", F.lit("")), F.format_string('<num value="%d">Title %d</num><continuation>%s</continuation></title></main></uscDoc>', k, k, "c_name"))
+    xml = F.when(k % 11 == 1, F.lit("<uscDoc>")).when(k % 11 == 2, F.lit('<uscDoc xmlns="urn:x"><meta><type>USCTitle</type></meta><main><title identifier="/t"/></main></uscDoc>')).when(k % 11 > 2, title)
+    documents = table(spark, sf_dir, "customer").join(inner, "c_custkey", "left").select(k.cast("string").alias("source"), xml.alias("xml"), F.lit("2025-07-18").alias("date"))
+    rows = uslm.parse_documents(documents, "PERMISSIVE")
+    return rows.select(F.col("source").cast("long").alias("k"), "path", F.col("number_display").alias("display"), "content", "continuation", "shadowed", "error.code")
+
+
 @query("WITH t AS (SELECT conv_id::VARCHAR AS bill_id, turn, translate(text, chr(8216) || chr(8217) || chr(8220) || chr(8221), '''''\"\"') AS tx FROM conversations) SELECT bill_id, sha256(bill_id || ':' || tx) AS amendment_id, 'insert' AS actions, max(turn) AS turn FROM t GROUP BY bill_id, tx")
 def bill_amendments(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")

@@ -1,32 +1,30 @@
 """Legislative XML as flat tables: a row per element, or per amendment.
 
-Files are read as a distributed binary scan; each document is parsed where its row is and its rows are yielded in chunks, so a
-folder of any number of titles has one title per task step in memory. XML comes from `xml.etree`; documents with a
-document type declaration are refused, so no entity can expand.
+Files are read as a distributed binary scan; each document is parsed where its row is, by events (`pull`), and its rows leave in
+Arrow batches of CHUNK rows that may hold many documents or a part of one. Nothing recurses and no tree is built.
 """
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date as Date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions import text as fn
+from ..staging import staged
+from . import pull
+from .pull import UslmError
 
 CHUNK = 5_000
-_QUOTES = str.maketrans("‘’“”", "''\"\"")
-
-
-class UslmError(ValueError):
-    def __init__(self, code: str, message: str):
-        super().__init__(f"{code}: {message}")
-        self.code, self.message = code, message
+#: Characters of text after which a batch is full, whatever its rows.
+CHUNK_TEXT = 1 << 23
 
 
 def parse_date_text(text: str) -> Date:
@@ -40,172 +38,72 @@ def parse_date_text(text: str) -> Date:
         raise UslmError("invalid_date", text) from None
 
 
-def _name(node: ET.Element) -> str:
-    return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+def elements_of(xml: str | bytes | None, date: str | None, max_depth: int = pull.MAX_DEPTH) -> Iterator[dict]:
+    """The elements of a document, each when it ends; an error is raised before the first one."""
+    if date is None:
+        raise UslmError("invalid_date", "no date")
+    when = parse_date_text(date)
+    for row in pull.elements(xml, max_depth):
+        row["snapshot_date"] = when
+        yield row
 
 
-def _child(node: ET.Element, name: str) -> ET.Element | None:
-    return next((c for c in node if _name(c) == name), None)
+def flatten(xml: str | bytes, date: str) -> list[dict]:
+    """The elements of a small document in preorder."""
+    return sorted(elements_of(xml, date), key=lambda r: r["ord_path"])
 
 
-def _text(node: ET.Element | None) -> str | None:
-    """Text before the first tag or comment."""
-    return node.text.translate(_QUOTES) if node is not None and node.text else None
+def _batches(rows: Iterable[dict], into: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of any number of documents in batches of CHUNK rows or about CHUNK_TEXT characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row.values() if isinstance(v, str))
+        if len(held) == CHUNK or size > CHUNK_TEXT:
+            yield pa.RecordBatch.from_pylist(held, into)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, into)
 
 
-def _document(xml: str) -> ET.Element:
-    if "<!DOCTYPE" in xml:
-        raise UslmError("xml", "document type declarations are refused")
-    try:
-        root = ET.fromstring(xml, ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True)))
-    except ET.ParseError as e:
-        raise UslmError("xml", str(e)) from None
-    return root
-
-
-def _kind(tag: str) -> str:
-    low = tag.lower()
-    return low if low in schema.ELEMENT_TYPES else schema.DOCUMENT_ALIASES.get(low, "unknown")
-
-
-def _required(node: ET.Element | None, *names: str) -> ET.Element:
-    for name in names:
-        node = _child(node, name) if node is not None else None
-        if node is None:
-            raise UslmError("missing", f"<{name}>")
-    return node
-
-
-def _number(node: ET.Element, kind: str) -> tuple[str, str]:
-    """(value, display) of an element's number."""
-    num = _child(node, "num")
-    if num is not None:
-        return num.get("value") or "", _text(num) or ""
-    if kind == "uscodedocument":
-        return _text(_required(node, "meta", "docNumber")) or "", ""
-    if kind == "publiclawdocument":
-        return f"{_text(_required(node, 'meta', 'congress')) or ''}-{_text(_required(node, 'meta', 'docNumber')) or ''}", ""
-    if kind == "level" and node.get("id") is not None:
-        return node.get("id"), f"Level {node.get('id')}"
-    raise UslmError("unable_to_parse_element", f"{kind}: no number")
-
-
-def _walk_texts(node: ET.Element) -> Iterator[tuple[ET.Element | None, str | None]]:
-    """Every element below (with its first text), and every later run of text by itself, in document order."""
-    for child in node:
-        if isinstance(child.tag, str):
-            if _name(child) == "ref":
-                yield child, child.text
-                yield None, child.text
-            else:
-                yield None, child.text
-                yield None, child.text
-            yield from _walk_texts(child)
-        yield None, child.tail
-
-
-def source_credits(node: ET.Element) -> list[dict]:
-    """References of each credit, grouped by the semicolons between them."""
-    out = []
-    for credit in (c for c in node if _name(c) == "sourceCredit"):
-        group: list[dict] = []
-        for ref, text in [(None, credit.text), *_walk_texts(credit)]:
-            if ref is not None and ref.get("href") is not None:
-                group.append({"ref_id": ref.get("href"), "description": text or ""})
-            elif text and ";" in text and group:
-                out.append({"ref_pairs": group})
-                group = []
-        if group:
-            out.append({"ref_pairs": group})
-    return out
-
-
-def flatten(xml: str, date: str) -> Iterator[dict]:
-    """The elements of a document in preorder."""
-    root = _document(xml)
-    node = next((n for n in root.iter() if _name(n) in ("uscDoc", "pLaw")), None)
-    if node is None:
-        raise UslmError("unsupported_document_type", _name(root))
-    kind = _kind(_name(node))
-    if kind == "publiclawdocument":
-        bill = _text(_required(node, "preface", "docNumber"))
-        document = {"kind": "bill", "usc_type": None, "bill_type": "public_law", "bill_id": bill}
-    else:
-        named = (_text(_required(node, "meta", "type")) or "").lower()
-        if named not in ("usctitle", "usctitleappendix"):
-            raise UslmError("unknown_document_type", named)
-        document = {"kind": "us_code", "usc_type": "us_code", "bill_type": None, "bill_id": None}
-    when = parse_date_text(date)
-    blank = dict.fromkeys(schema.TEXT_FIELDS)
-
-    def row(node, kind, number, parent, at, shadowed):
-        own = "uscode" if kind == "uscodedocument" and parent is None else f"{kind}_{number[0]}"
-        path = f"{parent['path']}/{own}" if parent else own
-        name = f"{parent['verbose_name']} {number[1]}" if parent else number[1]
-        return {
-            "snapshot_date": when, "path": path, "parent_path": parent["path"] if parent else None, "ancestor_paths": [*parent["ancestor_paths"], parent["path"]] if parent else [],
-            "depth": len(at), "ordinal": at[-1] if at else 0, "ord_path": at, "shadowed": shadowed, "element_type": kind, "document_type": document, "number_value": number[0],
-            "number_display": number[1], "verbose_name": name, **blank, "uslm_id": None, "uslm_uuid": None, "source_credits": [],
-        }
-
-    def element(node: ET.Element, parent: dict | None, at: list[int], shadowed: bool) -> dict:
-        kind = _kind(_name(node))
-        out = row(node, kind, _number(node, kind), parent, at, shadowed)
-        if fn_in_path := kind not in ("level", "unknown"):
-            out["uslm_id"] = node.get("identifier") or (f"/us/pl/{out['number_value']}" if kind == "publiclawdocument" else None)
-        if fn_in_path and out["uslm_id"] is None:
-            raise UslmError("unable_to_parse_element", f"{kind}: no identifier")
-        out["uslm_uuid"] = node.get("id")
-        out |= {f: _text(_child(node, f)) for f in schema.TEXT_FIELDS}
-        out["source_credits"] = source_credits(node)
-        return out
-
-    def alive(node: ET.Element) -> bool:
-        return isinstance(node.tag, str) and node.get("status") not in ("repealed", "reserved") and _kind(_name(node)) != "unknown"
-
-    def below(node: ET.Element, parent: dict) -> Iterator[dict]:
-        rows = [(c, element(c, parent, [*parent["ord_path"], k], parent["shadowed"])) for k, c in enumerate(filter(alive, node))]
-        last = {r["path"]: k for k, (_, r) in enumerate(rows)}
-        for k, (child, r) in enumerate(rows):
-            r["shadowed"] = parent["shadowed"] or last[r["path"]] != k
-            yield r
-            yield from below(child, r)
-
-    if kind == "publiclawdocument":
-        top = element(node, None, [], False)
-        yield top
-        yield from below(node, top)
-    else:
-        top = row(node, kind, _number(node, kind) if _child(node, "meta") is not None and _child(_child(node, "meta"), "docNumber") is not None else ("", ""), None, [], False)
-        top["verbose_name"] = "US Code"
-        yield top
-        main = _child(node, "main")
-        yield from below(node if main is None else main, top)
-
-
-def _parse(permissive: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _error_row(e: Exception, names: list[str]) -> dict:
+    own = e if isinstance(e, UslmError) else UslmError("internal", f"{type(e).__name__}: {e}")
+    return dict.fromkeys(names) | {"error": {"code": own.code, "message": own.message}}
+
+
+def _raw(value: pa.Scalar) -> memoryview | None:
+    """The UTF-8 bytes of a string where they are."""
+    return memoryview(value.as_buffer()) if value.is_valid else None
+
+
+def _parse(permissive: bool, max_depth: int, into: pa.Schema):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for source, xml, date in zip(batch["source"], batch["xml"], batch["date"], strict=True):
-                rows: list[dict] = []
+            for source, xml, date in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 try:
-                    rows = [r | {"source": source, "error": None} for r in flatten(xml, date)]
-                except UslmError as e:
+                    for row in elements_of(_raw(xml), date, max_depth):
+                        row["source"] = source
+                        yield row
+                except Exception as e:  # of this document alone; it has given no row yet
                     if not permissive:
                         raise
-                    rows = [dict.fromkeys(_COLUMNS) | {"source": source, "error": {"code": e.code, "message": e.message}}]
-                for s in range(0, len(rows), CHUNK):
-                    yield pd.DataFrame(rows[s : s + CHUNK], columns=_COLUMNS)
+                    yield _error_row(e, into.names) | {"source": source}
 
-    return run
+    return lambda batches: _batches(rows(batches), into)
 
 
-_COLUMNS = [*(c.strip().split(" ")[0] for c in "snapshot_date,path,parent_path,ancestor_paths,depth,ordinal,ord_path,shadowed,element_type,document_type,number_value,number_display,verbose_name,heading,chapeau,proviso,content,continuation,uslm_id,uslm_uuid,source_credits".split(",")), "source", "error"]
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
-def parse_documents(documents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    """Elements of documents (source, xml, date). PERMISSIVE gives one row with `error` for a document that can't be parsed."""
-    return documents.select("source", "xml", F.col("date").cast("string").alias("date")).mapInPandas(_parse(mode.upper() == "PERMISSIVE"), f"{schema.ELEMENTS}, source string, error {schema.ERROR}")
+def parse_documents(documents: DataFrame, mode: str = "FAILFAST", max_depth: int = pull.MAX_DEPTH) -> DataFrame:
+    """Elements of documents (source, xml, date). PERMISSIVE gives one row with `error` for a document that can't be parsed.
+
+    A null xml or date, and elements nested more than max_depth deep, are such errors.
+    """
+    ddl = f"{schema.ELEMENTS}, source string, error {schema.ERROR}"
+    rows = documents.select("source", "xml", F.col("date").cast("string").alias("date"))
+    return rows.mapInArrow(_parse(mode.upper() == "PERMISSIVE", max_depth, _arrow(ddl)), ddl)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
@@ -221,10 +119,13 @@ def read_uslm(spark: SparkSession, path: str, date: str, mode: str = "FAILFAST")
 
 
 def read_uslm_folder(spark: SparkSession, path: str, date: str, mode: str = "FAILFAST") -> DataFrame:
-    """Elements of all files of a folder under one root: children of the files follow each other in the order of file names."""
+    """Elements of all files of a folder under one root: children of the files follow each other in the order of file names.
+
+    The parsed rows are a staged table, since their order and `shadowed` take several looks at them.
+    """
     from ..operators.tree import reshadowed
 
-    rows = read_uslm(spark, path, date, mode).where("error IS NULL")
+    rows = staged(read_uslm(spark, path, date, mode).where("error IS NULL"), "folder")
     first = Window.orderBy("source")
     order = rows.where("depth = 1").groupBy("source").agg(F.max("ordinal").alias("top")).select("source", F.coalesce(F.sum(F.col("top") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("shift"))
     moved = rows.where("depth > 0").join(order, "source").withColumn("ord_path", F.concat(F.array(F.get("ord_path", F.lit(0)) + F.col("shift")), F.slice("ord_path", 2, 1 << 20))).withColumn("ordinal", F.element_at("ord_path", -1)).drop("shift")
@@ -232,39 +133,21 @@ def read_uslm_folder(spark: SparkSession, path: str, date: str, mode: str = "FAI
     return reshadowed(root.unionByName(moved).drop("source", "error"))
 
 
-def _instructions(bill_id: str, xml: str) -> Iterator[dict]:
-    for k, node in enumerate(n for n in _document(xml).iter() if isinstance(n.tag, str) and n.get("role") == "instruction"):
-        found = [n for n in node.iter() if isinstance(n.tag, str) and _name(n).lower() == "amendingaction"]
-        if any(n.get("type") is None for n in found):
-            raise UslmError("missing", "type of amendingAction")
-        names = [schema.ACTION_ALIASES.get(n.get("type").lower(), n.get("type").lower()) for n in found]
-        texts = []
-
-        def gather(n: ET.Element, texts=texts):
-            if isinstance(n.tag, str):
-                texts.append(n.text or "")
-                for c in n:
-                    gather(c)
-                    texts.append(c.tail or "")
-
-        gather(node)
-        yield {"bill_id": bill_id, "action_types": [n for n in names if n in schema.ACTIONS], "amending_text": "".join(texts).translate(_QUOTES), "ordinal": k}
-
-
-def _bills(permissive: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bills(permissive: bool, into: pa.Schema):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for bill_id, xml in zip(batch["bill_id"], batch["xml"], strict=True):
+            for bill_id, xml in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [r | {"error": None} for r in _instructions(bill_id, xml)]
-                except UslmError as e:
+                    found = pull.instructions(_raw(xml))
+                except Exception as e:
                     if not permissive:
                         raise
-                    rows = [{"bill_id": bill_id, "action_types": None, "amending_text": None, "ordinal": None, "error": {"code": e.code, "message": e.message}}]
-                for s in range(0, len(rows), CHUNK):
-                    yield pd.DataFrame(rows[s : s + CHUNK], columns=["bill_id", "action_types", "amending_text", "ordinal", "error"]).astype({"ordinal": "Int32"})
+                    found = [_error_row(e, into.names)]
+                for row in found:
+                    row["bill_id"] = bill_id
+                    yield row
 
-    return run
+    return lambda batches: _batches(rows(batches), into)
 
 
 def parse_bill_amendments(bills: DataFrame, mode: str = "FAILFAST") -> DataFrame:
@@ -273,7 +156,8 @@ def parse_bill_amendments(bills: DataFrame, mode: str = "FAILFAST") -> DataFrame
     PERMISSIVE adds `error`, and gives one row with it for a bill that can't be parsed.
     """
     permissive = mode.upper() == "PERMISSIVE"
-    rows = bills.select("bill_id", "xml").mapInPandas(_bills(permissive), f"bill_id string, action_types array<string>, amending_text string, ordinal int, error {schema.ERROR}")
+    ddl = f"bill_id string, action_types array<string>, amending_text string, ordinal int, error {schema.ERROR}"
+    rows = bills.select("bill_id", "xml").mapInArrow(_bills(permissive, _arrow(ddl)), ddl)
     rows = rows.withColumn("amendment_id", fn.amendment_id(F.col("bill_id"), F.col("amending_text")))
     own = ["action_types", "amending_text", "ordinal", *(["error"] if permissive else [])]
     return rows.groupBy("bill_id", "amendment_id").agg(F.max_by(F.struct(*own), F.coalesce("ordinal", F.lit(-1))).alias("r")).select("bill_id", "amendment_id", "r.*")
