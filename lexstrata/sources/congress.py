@@ -1,7 +1,7 @@
 """Members, sponsors and bill texts from JSON: built-in parsing of string columns, and a small client for the files.
 
-The shredders are expressions, so a table of a million downloads is one scan. The client is plain Python on the driver; its
-transport is a parameter, so tests and offline folders need no network.
+The shredders are expressions, so a table of a million downloads is one scan. The client is plain Python, on the
+driver or in the tasks of `fetch`; its transport is a parameter, so tests and offline folders need no network.
 """
 
 from __future__ import annotations
@@ -131,6 +131,14 @@ def http_transport(base: str, key: str, timeout: float = 30) -> Callable[[str],
     return get
 
 
+def bill_path(bill_id: str | None) -> str:
+    """The place of congress-type-number."""
+    parts = (bill_id or "").split("-")
+    if len(parts) != 3 or not (parts[0].isdigit() and parts[2].isdigit()):
+        raise CongressError("parse", f"bill id {bill_id}")
+    return "bill/" + "/".join(parts)
+
+
 class CongressClient:
     """transport(path) -> (status, body). Answers are cached; a status is mapped to CongressError."""
 
@@ -156,24 +164,12 @@ class CongressClient:
         return shred_sponsors(spark.createDataFrame([(bill_id, self.fetch(at), self.fetch(f"{at}/cosponsors"))], "bill_id string, sponsors_json string, cosponsors_json string"))
 
     def download_bill(self, spark: SparkSession, bill_id: str) -> DataFrame:
-        """One row of the download table. Members that can't be had are left out; votes stay null."""
-        at = self._bill(bill_id)
-        sponsors, cosponsors, texts = self.fetch(at), self.fetch(f"{at}/cosponsors"), self.fetch(f"{at}/text")
-        url = law_text_urls(spark.createDataFrame([(bill_id, texts)], "bill_id string, text_json string")).first()
-        if url is None:
-            raise CongressError("not_found", f"public-law text of {bill_id}")
-        known = shred_sponsors(spark.createDataFrame([(bill_id, sponsors, cosponsors)], "bill_id string, sponsors_json string, cosponsors_json string")).first()
-        members = {}
-        for who in dict.fromkeys([known.sponsor, *(c.bioguide_id for c in known.cosponsors)]):
-            try:
-                members[who] = self.fetch(f"member/{who}")
-            except CongressError:
-                continue
-        return spark.createDataFrame([(bill_id, self.fetch(url.url), sponsors, cosponsors, members, None)], schema.DOWNLOADS)
+        """One row of the download table; `fetch.bills` fetches many, in tasks."""
+        from .fetch import bill_row
+
+        row = bill_row(self.fetch, bill_id)
+        return spark.createDataFrame([tuple(row.values())], schema.DOWNLOADS)
 
     @staticmethod
     def _bill(bill_id: str) -> str:
-        parts = bill_id.split("-")
-        if len(parts) != 3 or not (parts[0].isdigit() and parts[2].isdigit()):
-            raise CongressError("parse", f"bill id {bill_id}")
-        return "bill/" + "/".join(parts)
+        return bill_path(bill_id)
