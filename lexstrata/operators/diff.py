@@ -15,6 +15,10 @@ from ..schema import TEXT_FIELDS
 
 #: What of an element takes part in a comparison.
 COMPARED = ("snapshot_date", "parent_path", "ancestor_paths", "ord_path", "element_type", *TEXT_FIELDS)
+#: Columns of stored elements, by which whole parts are known to be equal.
+HASHES = "top string, tree_hash struct<a: long, b: long, n: long>"
+#: Tops that may differ by name in a filter; beyond, everything is read.
+MOST_TOPS = 2_000
 
 
 class PathMismatch(ValueError):
@@ -50,6 +54,12 @@ class TreeDiff:
     def release(self) -> None:
         self.compared.unpersist()
 
+    def __enter__(self) -> TreeDiff:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
 
 def containing(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose path contains the trimmed text; all of them for a blank one."""
@@ -86,12 +96,37 @@ def check_roots(old: DataFrame, new: DataFrame) -> None:
         raise PathMismatch(f"only the {('older', 'newer')[odd.lo]} snapshot has the root {odd.path}")
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """Adds `top` and `tree_hash`: two 64-bit hashes of what a comparison looks at, and the number of rows, from each row down.
+
+    Paths of rows that count are different, so hashes of rows can be combined in any order, before they are shuffled. Shadowed rows
+    have none of their own.
+    """
+    seen = [F.col("path"), F.col("element_type"), *(F.coalesce(F.col(f), F.lit("")) for f in TEXT_FIELDS)]
+    one = rows.where(~F.col("shadowed")).select(F.explode(F.concat("ancestor_paths", F.array("path"))).alias("path"), F.xxhash64(*seen).alias("x"), F.xxhash64(F.lit("second"), *seen).alias("y"))
+    whole = one.groupBy("path").agg(F.struct(F.bit_xor("x").alias("a"), F.bit_xor("y").alias("b"), F.count("*").alias("n")).alias("tree_hash"))
+    top = F.when(F.col("depth") > 0, F.coalesce(F.get("ancestor_paths", F.lit(1)), "path")).otherwise(F.lit(""))
+    return rows.drop("top", "tree_hash").withColumn("top", top).join(whole, "path", "left").select(*rows.drop("top", "tree_hash").columns, "top", "tree_hash")
+
+
+def differing_tops(old: DataFrame, new: DataFrame) -> list[str] | None:
+    """Tops (nodes of depth 1) whose hashes differ or that one side lacks; None if they are more than MOST_TOPS. Reads no texts."""
+    side = lambda df, name: df.where(~F.col("shadowed") & (F.col("depth") == 1)).select("path", F.col("tree_hash").alias(name))
+    both = side(old, "x").join(side(new, "y"), "path", "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
+    found = [r.path for r in both.select("path").limit(MOST_TOPS + 1).collect()]
+    return found if len(found) <= MOST_TOPS else None
+
+
 def compute_diff(old: DataFrame, new: DataFrame, prune: str = "reference") -> TreeDiff:
     """prune="reference" keeps the root and what lies on the way to a changed field; "complete" also keeps what lies on the way
     to an added or removed child. Snapshots with other root paths are a PathMismatch."""
     if prune not in ("reference", "complete"):
         raise ValueError(prune)
     check_roots(old, new)
+    if "tree_hash" in old.columns and "tree_hash" in new.columns:  # the parts that are equal are not compared
+        tops = differing_tops(old, new)
+        if tops is not None:
+            old, new = (df.where(F.col("top").isin("", *tops)) for df in (old, new))
     rows = compared(old, new).persist()
     both = rows.where("old_type IS NOT NULL AND new_type IS NOT NULL")
     one = lambda side, kind: rows.where(f"{side} IS NULL").select("path", "parent_path", "ancestor_paths", F.col(kind).alias("element_type"), "ord_path")

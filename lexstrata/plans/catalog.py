@@ -1,15 +1,18 @@
-"""A dataset: one Parquet table per kind of thing, under one folder.
+"""A dataset: tables under one folder, changed by commits.
 
-Adding appends rows, keyed things (members, sponsors, statuses) are read as the last row of their key; nothing is rewritten and
-nothing is held on the driver. Elements are partitioned by snapshot (its date, and a number for snapshots of one date), so a diff of
-two versions reads two partitions. A snapshot is there once its row in `versions` is: elements of one that broke off are not seen.
+Adding appends rows, keyed things (members, sponsors, statuses) are read as the last row of their key, and nothing is held on
+the driver. What belongs together (a snapshot and its elements; amendments, sponsors and members of a download) is one commit
+(`commits`): it is seen whole or not at all. Small commits are merged as they come.
+
+Elements of a snapshot are a part of their own, in order of paths, with `top` (the path of depth 1 above a row, empty for the root)
+and `tree_hash` (of all that a comparison looks at, from the row down). A difference first compares the hashes of the tops, and reads
+texts of the parts that changed.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,11 @@ from .. import schema
 from ..operators import annotations as notes
 from ..operators import diff, match, tree, versions
 from ..sources import congress, uslm
+from ..staging import staged
+from .commits import Commits
 
 TABLES = {
-    "metadata": "name string, description string, author string, seq long", "versions": schema.VERSIONS, "elements": f"{schema.ELEMENTS}, version string, seq long",
+    "metadata": "name string, description string, author string, seq long", "versions": schema.VERSIONS, "elements": f"{schema.ELEMENTS}, {diff.HASHES}, version string, seq long",
     "amendments": f"{schema.AMENDMENTS}, seq long", "bill_diffs": f"{schema.BILL_DIFFS}, generation long, seq long", "annotations": f"{schema.ANNOTATIONS}",
     "statuses": "annotation_id long, status string, seq long",
     "members": f"{schema.MEMBERS}, seq long", "sponsors": f"{schema.SPONSORS}, seq long",
@@ -40,23 +45,31 @@ class Dataset:
     def _seq() -> int:
         return time.time_ns()
 
+    @property
+    def commits(self) -> Commits:
+        return Commits(self.spark, self.path)
+
     def table(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], TABLES[name])
+        return self.commits.read(name, TABLES[name])
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        out = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.mode("append")
-        (out.partitionBy("version", "seq") if name == "elements" else out).parquet(f"{self.path}/{name}")
+        self._commit({name: rows})
+
+    def _commit(self, rows: dict[str, DataFrame], **facts) -> None:
+        """Rows of one or more tables, in one step."""
+        own = self.commits
+        columns = lambda name: self.spark.createDataFrame([], TABLES[name]).columns
+        own.commit({name: [own.write(name, df.select(*columns(name)), **facts)] for name, df in rows.items()})
+        for name in rows:
+            if name != "elements":  # a part for each snapshot
+                own.compact(name, TABLES[name])
 
     # versions
     def add_version(self, date: str, elements: DataFrame, label: str | None = None) -> None:
         own = self._seq()
-        self._append("elements", elements.withColumn("version", F.lit(date)).withColumn("seq", F.lit(own)))
-        self._append("versions", self.spark.createDataFrame([(date, label, own)], schema.VERSIONS))
+        rows = diff.hashed(elements).withColumn("version", F.lit(date)).withColumn("seq", F.lit(own))
+        rows = rows.repartitionByRange("path").sortWithinPartitions("path")
+        self._commit({"elements": rows, "versions": self.spark.createDataFrame([(date, label, own)], schema.VERSIONS)}, version=date, seq=own)
 
     def add_uslm_xml(self, path: str, date: str, label: str | None = None) -> None:
         self.add_version(date, uslm.read_uslm(self.spark, path, date).drop("source", "error"), label)
@@ -73,12 +86,13 @@ class Dataset:
         own = versions.by_date(self.table("versions"), date).first()
         if own is None:
             raise VersionNotFound(date)
-        return self.table("elements").where((F.col("version") == date) & (F.col("seq") == own.seq)).drop("version", "seq")
+        rows = self.commits.read("elements", TABLES["elements"], lambda part: part.get("seq", own.seq) == own.seq)
+        return versions.elements_at(rows, self.spark.createDataFrame([own], schema.VERSIONS), date).drop("version", "seq")
 
     def all_elements(self) -> DataFrame:
         """Elements of all snapshots."""
         known = self.table("versions").select(F.col("snapshot_date").alias("version"), "seq")
-        return self.table("elements").join(known, ["version", "seq"], "left_semi").drop("version", "seq")
+        return self.table("elements").join(F.broadcast(known), ["version", "seq"], "left_semi").drop("version", "seq")  # a row for each snapshot
 
     def find_element(self, path: str) -> DataFrame:
         return tree.element_versions(self.all_elements(), path)
@@ -135,9 +149,11 @@ class Dataset:
 
     def load_bill_downloads(self, downloads: DataFrame) -> None:
         """Amendments, sponsors and members of downloaded bills; members whose JSON can't be read are left out."""
-        self.add_bill(uslm.parse_bill_amendments(downloads.select("bill_id", F.col("bill_xml").alias("xml"))))
-        self.add_sponsors(congress.shred_sponsors(downloads))
-        self.add_members(congress.shred_members(downloads.select(F.explode(F.map_values("member_jsons")).alias("json"))))
+        bills = uslm.parse_bill_amendments(downloads.select("bill_id", F.col("bill_xml").alias("xml")))
+        people = congress.shred_members(downloads.select(F.explode(F.map_values("member_jsons")).alias("json")))
+        found = {"amendments": bills, "sponsors": congress.shred_sponsors(downloads), "members": people}
+        now = F.lit(self._seq())
+        self._commit({name: rows.withColumn("seq", now) for name, rows in found.items()})
 
     def best_amendments(self, changes: diff.TreeDiff) -> DataFrame:
         return match.best_amendments(changes.field_changes, self.bill_diffs)
@@ -188,6 +204,11 @@ class Dataset:
         self._append("statuses", self.spark.createDataFrame([(annotation_id, status, self._seq())], TABLES["statuses"]))
         return True
 
+    def set_statuses(self, updates: DataFrame) -> None:
+        """Many updates (annotation_id, status) in one commit; unknown ids do nothing, other statuses are an error."""
+        known = F.when(F.col("status").isin(*schema.STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("null")))))
+        self._append("statuses", updates.select("annotation_id", known.alias("status"), F.lit(self._seq()).alias("seq")))
+
     def all_annotations(self) -> DataFrame:
         return notes.with_updates(self.table("annotations"), self.table("statuses"))
 
@@ -195,8 +216,9 @@ class Dataset:
         return self.all_annotations().where((F.col("from_date") == from_date) & (F.col("to_date") == to_date))
 
     def unannotated_paths(self, from_date: str, to_date: str) -> DataFrame:
-        changed = self.compute_diff(from_date, to_date).changed_nodes()
-        return notes.unannotated(changed, self.annotations(from_date, to_date)).select("path", "ord_path").orderBy("ord_path").select("path")
+        with self.compute_diff(from_date, to_date) as changes:
+            paths = notes.unannotated(changes.changed_nodes(), self.annotations(from_date, to_date)).select("path", "ord_path")
+            return staged(paths, "unannotated").orderBy("ord_path").select("path")
 
     def sponsors_for_path(self, path: str) -> DataFrame:
         return notes.sponsors_for_path(self.all_annotations(), self.sponsors, self.members, path)

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import annotations as notes
 from .operators import diff, match, tree, versions
-from .schema import STOP_WORDS
+from .plans.catalog import Dataset
+from .schema import ELEMENTS, STOP_WORDS
 from .sources import congress, fetch, uslm
+from .staging import new_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -546,6 +548,41 @@ def matches_by_amendment(spark, sf_dir):
     return match.matches_by_amendment(_found(spark, sf_dir)).select("amendment_id", F.array_join(each, ";").alias("matches"))
 
 
+# through a dataset, in a folder of its own
+
+
+def _dataset(spark, sf_dir) -> Dataset:
+    """Both snapshots of the tree, the later one first, and one more of the older date, which lookups don't take."""
+    d = Dataset(spark, new_stage(spark, "dataset"), "laws")
+    whole = lambda new: spark.createDataFrame([], ELEMENTS).unionByName(elements(spark, sf_dir, new), allowMissingColumns=True)
+    d.add_version("2025-07-30", whole(True), "After")
+    d.add_version("2025-07-18", whole(False), "Before")
+    d.add_version("2025-07-18", whole(True).where("depth < 3").withColumn("heading", F.lit("again")), "Again")
+    return d
+
+
+@query(SQL["diff_changed_nodes"])
+def dataset_diff(spark, sf_dir):
+    return _dataset(spark, sf_dir).compute_diff("2025-07-18", "2025-07-30").changed_nodes().select("path", "n_changes", "n_added", "n_removed")
+
+
+@query("SELECT label, n_name AS heading FROM (VALUES ('After'), ('Before')) v(label), nation WHERE n_nationkey = 0 UNION ALL SELECT 'Again', 'again'")
+def dataset_versions(spark, sf_dir):
+    d = _dataset(spark, sf_dir)
+    rows = d.table("elements").where("path = 'title_0/chapter_0'").select(F.col("version").alias("snapshot_date"), "seq", "heading")
+    return rows.join(d.versions.select("snapshot_date", "seq", "label"), ["snapshot_date", "seq"]).select("label", "heading")
+
+
+@query("SELECT doc_id AS annotation_id, CASE WHEN doc_id % 6 = 0 THEN 'Rejected' WHEN doc_id % 3 = 0 THEN 'Verified' WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'Disputed' ELSE 'Verified' END WHEN toxic = 1 THEN 'Rejected' END AS status FROM labels")
+def dataset_statuses(spark, sf_dir):
+    d = Dataset(spark, new_stage(spark, "dataset"))
+    rows = _annotations(spark, sf_dir)
+    d.add_annotations(spark.createDataFrame([], d.table("annotations").schema).unionByName(rows, allowMissingColumns=True))
+    for by, status in ((3, "Verified"), (6, "Rejected")):
+        d.set_statuses(rows.where(F.col("annotation_id") % by == 0).select("annotation_id", F.lit(status).alias("status")))
+    return d.all_annotations().select("annotation_id", "status")
+
+
 # fetching; the transport answers from the path alone
 
 

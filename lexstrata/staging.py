@@ -27,8 +27,12 @@ def stage_dir(spark: SparkSession) -> str:
     return f"{place.rstrip('/')}/lexstrata-stage-{own}"
 
 
+def new_stage(spark: SparkSession, name: str) -> str:
+    return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_stage(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
