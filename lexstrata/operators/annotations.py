@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import STATUSES
+from ..staging import staged
 
 
 def exploded(annotations: DataFrame) -> DataFrame:
@@ -99,12 +100,13 @@ def owning_bill(ids: DataFrame, amendments: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rank (from 1) of each row in an order, without all rows in one task.
+    """rank (from 1) of each row in an order, without all rows in one task; among equals, as they come.
 
     Rows are sorted by ranges; a row's rank is its place in its range and the sizes of the ranges before, of which there is one for
-    each partition. The sorted rows are persisted, since they are counted and then read.
+    each partition. The sorted rows are a staged table with their places in it, so a range that must be read or sorted again can't
+    give other places.
     """
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    placed = staged(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -127,5 +129,16 @@ def amendment_order(amendments: DataFrame, scores: DataFrame, mentioned: DataFra
     return ranked(rows, F.desc("weight"), "ord")
 
 
-def by_first_path(annotations: DataFrame) -> DataFrame:
-    return annotations.orderBy(F.coalesce(F.get("paths", F.lit(0)), F.lit("")))
+#: Letters with their accents as a second difference, and small letters before capitals as a third one.
+LOCALE_COLLATION = "UNICODE"
+
+
+def by_first_path(annotations: DataFrame, collation: str = LOCALE_COLLATION) -> DataFrame:
+    """In order of the first path, as the collation compares (a locale's name, or UTF8_BINARY for bytes); no path comes first."""
+    return annotations.orderBy(F.collate(F.coalesce(F.get("paths", F.lit(0)), F.lit("")), collation))
+
+
+def first_path_ranks(annotations: DataFrame, collation: str = LOCALE_COLLATION) -> DataFrame:
+    """annotations with their rank in that order; among equals by annotation_id."""
+    rows = annotations.withColumn("_first", F.collate(F.coalesce(F.get("paths", F.lit(0)), F.lit("")), collation))
+    return ranked(rows, "_first", "annotation_id").drop("_first")

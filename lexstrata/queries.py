@@ -548,6 +548,17 @@ def matches_by_amendment(spark, sf_dir):
     return match.matches_by_amendment(_found(spark, sf_dir)).select("amendment_id", F.array_join(each, ";").alias("matches"))
 
 
+_NAMES = "CASE doc_id % 8 WHEN 0 THEN 'Zeta' WHEN 1 THEN 'zeta' WHEN 2 THEN 'éclair' WHEN 3 THEN 'eclair' WHEN 4 THEN 'Eclair' WHEN 5 THEN 'ab' WHEN 6 THEN 'a_b' ELSE '' END"
+
+
+@query("SELECT doc_id AS annotation_id, row_number() OVER (ORDER BY list_position(['', 'a_b', 'ab', 'eclair', 'Eclair', 'éclair', 'zeta', 'Zeta'], name), doc_id) AS rank FROM (SELECT doc_id, " + _NAMES + " AS name FROM labels)")
+def annotations_by_first_path(spark, sf_dir):
+    """Accents and case in the locale's order."""
+    name = F.expr(_NAMES)
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("annotation_id"), F.when(name != "", F.array(name, F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("paths"))
+    return notes.first_path_ranks(rows).select("annotation_id", F.col("rank").cast("long").alias("rank"))
+
+
 # through a dataset, in a folder of its own
 
 
