@@ -6,12 +6,14 @@ the driver. What belongs together (a snapshot and its elements; amendments, spon
 
 Elements of a snapshot are a part of their own, in order of paths, with `top` (the path of depth 1 above a row, empty for the root)
 and `tree_hash` (of all that a comparison looks at, from the row down). A difference first compares the hashes of the tops, and reads
-texts of the parts that changed.
+texts of the parts that changed. With `buckets`, snapshots are stored in that many hash buckets of their paths: two of them are compared
+without an exchange, and the history of an element reads one bucket of each.
 """
 
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ class VersionNotFound(ValueError):
 
 
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, name: str = "", description: str = "", author: str = ""):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, name: str = "", description: str = "", author: str = "", buckets: int = 0):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         if name:
             self._append("metadata", spark.createDataFrame([(name, description, author, self._seq())], TABLES["metadata"]))
 
@@ -55,21 +57,29 @@ class Dataset:
     def _append(self, name: str, rows: DataFrame) -> None:
         self._commit({name: rows})
 
-    def _commit(self, rows: dict[str, DataFrame], **facts) -> None:
+    def _commit(self, rows: dict[str, DataFrame]) -> None:
         """Rows of one or more tables, in one step."""
         own = self.commits
-        columns = lambda name: self.spark.createDataFrame([], TABLES[name]).columns
-        own.commit({name: [own.write(name, df.select(*columns(name)), **facts)] for name, df in rows.items()})
+        own.commit({name: [own.write(name, self._whole(name, df))] for name, df in rows.items()})
         for name in rows:
             if name != "elements":  # a part for each snapshot
                 own.compact(name, TABLES[name])
 
+    def _whole(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.spark.createDataFrame([], TABLES[name]).columns)
+
     # versions
     def add_version(self, date: str, elements: DataFrame, label: str | None = None) -> None:
         own = self._seq()
         rows = diff.hashed(elements).withColumn("version", F.lit(date)).withColumn("seq", F.lit(own))
-        rows = rows.repartitionByRange("path").sortWithinPartitions("path")
-        self._commit({"elements": rows, "versions": self.spark.createDataFrame([(date, label, own)], schema.VERSIONS)}, version=date, seq=own)
+        commits, rows = self.commits, self._whole("elements", rows)
+        if self.buckets:
+            part = commits.write_buckets("elements", rows, "path", self.buckets, version=date, seq=own)
+        else:
+            part = commits.write("elements", rows.repartitionByRange("path").sortWithinPartitions("path"), version=date, seq=own)
+        row = self.spark.createDataFrame([(date, label, own)], schema.VERSIONS)
+        commits.commit({"elements": [part], "versions": [commits.write("versions", row)]})
+        commits.compact("versions", TABLES["versions"])
 
     def add_uslm_xml(self, path: str, date: str, label: str | None = None) -> None:
         self.add_version(date, uslm.read_uslm(self.spark, path, date).drop("source", "error"), label)
@@ -86,7 +96,11 @@ class Dataset:
         own = versions.by_date(self.table("versions"), date).first()
         if own is None:
             raise VersionNotFound(date)
-        rows = self.commits.read("elements", TABLES["elements"], lambda part: part.get("seq", own.seq) == own.seq)
+        commits = self.commits
+        parts = commits.latest()[1].get("elements", [])
+        if whole := [p for p in parts if p.get("seq") == own.seq]:  # the part of this snapshot
+            return commits.read_part(whole[0], TABLES["elements"]).drop("version", "seq")
+        rows = commits.read("elements", TABLES["elements"], lambda part: "seq" not in part)
         return versions.elements_at(rows, self.spark.createDataFrame([own], schema.VERSIONS), date).drop("version", "seq")
 
     def all_elements(self) -> DataFrame:
@@ -95,7 +109,12 @@ class Dataset:
         return self.table("elements").join(F.broadcast(known), ["version", "seq"], "left_semi").drop("version", "seq")  # a row for each snapshot
 
     def find_element(self, path: str) -> DataFrame:
-        return tree.element_versions(self.all_elements(), path)
+        """The node in every snapshot that has it; of a snapshot in buckets, one bucket is read."""
+        commits, found = self.commits, self.all_elements().where(F.col("path") == path)
+        parts = commits.latest()[1].get("elements", [])
+        if parts and all("buckets" in p for p in parts):
+            found = reduce(DataFrame.unionByName, (commits.read_part(p, TABLES["elements"]).where(F.col("path") == path).drop("version", "seq") for p in parts))
+        return tree.element_versions(found, path)
 
     def search_text(self, query: str) -> DataFrame:
         return tree.search_text(self.all_elements(), query)

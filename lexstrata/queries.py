@@ -562,9 +562,9 @@ def annotations_by_first_path(spark, sf_dir):
 # through a dataset, in a folder of its own
 
 
-def _dataset(spark, sf_dir) -> Dataset:
+def _dataset(spark, sf_dir, buckets: int = 0) -> Dataset:
     """Both snapshots of the tree, the later one first, and one more of the older date, which lookups don't take."""
-    d = Dataset(spark, new_stage(spark, "dataset"), "laws")
+    d = Dataset(spark, new_stage(spark, "dataset"), "laws", buckets=buckets)
     whole = lambda new: spark.createDataFrame([], ELEMENTS).unionByName(elements(spark, sf_dir, new), allowMissingColumns=True)
     d.add_version("2025-07-30", whole(True), "After")
     d.add_version("2025-07-18", whole(False), "Before")
@@ -577,6 +577,13 @@ def dataset_diff(spark, sf_dir):
     return _dataset(spark, sf_dir).compute_diff("2025-07-18", "2025-07-30").changed_nodes().select("path", "n_changes", "n_added", "n_removed")
 
 
+@query("SELECT CAST(s AS VARCHAR) AS snapshot, n_name AS heading FROM (VALUES ('2025-07-18'), ('2025-07-30')) v(s), nation WHERE n_nationkey = 0 UNION ALL SELECT '2025-07-30', 'again'")
+def dataset_history(spark, sf_dir):
+    """An element in all snapshots, which lie in buckets; the one added again has the dates of its rows."""
+    rows = _dataset(spark, sf_dir, buckets=8).find_element("title_0/chapter_0")
+    return rows.select(F.col("snapshot_date").cast("string").alias("snapshot"), "heading")
+
+
 @query("SELECT label, n_name AS heading FROM (VALUES ('After'), ('Before')) v(label), nation WHERE n_nationkey = 0 UNION ALL SELECT 'Again', 'again'")
 def dataset_versions(spark, sf_dir):
     d = _dataset(spark, sf_dir)

@@ -119,3 +119,33 @@ def test_many_tops_are_compared_whole(dataset, monkeypatch):
         assert [(r.path, r.new_value) for r in changes.field_changes.collect()] == [("uscode/title_2/section_1", "other")]
         assert [r.path for r in changes.removed.collect()] == []
     assert not changes.compared.is_cached
+
+
+def test_snapshots_in_buckets_are_compared_where_they_are(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "d"), buckets=4)
+    for date, word in (("2025-07-18", "a"), ("2025-07-30", "b")):
+        (tmp_path / f"{date}.xml").write_text(usc("".join(title(n, *(section(k, f"<content>{word if k == 3 else 'same'}</content>") for k in range(9))) for n in range(3))))
+        d.add_uslm_xml(str(tmp_path / f"{date}.xml"), date)
+    assert spark.catalog.listTables() == []
+    old, new = d.elements("2025-07-18"), d.elements("2025-07-30")
+    assert old.count() == new.count() == 31 and len(old.inputFiles()) == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = diff.matched(old, new)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with d.compute_diff("2025-07-18", "2025-07-30") as changes:
+        assert sorted(r.path for r in changes.field_changes.collect()) == [f"uscode/title_{n}/section_3" for n in range(3)]
+    history = d.find_element("uscode/title_1/section_3")
+    assert [r.content for r in history.collect()] == ["a", "b"]
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that plans say what they skip
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        assert d.find_element("uscode/title_1/section_3")._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 1 out of 4") == 2
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    plain = Dataset(spark, str(tmp_path / "plain"))
+    plain.add_version("2025-07-18", old)
+    assert sorted(map(str, plain.elements("2025-07-18").collect())) == sorted(map(str, old.collect()))
