@@ -70,17 +70,31 @@ class Dataset:
 
     # versions
     def add_version(self, date: str, elements: DataFrame, label: str | None = None) -> None:
-        own = self._seq()
-        rows = diff.hashed(elements).withColumn("version", F.lit(date)).withColumn("seq", F.lit(own))
-        commits, rows = self.commits, self._whole("elements", rows)
-        if self.buckets:
-            part = commits.write_buckets("elements", rows, "path", self.buckets, version=date, seq=own)
-        else:
-            part = commits.write("elements", rows.repartitionByRange("path").sortWithinPartitions("path"), version=date, seq=own)
-        row = self.spark.createDataFrame([(date, label, own)], schema.VERSIONS)
-        commits.commit({"elements": [part], "versions": [commits.write("versions", row)]})
+        self.add_versions([(date, elements, label)])
+
+    def add_versions(self, snapshots: list[tuple[str, DataFrame, str | None]], mark: tuple[str, int] | None = None) -> None:
+        """Snapshots (date, elements, label) in one commit, in this order among those of one date."""
+        commits, parts, known = self.commits, [], []
+        for date, elements, label in snapshots:
+            own = self._seq()
+            rows = self._whole("elements", diff.hashed(elements).withColumn("version", F.lit(date)).withColumn("seq", F.lit(own)))
+            if self.buckets:
+                parts.append(commits.write_buckets("elements", rows, "path", self.buckets, version=date, seq=own))
+            else:
+                parts.append(commits.write("elements", rows.repartitionByRange("path").sortWithinPartitions("path"), version=date, seq=own))
+            known.append((date, label, own))
+        row = self.spark.createDataFrame(known, schema.VERSIONS)
+        commits.commit({"elements": parts, "versions": [commits.write("versions", row)]}, mark=mark)
         commits.compact("versions", TABLES["versions"])
 
+    def upsert(self, name: str, rows: DataFrame, mark: tuple[str, int] | None = None) -> None:
+        """Rows of a keyed table (members, sponsors, statuses) with their own `seq`: of each key the highest is read, whenever it came."""
+        if name not in ("members", "sponsors", "statuses"):
+            raise ValueError(f"{name} has no key")
+        commits = self.commits
+        commits.commit({name: [commits.write(name, self._whole(name, rows))]}, mark=mark)
+        commits.compact(name, TABLES[name])
+
     def add_uslm_xml(self, path: str, date: str, label: str | None = None) -> None:
         self.add_version(date, uslm.read_uslm(self.spark, path, date).drop("source", "error"), label)
 
