@@ -7,7 +7,8 @@ the driver. What belongs together (a snapshot and its elements; amendments, spon
 Elements of a snapshot are a part of their own, in order of paths, with `top` (the path of depth 1 above a row, empty for the root)
 and `tree_hash` (of all that a comparison looks at, from the row down). A difference first compares the hashes of the tops, and reads
 texts of the parts that changed. With `buckets`, snapshots are stored in that many hash buckets of their paths: two of them are compared
-without an exchange, and the history of an element reads one bucket of each.
+without an exchange, and the history of an element reads one bucket of each. With `indexed`, each snapshot has an index of
+the trigrams in its files (in the same commit), and a search reads the files that can hold a hit.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import annotations as notes
-from ..operators import diff, match, tree, versions
+from ..operators import diff, match, textindex, tree, versions
 from ..sources import congress, uslm
 from ..staging import staged
 from .commits import Commits
@@ -31,6 +32,8 @@ TABLES = {
     "statuses": "annotation_id long, status string, seq long",
     "members": f"{schema.MEMBERS}, seq long", "sponsors": f"{schema.SPONSORS}, seq long",
 }
+#: Rows of a file of elements at most; what a search reads, it reads by files.
+FILE_ROWS = 100_000
 
 
 class VersionNotFound(ValueError):
@@ -38,8 +41,8 @@ class VersionNotFound(ValueError):
 
 
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, name: str = "", description: str = "", author: str = "", buckets: int = 0):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, name: str = "", description: str = "", author: str = "", buckets: int = 0, indexed: bool = False, file_rows: int = FILE_ROWS):
+        self.spark, self.path, self.buckets, self.indexed, self.file_rows = spark, path.rstrip("/"), buckets, indexed, file_rows
         if name:
             self._append("metadata", spark.createDataFrame([(name, description, author, self._seq())], TABLES["metadata"]))
 
@@ -74,17 +77,20 @@ class Dataset:
 
     def add_versions(self, snapshots: list[tuple[str, DataFrame, str | None]], mark: tuple[str, int] | None = None) -> None:
         """Snapshots (date, elements, label) in one commit, in this order among those of one date."""
-        commits, parts, known = self.commits, [], []
+        commits, parts, grams, known = self.commits, [], [], []
         for date, elements, label in snapshots:
             own = self._seq()
             rows = self._whole("elements", diff.hashed(elements).withColumn("version", F.lit(date)).withColumn("seq", F.lit(own)))
             if self.buckets:
                 parts.append(commits.write_buckets("elements", rows, "path", self.buckets, version=date, seq=own))
             else:
-                parts.append(commits.write("elements", rows.repartitionByRange("path").sortWithinPartitions("path"), version=date, seq=own))
+                parts.append(commits.write("elements", rows.repartitionByRange("path").sortWithinPartitions("path"), self.file_rows, version=date, seq=own))
+            if self.indexed:
+                stored = self.spark.read.schema(TABLES["elements"]).parquet(f"{self.path}/{parts[-1]['folder']}")
+                grams.append(commits.write("grams", textindex.postings(stored), of=parts[-1]["folder"]))
             known.append((date, label, own))
         row = self.spark.createDataFrame(known, schema.VERSIONS)
-        commits.commit({"elements": parts, "versions": [commits.write("versions", row)]}, mark=mark)
+        commits.commit({"elements": parts, "grams": grams, "versions": [commits.write("versions", row.coalesce(1))]}, mark=mark)
         commits.compact("versions", TABLES["versions"])
 
     def upsert(self, name: str, rows: DataFrame, mark: tuple[str, int] | None = None) -> None:
@@ -130,8 +136,26 @@ class Dataset:
             found = reduce(DataFrame.unionByName, (commits.read_part(p, TABLES["elements"]).where(F.col("path") == path).drop("version", "seq") for p in parts))
         return tree.element_versions(found, path)
 
+    def candidates(self, terms: list[str]) -> DataFrame:
+        """Elements of all snapshots, without the files that can't hold a text with all terms."""
+        commits, runs = self.commits, textindex.needed(self.spark, terms)
+        tables = commits.latest()[1]
+        of = {p["of"]: p for p in tables.get("grams", [])}
+        if not runs or not of:
+            return self.all_elements()
+        folders = [f"{self.path}/{p['folder']}" for p in tables["elements"] if p["folder"] not in of]
+        found = reduce(DataFrame.unionByName, (textindex.files_with(commits.read_part(p, textindex.POSTINGS), runs).select(F.lit(k).alias("of"), "file") for k, p in of.items()))
+        folders += [f"{self.path}/{r['of']}/{r.file}" for r in found.collect()]  # names of files
+        rows = self.spark.read.schema(TABLES["elements"]).parquet(*folders) if folders else self.spark.createDataFrame([], TABLES["elements"])
+        known = self.table("versions").select(F.col("snapshot_date").alias("version"), "seq")
+        return rows.join(F.broadcast(known), ["version", "seq"], "left_semi").drop("version", "seq")
+
     def search_text(self, query: str) -> DataFrame:
-        return tree.search_text(self.all_elements(), query)
+        return tree.search_text(self.candidates([query]), query)
+
+    def containing_all(self, column: str, terms: list[str]) -> DataFrame:
+        """Elements of all snapshots whose text has every term, in any case."""
+        return tree.containing_all(self.candidates(terms), column, terms)
 
     def compute_diff(self, from_date: str, to_date: str, prune: str = "reference") -> diff.TreeDiff:
         return diff.compute_diff(self.elements(from_date), self.elements(to_date), prune)

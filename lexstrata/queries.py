@@ -562,9 +562,9 @@ def annotations_by_first_path(spark, sf_dir):
 # through a dataset, in a folder of its own
 
 
-def _dataset(spark, sf_dir, buckets: int = 0) -> Dataset:
+def _dataset(spark, sf_dir, **options) -> Dataset:
     """Both snapshots of the tree, the later one first, and one more of the older date, which lookups don't take."""
-    d = Dataset(spark, new_stage(spark, "dataset"), "laws", buckets=buckets)
+    d = Dataset(spark, new_stage(spark, "dataset"), "laws", **options)
     whole = lambda new: spark.createDataFrame([], ELEMENTS).unionByName(elements(spark, sf_dir, new), allowMissingColumns=True)
     d.add_version("2025-07-30", whole(True), "After")
     d.add_version("2025-07-18", whole(False), "Before")
@@ -584,6 +584,13 @@ def dataset_history(spark, sf_dir):
     return rows.select(F.col("snapshot_date").cast("string").alias("snapshot"), "heading")
 
 
+@query(_TREE + "SELECT '2025-07-18' AS snapshot, path, content AS snippet FROM before WHERE contains(lower(content), 'priority 1-u') UNION ALL SELECT '2025-07-30', path, content FROM after WHERE contains(lower(content), 'priority 1-u')")
+def dataset_search(spark, sf_dir):
+    """A search through the index of trigrams."""
+    d = _dataset(spark, sf_dir, indexed=True)
+    return d.search_text("Priority 1-U").where("field_name = 'content'").select(F.col("snapshot_date").cast("string").alias("snapshot"), "path", "snippet")
+
+
 @query("SELECT label, n_name AS heading FROM (VALUES ('After'), ('Before')) v(label), nation WHERE n_nationkey = 0 UNION ALL SELECT 'Again', 'again'")
 def dataset_versions(spark, sf_dir):
     d = _dataset(spark, sf_dir)

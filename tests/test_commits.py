@@ -149,3 +149,23 @@ def test_snapshots_in_buckets_are_compared_where_they_are(spark, tmp_path):
     plain = Dataset(spark, str(tmp_path / "plain"))
     plain.add_version("2025-07-18", old)
     assert sorted(map(str, plain.elements("2025-07-18").collect())) == sorted(map(str, old.collect()))
+
+
+def test_a_search_reads_the_files_that_can_hold_a_hit(spark, tmp_path):
+    body = "".join(section(k, f"<heading>Über Straße {k} İx</heading><content>{'needle ' if k == 77 else ''}filler {'ab' * (k % 3)}</content>") for k in range(100, 130))
+    body = body + section(77, "<content>The NEEDLE lies here \U0001f600\U0001f601\U0001f602</content>")
+    (tmp_path / "a.xml").write_text(usc(body))
+    plain, quick = Dataset(spark, str(tmp_path / "p")), Dataset(spark, str(tmp_path / "q"), indexed=True, file_rows=4)
+    for d in (plain, quick):
+        d.add_uslm_xml(str(tmp_path / "a.xml"), "2025-07-18")
+        d.add_version("2025-07-30", d.elements("2025-07-18").where("path not like '%77'").withColumn("snapshot_date", F.lit("2025-07-30").cast("date")))
+    assert len(quick.all_elements().inputFiles()) >= 14
+    for query in ("needle", "NEEDLE lies", "über", "STRASSE", "straße 10", "İX", "i̇x", "ab", "x", "", "nowhere at all", "\U0001f600\U0001f601\U0001f602", "FILLER abab"):
+        want, got = ([tuple(r) for r in d.search_text(query).collect()] for d in (plain, quick))
+        assert got == want, query
+    assert sum("/elements/" in f for f in quick.candidates(["needle"]).inputFiles()) == 1 and quick.candidates(["nowhere"]).count() == 0
+    want, got = (sorted(r.path for r in d.containing_all("content", ["FILLER", "ABAB"]).collect()) for d in (plain, quick))
+    assert got == want and len(got) == 20
+    quick.indexed = False
+    quick.add_version("2025-08-01", plain.elements("2025-07-18"))  # without an index it is read whole
+    assert quick.search_text("needle").count() == 2
