@@ -16,7 +16,7 @@
      word becomes one of 20,480 characters by hash, so that the built-in distance runs over words.
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
 
-Lines of fewer than LEAST_WORDS words are only held equal, never similar.
+Lines of fewer than LEAST_WORDS words allow no edit (a fifth of five words is the first whole one), so they are only held equal.
 
 Defined results: a null text stays null, an empty one stays as it is; a text may lose all its lines and is then empty. Repeated
 rows count as one document, each row gets the same result. Rows without doc_id come first in order. An empty table gives an
@@ -32,7 +32,7 @@ from . import shared
 from .graph import components
 
 SIMILARITY = 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 4
 #: Cells of 64 bits that mark repeated word pairs, and counters of these: fixed numbers. Full ones only make lists longer.
 CELLS = 1 << 20
 BUCKETS = 1 << 18

@@ -38,7 +38,7 @@ def naive(docs):
             i = root[i]
         return i
 
-    fuzzy = [i for i, x in enumerate(nodes) if len(x.split(" ")) >= 5]
+    fuzzy = [i for i, x in enumerate(nodes) if len(x.split(" ")) >= 1]
     for k, i in enumerate(fuzzy):
         for j in fuzzy[:k]:
             a, b = len(nodes[i].split(" ")), len(nodes[j].split(" "))
@@ -124,7 +124,7 @@ def similar_only(docs):
     for k, x in enumerate(words):
         for j, y in enumerate(words[:k]):
             most = int(max(len(x), len(y)) * 0.2)
-            if min(len(x), len(y)) >= 5 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+            if abs(len(x) - len(y)) <= most and distance(x, y) <= most:
                 root[find(k)] = find(j)
     keep = {}
     for k, x in enumerate(nodes):
@@ -137,7 +137,7 @@ def test_all_pairs_of_the_similarity(spark):
     rng = random.Random(11)
     words = [f"w{i}{chr(97 + i % 26)}" for i in range(60)]
     rows = []
-    for n in [*range(5, 16), 19, 20, 24, 25, 33, 44, 60, 99, 100] * 2:
+    for n in [*range(1, 16), 19, 20, 24, 25, 33, 44, 60, 99, 100] * 2:
         line = rng.choices(words, k=n)
         near = list(line)
         edits = (n + 1) // 5 if rng.random() < 0.5 else n // 5
