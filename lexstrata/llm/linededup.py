@@ -16,7 +16,8 @@
      word becomes one of 20,480 characters by hash, so that the built-in distance runs over words.
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
 
-Lines of fewer than LEAST_WORDS words allow no edit (a fifth of five words is the first whole one), so they are only held equal.
+A line of LEAST_WORDS - 1 words is similar to lines that have one word more, and to no other; it meets these by equality, since
+each line of LEAST_WORDS words names what is left of it without each of its words. Shorter lines allow no edit and are held equal.
 
 Defined results: a null text stays null, an empty one stays as it is; a text may lose all its lines and is then empty. Repeated
 rows count as one document, each row gets the same result. Rows without doc_id come first in order. An empty table gives an
@@ -32,7 +33,7 @@ from . import shared
 from .graph import components
 
 SIMILARITY = 0.8
-LEAST_WORDS = 4
+LEAST_WORDS = 5
 #: Cells of 64 bits that mark repeated word pairs, and counters of these: fixed numbers. Full ones only make lists longer.
 CELLS = 1 << 20
 BUCKETS = 1 << 18
@@ -198,6 +199,20 @@ def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     return out
 
 
+def _without(words: Column, k: int) -> Column:
+    return F.filter(words, lambda _, i: i != k)
+
+
+def one_word_apart(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
+    """(a, b): lines a of LEAST_WORDS words that are b with one word more. A row for each word of the lines a, before the join."""
+    words, size = F.split("norm", " "), F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    short = lines.where(size == LEAST_WORDS - 1).select(F.col("node").alias("h"), "norm")
+    less = F.array(*(F.array_join(_without(words, k), " ") for k in range(LEAST_WORDS)))
+    whole = lines.where(size == LEAST_WORDS).select(F.col("node").alias("a"), F.explode(F.array_distinct(less)).alias("less")).withColumn("h", F.xxhash64("less"))
+    found = shared.marked(tmp, whole, "h", short.select("h")).where("may").join(short, "h").where("less = norm")
+    return found.select("a", F.col("h").alias("b"))
+
+
 def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """(a, b): pairs of similar lines (node, norm) that connect all that are connected, as a written table."""
     lists = lists_of(tmp, lines)
@@ -225,7 +240,7 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = tmp.written(rest.unionByName(pairs).distinct(), "rest")
     tmp.drop(paired, near)
-    return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")), "all-line-links")
+    return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")).unionByName(one_word_apart(tmp, lines)), "all-line-links")
 
 
 def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
