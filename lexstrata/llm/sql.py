@@ -36,8 +36,11 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS compon
 
 OP12 = f"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
-w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
-g AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m))) GROUP BY ALL),
+w AS (SELECT lang, pid, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p)),
+runs AS (SELECT lang, w AS p1, w || ' ' || lead(w, 1) OVER o AS p2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS p3, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS p4 FROM w WINDOW o AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS m, p1 AS phrase, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, 2, p2, count(*) FROM runs WHERE p2 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 3, p3, count(*) FROM runs WHERE p3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, p4, count(*) FROM runs WHERE p4 IS NOT NULL GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
 c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
 cut AS (SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT) // (x.f + y.f) AS score
