@@ -17,17 +17,13 @@ POSTINGS = "file string, gram string"
 
 def grams(text: Column) -> Column:
     """The different runs of three characters of a text, lower-cased; null has none."""
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    none = F.array().cast("array<string>")
-    chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    return F.aggregate(F.array(chars), none, lambda _, c: F.when(F.size(c) >= 3, F.array_distinct(runs(c))).otherwise(none))  # the characters are split once
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))  # one pass; matches are empty, so runs overlap
 
 
 def postings(rows: DataFrame) -> DataFrame:
     """(file, gram) of rows read from files, in order of grams. Repeats go within a row, then within a task, before they are shuffled."""
     each = F.array_distinct(F.concat(*(grams(F.col(f)) for f in SEARCH_FIELDS)))
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return rows.select(name.alias("file"), F.explode(each).alias("gram")).distinct().repartitionByRange("gram").sortWithinPartitions("gram", "file")
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.explode(each).alias("gram")).distinct().repartitionByRange("gram").sortWithinPartitions("gram", "file")
 
 
 def needed(spark: SparkSession, queries: list[str]) -> list[str]:
