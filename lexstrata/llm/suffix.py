@@ -8,13 +8,16 @@ equal offsets, and about one suffix in 160 is shuffled.
   1. Initial buckets: anchors by the hash of their GRAM bytes. Buckets of one anchor are done: none of its windows repeats.
   2. Anchors of a bucket with the same context (all bytes that any window through them covers) repeat in all their windows; one of
      them stands for them from here on.
-  3. Refinement: what is left are contexts that differ somewhere (the ends of repeated passages). All their suffixes get a bucket
-     by their first 8 bytes. A bucket of q bytes is split by sorting on pairs of bucket numbers: the suffix's own, and that of
-     the suffix q bytes later. The new numbers stand for 2 q bytes and are used again in the next round, until they stand for
-     LENGTH bytes. A suffix alone in its bucket is done, and ends those that point to it. Numbers are ranks of the bytes
-     themselves, not hashes. Each task refines whole initial buckets side by side.
-  4. Initial buckets of more than SPLIT contexts are refined over the cluster instead, by the same rule with hashed numbers: those
-     of GRAM bytes are combined with the numbers at later offsets up to LENGTH bytes, and grouped.
+  3. Contexts that are left differ somewhere. The windows of a bucket start lo to hi bytes before the anchor, and all of them
+     cover the same middle part. Each half of these windows covers more, so a bucket is split into one for each half, by the
+     bytes that the half covers: the old bucket and what follows (or goes before) it. Equal contexts of a half are collapsed as in 2.
+     A context alone in its bucket is done. This is done to every bucket once, and to those of more than SPLIT contexts
+     again, up to single windows, where all contexts of a bucket are equal. No step has more than two rows for a context.
+  4. Refinement within a bucket: all suffixes of its contexts get a bucket by their first 8 bytes. A bucket of q bytes is split by
+     sorting on pairs of bucket numbers: the suffix's own, and that of the suffix q bytes later. The new numbers stand for
+     2 q bytes and are used again in the next round, until they stand for LENGTH bytes. A suffix alone in its bucket is done,
+     and ends those that point to it. Numbers are ranks of the bytes themselves, not hashes. Each task refines whole buckets
+     of step 3 side by side.
   5. Spans of repeated windows are joined per document and cut out.
 
 Strings never cross documents, are judged on the input, and overlaps count. Hashes are 64-bit, and meet only inside a
@@ -22,12 +25,13 @@ bucket of an equal 64-bit hash.
 
 Defined results: a null or empty text has 0 bytes; texts shorter than LENGTH keep all; of repeated rows each counts, so both
 lose all that is LENGTH bytes or longer; rows without doc_id are rows like others; an empty table gives an empty result; extra
-columns are dropped.
+columns are dropped; a text of 256 MB or more is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +43,44 @@ from .textkit import batches, mix, prefix_hash, sliding_min, span_hash
 
 LENGTH = 400
 GRAM = 80
-#: Largest bucket that one task refines: some 300 MB.
-SPLIT = 8192
+#: Largest bucket that one task refines: some 60 MB.
+SPLIT = 2048
 #: Contexts that are refined at once, unless their bucket is larger.
 ROWS = 512
 #: Bytes of the first bucket numbers of the refinement.
 FIRST = 8
 
-ANCHORS = "key long, doc long, pos long, gram long, context long, low int, high int"
+PART = "bucket long, context long, key long, doc long, pos long, low int, high int, lo int, hi int, edge boolean"
+ANCHORS = f"{PART}, bucket0 long, context0 long, bucket1 long, context1 long"
+HASHED = ["bucket", "context", "bucket0", "context0", "bucket1", "context1"]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def part(c: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, lo: int, hi: int, length: int) -> tuple[np.ndarray, ...]:
+    """Which places p have windows that start lo to hi bytes before them (theirs start low to high bytes before); of these the
+    hashes of what all windows from lo to hi cover and of what their own cover. c: prefix hashes of the text."""
+    ok = np.flatnonzero((low <= hi) & (high >= lo))
+    at, first, last = p[ok], np.minimum(high[ok], hi), np.maximum(low[ok], lo)
+    own = first.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)
+    bucket = mix(span_hash(c, at - lo, at - hi + length) + np.uint64(lo << 32 | hi))
+    context = mix(span_hash(c, at - first, at - last + length) + own * np.uint64(0x9E3779B97F4A7C15))
+    return ok, bucket.view(np.int64), context.view(np.int64)
+
+
+def halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    middle = (lo + hi) // 2
+    return [(lo, middle), (middle + 1, hi)]
+
+
 def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """The anchors of some texts: text, pos, gram and context identifiers; windows start low to high bytes before pos."""
+    """The anchors of some texts: text, pos, bucket and context, and these of both halves (0 where a half has no window);
+    windows start low to high bytes before pos."""
     w = length - gram + 1
     b = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    none = {c: np.zeros(0, np.int64) for c in ("text", "pos", "gram", "context", "low", "high")}
+    none = {c: np.zeros(0, np.int64) for c in ("text", "pos", "low", "high", *HASHED)}
+    if len(b) >= 1 << 28:
+        raise ValueError("a text of 256 MB or more")
     if len(b) <= length:
         return none
     c = prefix_hash(b)
@@ -70,9 +95,20 @@ def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]
     first = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (np.diff(starts) != 1))))
     last = np.append(first[1:], len(starts)) - 1
     p, text = chosen[first], owner[starts[first]]
-    left, right = np.maximum(bounds[text], p - w + 1), np.minimum(bounds[text + 1] - 1, p + length)
-    context = mix(span_hash(c, left, right) + (p - left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (right - p).astype(np.uint64))
-    return {"text": text, "pos": p - bounds[text], "gram": h[p].view(np.int64), "context": context.view(np.int64), "low": p - starts[last], "high": p - starts[first]}
+    out = {"text": text, "pos": p - bounds[text], "low": p - starts[last], "high": p - starts[first]}
+    for name, (lo, hi) in zip(("", "0", "1"), [(0, w - 1), *halves(0, w - 1)], strict=True):
+        ok, bucket, context = part(c, p, out["low"], out["high"], lo, hi, length)
+        for column, value in ((f"bucket{name}", bucket), (f"context{name}", context)):
+            out[column] = np.zeros(len(p), np.int64)
+            out[column][ok] = value
+    return out
+
+
+def _arrays(ddl: str, columns: dict) -> pa.RecordBatch:
+    """A batch with the columns of a schema."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
 
 
 def _anchors(length: int, gram: int):
@@ -81,9 +117,9 @@ def _anchors(length: int, gram: int):
             key, doc = (batch.column(i).to_numpy() for i in (0, 1))
             for lo, raw in batches(batch.column(2).to_pylist()):
                 a = anchors(raw, length, gram)
-                own = a["text"] + lo
-                cols = [pa.array(key[own]), pa.array(doc[own]), *(pa.array(a[c].astype(t)) for c, t in (("pos", np.int64), ("gram", np.int64), ("context", np.int64), ("low", np.int32), ("high", np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "doc", "pos", "gram", "context", "low", "high"])
+                own, n = a["text"] + lo, len(a["pos"])
+                fixed = {"key": key[own], "doc": doc[own], "lo": np.zeros(n, np.int64), "hi": np.full(n, length - gram), "edge": np.ones(n, bool)}
+                yield _arrays(ANCHORS, a | fixed)
 
     return run
 
@@ -94,28 +130,45 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text")
 
 
-def _contexts(length: int, gram: int):
-    w = length - gram + 1
+def _halved(length: int):
+    """A row for each half of the windows of each context."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[tuple] = []
             for key, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for x in at:
-                    p = x["pos"]
-                    left = raw[max(0, p - w + 1) : p]
-                    out.append((x["gram"], key, doc, p, x["low"], x["high"], x["edge"], x["large"], b"\0" * (w - 1 - len(left)) + left + raw[p : p + length].ljust(length, b"\0")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            names = ["gram", "key", "doc", "pos", "low", "high", "edge", "large", "bytes"]
-            for s in range(0, len(out), 2000):
-                cols = zip(*out[s : s + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                c = prefix_hash(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
+                spans = {(x["lo"], x["hi"]) for x in at}
+                for whole in sorted(spans):
+                    own = [x for x in at if (x["lo"], x["hi"]) == whole]
+                    pos, low, high = (np.array([x[k] for x in own], np.int64) for k in ("pos", "low", "high"))
+                    edge = np.array([x["edge"] for x in own])
+                    for lo, hi in halves(*whole):
+                        ok, bucket, context = part(c, pos, low, high, lo, hi, length)
+                        n = len(ok)
+                        yield _arrays(PART, {"bucket": bucket, "context": context, "key": np.full(n, key), "doc": np.full(n, doc), "pos": pos[ok], "low": np.maximum(low[ok], lo), "high": np.minimum(high[ok], hi), "lo": np.full(n, lo), "hi": np.full(n, hi), "edge": edge[ok]})
 
     return run
 
 
-CONTEXTS = "gram long, key long, doc long, pos long, low int, high int, edge boolean, large boolean, bytes binary"
+CONTEXTS = "bucket long, key long, doc long, pos long, low int, high int, hi int, edge boolean, bytes binary"
+
+
+def _contexts(length: int, gram: int):
+    """The bytes of the windows of each context, from hi bytes before the anchor on; what no window covers may be missing."""
+    width = length + (length - gram) // 2
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for key, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                for s in range(0, len(at), 2000):
+                    own = at[s : s + 2000]
+                    first = [x["pos"] - x["hi"] for x in own]
+                    columns = {k: [x[k] for x in own] for k in ("bucket", "pos", "low", "high", "hi", "edge")}
+                    cuts = [(b"\0" * max(0, -f) + raw[max(0, f) : f + width]).ljust(width, b"\0") for f in first]
+                    yield _arrays(CONTEXTS, columns | {"key": [key] * len(own), "doc": [doc] * len(own), "bytes": cuts})
+
+    return run
 
 
 def matrix(raw: list[bytes]) -> np.ndarray:
@@ -162,34 +215,20 @@ def repeats(b: np.ndarray, needed: np.ndarray, starts: np.ndarray, length: int)
     return number.reshape(n, m) >= 0
 
 
-def windows(raw: list[bytes], length: int, gram: int) -> np.ndarray:
-    """Hashed bucket numbers of the windows of some contexts: column d is the window that starts d bytes before the anchor."""
-    b = matrix(raw)
-    n, m = b.shape
-    c = prefix_hash(np.concatenate((b, np.zeros((n, 1), np.uint8)), axis=1).ravel())
-    at = np.arange(n)[:, None] * (m + 1) + np.arange(m - gram + 1)[None, :]
-    ids, q = span_hash(c, at, at + gram), gram
-    while q < length:
-        step = min(q, length - q)
-        ids = mix(ids[:, :-step] * np.uint64(3) + mix(ids[:, step:]))
-        q += step
-    return ids[:, m - length :: -1]
-
-
 def _refine(length: int):
     """Rows sorted by bucket: the spans of the windows of edges that another context of the bucket has too."""
 
     def spans(rows: list[dict]) -> pa.RecordBatch:
         b = matrix([r.pop("bytes") for r in rows])
         n, m = b.shape
-        low, high, anchor = np.array([r["low"] for r in rows])[:, None], np.array([r["high"] for r in rows])[:, None], m - length
+        low, high, anchor = (np.array([r[k] for r in rows])[:, None] for k in ("low", "high", "hi"))
         place = np.arange(m)[None, :]
         starts = (place >= anchor - high) & (place <= anchor - low)
         twice = repeats(b, (place >= anchor - high) & (place < anchor - low + length), starts, length)
         out = []
         for j in np.flatnonzero(twice.any(axis=1)).tolist():
             if rows[j]["edge"]:
-                on = np.flatnonzero(np.diff(np.concatenate(([0], twice[j].view(np.int8), [0])))) - anchor + rows[j]["pos"]
+                on = np.flatnonzero(np.diff(np.concatenate(([0], twice[j].view(np.int8), [0])))) - rows[j]["hi"] + rows[j]["pos"]
                 out += [(rows[j]["key"], rows[j]["doc"], int(s), int(e) - 1 + length) for s, e in zip(on[::2], on[1::2], strict=True)]
         cols = zip(*out, strict=True) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "doc", "start", "stop"])
@@ -200,7 +239,7 @@ def _refine(length: int):
             for s in range(0, batch.num_rows, ROWS):
                 held += batch.slice(s, ROWS).to_pylist()
                 if len(held) >= ROWS:
-                    cut = next((j for j in range(len(held) - 1, 0, -1) if held[j]["gram"] != held[j - 1]["gram"]), 0)
+                    cut = next((j for j in range(len(held) - 1, 0, -1) if held[j]["bucket"] != held[j - 1]["bucket"]), 0)
                     if cut:
                         yield spans(held[:cut])
                         held = held[cut:]
@@ -210,46 +249,59 @@ def _refine(length: int):
     return run
 
 
-def _explode(length: int, gram: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for s in range(0, batch.num_rows, ROWS):
-                own = batch.slice(s, ROWS).to_pylist()
-                ids = windows([r["bytes"] for r in own], length, gram).view(np.int64)
-                for j, r in enumerate(own):
-                    d = np.arange(r["low"], r["high"] + 1)
-                    n = len(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["gram"])), pa.array(d), pa.array(ids[j, d]), pa.array(np.full(n, r["key"])), pa.array(np.full(n, r["doc"])), pa.array(r["pos"] - d), pa.array(np.full(n, r["edge"]))], ["gram", "d", "id", "key", "doc", "start", "edge"])
-
-    return run
+def settled(tmp: shared.Scratch, rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the edges whose context another row of their bucket has; and of buckets with several contexts a row for each of
+    these, an edge if it is still open, with their number m."""
+    more = [c for c in rows.columns if c not in ("bucket", "context")]
+    own = tmp.written(rows.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct(*more)).alias("first")), "contexts")
+    # the small side of each join is a table of its own, so that a bucket of very many contexts can be split
+    equal = tmp.written(own.where("n > 1").select("bucket", "context"), "equal-contexts")
+    spans = rows.where("edge").join(equal, ["bucket", "context"])
+    spans = tmp.written(spans.select("key", "doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop")), "equal-spans")
+    edge = F.col("first.edge") & (F.col("n") == 1)
+    sizes = tmp.written(own.groupBy("bucket").agg(F.count("*").alias("m"), F.max(edge).alias("any")).where("m > 1 AND any").select("bucket", "m"), "sizes")
+    open_ = tmp.written(own.join(sizes, "bucket").select("bucket", "m", edge.alias("edge"), *(f"first.{c}" for c in more if c != "edge")), "open-contexts")
+    tmp.drop(own, equal, sizes)
+    return spans, open_
+
+
+def _with_texts(tmp: shared.Scratch, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, doc, text and `at`, the wanted contexts of each text."""
+    at = wanted.groupBy("key", "doc").agg(F.collect_list(F.struct("bucket", "pos", "low", "high", "lo", "hi", "edge")).alias("at"))  # within one text
+    at = tmp.written(at, "open")
+    again = shared.marked(tmp, rows.select("key", "doc", "text"), "key", at.select(F.col("key").alias("h"))).where("may")
+    return again.dropDuplicates(["key", "doc"]).join(at, ["key", "doc"]).select("key", "doc", "text", "at")
 
 
 def repeated(tmp: shared.Scratch, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """key, doc, start and stop of spans of repeated windows; spans of a document may overlap or touch."""
     rows = _rows(docs)
     found = tmp.written(rows.select("key", "doc", "text").mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
-    # the small side of each join is a table of its own, so that a bucket of very many anchors can be split
-    more = tmp.written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "buckets")
-    first, found = found, tmp.written(found.join(more, "gram"), "repeated-anchors")
+    more = tmp.written(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
+    first, found = found, tmp.written(found.join(more, "bucket"), "repeated-anchors")
     tmp.drop(first, more)
-    own = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "doc", "pos", "low", "high")).alias("first"))
-    own = tmp.written(own, "contexts")
-    equal = tmp.written(own.where("n > 1").select("gram", "context"), "equal-contexts")
-    whole = found.join(equal, ["gram", "context"]).select("key", "doc", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop"))
-
-    sizes = tmp.written(own.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    open_ = tmp.written(own.join(sizes, "gram").select("first.*", "gram", (F.col("n") == 1).alias("edge"), (F.col("m") > split).alias("large")), "open-contexts")
-    at = open_.groupBy("key", "doc").agg(F.collect_list(F.struct("gram", "pos", "low", "high", "edge", "large")).alias("at"))  # within one text
-    at = tmp.written(at, "open")
-    again = shared.marked(tmp, rows.select("key", "doc", "text"), "key", at.select(F.col("key").alias("h"))).where("may")
-    contexts = again.dropDuplicates(["key", "doc"]).join(at, ["key", "doc"]).select("key", "doc", "text", "at").mapInArrow(_contexts(length, gram), CONTEXTS)
-    contexts = tmp.written(contexts, "context-bytes")
+    whole, open_ = settled(tmp, found, length)
+    spans = [whole]
+
+    # the first split is made of hashes that came with the anchors
+    half = lambda k, lo, hi: F.struct(F.col(f"bucket{k}").alias("bucket"), F.col(f"context{k}").alias("context"), "key", "doc", "pos", F.greatest("low", F.lit(lo)).alias("low"), F.least("high", F.lit(hi)).alias("high"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), "edge")
+    both = open_.select(F.explode(F.array(*(half(k, lo, hi) for k, (lo, hi) in enumerate(halves(0, length - gram))))).alias("r")).select("r.*").where("low <= high")
+    small = []
+    while True:
+        parts = tmp.written(both, "halves")
+        whole, open_ = settled(tmp, parts, length)
+        tmp.drop(parts)
+        spans.append(whole)
+        small.append(open_.where(F.col("m") <= split))
+        large = open_.where(F.col("m") > split)
+        if large.isEmpty():
+            break
+        both = _with_texts(tmp, rows, large).mapInArrow(_halved(length), PART)
 
-    small = contexts.where("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine(length), "key long, doc long, start long, stop long")
-    ids = contexts.where("large").mapInArrow(_explode(length, gram), "gram long, d long, id long, key long, doc long, start long, edge boolean")
-    twice = tmp.written(ids.groupBy("gram", "d", "id").agg(F.count("*").alias("n")).where("n > 1").select("gram", "d", "id"), "repeated-windows")
-    large = ids.where("edge").join(twice, ["gram", "d", "id"]).select("key", "doc", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(small).unionByName(large)
+    contexts = _with_texts(tmp, rows, reduce(DataFrame.unionByName, small)).mapInArrow(_contexts(length, gram), CONTEXTS)
+    contexts = tmp.written(contexts, "context-bytes")
+    spans.append(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length), "key long, doc long, start long, stop long"))
+    return reduce(DataFrame.unionByName, spans)
 
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
