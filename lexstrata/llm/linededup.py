@@ -13,7 +13,8 @@
      pairs within one are made. Lengths and parities (of a line's words in 128 cells) drop pairs that can't be similar: an edit
      of one word changes two cells at most.
   5. What is left is verified: an edit distance over words of at most 1 - SIMILARITY of the longer line's words. For it each
-     word becomes one of 20,480 characters by hash, so that the built-in distance runs over words.
+     word becomes one of 20,480 characters by hash, so that the built-in distance runs over words; where two words of
+     a pair that passes have one character, it is taken again with one for each different word of the pair.
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
 
 A line of LEAST_WORDS - 1 words is similar to lines that have one word more, and to no other; it meets these by equality, since
@@ -167,14 +168,26 @@ def symbols(norm: str) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def own_symbols(norm: str, words: Column) -> Column:
+    """One character for each word: its place among the different words of a pair, from the first plane beyond the basic one on."""
+    code = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.array_position(words, w) + 0xFFFF), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+
 def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough, as a written table."""
     nodes = tmp.written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "nodes")
     found = shared.marked(tmp, lines, "node", nodes).where("may")
-    texts = tmp.written(found.select("node", symbols("norm").alias("words")), "line-words")
-    x, y = texts.select(F.col("node").alias("a"), F.col("words").alias("x")), texts.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    most = f"cast(floor(greatest(length(x), length(y)) * {round(1 - SIMILARITY, 6)}) as int)"
-    out = tmp.written(pairs.join(x, "a").join(y, "b").where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b").distinct(), name)
+    texts = tmp.written(found.select("node", "norm", symbols("norm").alias("words")), "line-words")
+    x, y = (texts.select(F.col("node").alias(k), F.col("norm").alias(f"{k}_norm"), F.col("words").alias(f"{k}_words")) for k in "ab")
+    most = f"cast(floor(greatest(length(a_words), length(b_words)) * {round(1 - SIMILARITY, 6)}) as int)"
+    maybe = pairs.join(x, "a").join(y, "b").where(F.expr(f"levenshtein(a_words, b_words, {most}) >= 0"))
+    # hashed words are never further apart than the words; where no two words of a pair have one character, as far
+    words = F.array_distinct(F.concat(F.split("a_norm", " "), F.split("b_norm", " ")))
+    seen = F.size(F.array_distinct(F.split(F.concat("a_words", "b_words"), "")))
+    again = lambda w: F.call_function("levenshtein", own_symbols("a_norm", w), own_symbols("b_norm", w), F.expr(most)) >= 0
+    exact = once(words, lambda w: F.when(F.size(w) == seen, True).otherwise(again(w)))
+    out = tmp.written(maybe.where(exact).select("a", "b").distinct(), name)
     tmp.drop(nodes, texts)
     return out
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import cases
+from pyspark.sql import functions as F
 from lexstrata.llm import linededup, shared
 
 
@@ -163,3 +164,15 @@ def test_lines_of_four_words(spark):
     want = similar_only(rows)
     assert [i for i, text in want if text == ""] == [1, 2, 3, 7, 90, 91]
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_words_of_one_character_are_different(spark):
+    """Three of ten words differ, two of which have the same character: too far apart, whatever the hash says."""
+    words = spark.range(3000).select(F.concat(F.lit("w"), "id").alias("w"))
+    x, y = words.groupBy(linededup.symbols("w").alias("c")).agg(F.sort_array(F.collect_list("w")).alias("all")).where(F.size("all") > 1).orderBy("c").first()["all"][:2]
+    same = "one two three four five six seven"
+    rows = [(1, f"{same} {x} red blue"), (2, f"{same} {y} green grey"), (3, f"{same} {x} green blue")]
+    kept = lambda rows: {r.doc_id: r.text for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept(rows[:2]) == dict(rows[:2])
+    assert kept(rows[::2]) == {1: rows[0][1], 3: ""}
+    assert kept(rows) == {1: rows[0][1], 2: "", 3: ""}  # by way of the third
