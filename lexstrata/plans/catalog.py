@@ -233,6 +233,14 @@ class Dataset:
     def sponsors(self) -> DataFrame:
         return notes.upserted(self.table("sponsors"), ["bill_id"], "seq").drop("seq")
 
+    def member(self, bioguide_id: str) -> DataFrame:
+        """The member of an id, as added last; the id is a filter of the scan."""
+        return notes.upserted(self.table("members").where(F.col("bioguide_id") == bioguide_id), ["bioguide_id"], "seq").drop("seq")
+
+    def sponsor(self, bill_id: str) -> DataFrame:
+        """Sponsor and cosponsors of a bill, as added last."""
+        return notes.upserted(self.table("sponsors").where(F.col("bill_id") == bill_id), ["bill_id"], "seq").drop("seq")
+
     # annotations
     def annotate(self, from_date: str, to_date: str, operation: str, bill_id: str, amendment_id: str, paths: list[str], annotator: str, causative_text: str = "", confidence: float | None = None, notes_: str | None = None, reasoning: str | None = None) -> int:
         """A pending annotation, made now; its id."""

@@ -2,6 +2,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
+from lexstrata import schema
 from lexstrata.operators import diff
 from lexstrata.plans import commits
 from lexstrata.plans.catalog import Dataset
@@ -169,3 +170,12 @@ def test_a_search_reads_the_files_that_can_hold_a_hit(spark, tmp_path):
     quick.indexed = False
     quick.add_version("2025-08-01", plain.elements("2025-07-18"))  # without an index it is read whole
     assert quick.search_text("needle").count() == 2
+
+
+def test_a_member_and_a_sponsor_by_key(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "d"))
+    for state in ("OH", "NY"):
+        d.add_members(spark.createDataFrame([("A1", "A", "A", "A", "D", state, 1, "House", None), (f"B-{state}", "B", "B", "B", "R", state, 2, "House", None)], schema.MEMBERS))
+        d.add_sponsors(spark.createDataFrame([("119-1-hr", f"A-{state}", []), (f"119-2-{state}", "B", [])], schema.SPONSORS))
+    assert [(r.bioguide_id, r.state) for r in d.member("A1").collect()] == [("A1", "NY")] and d.member("C").isEmpty()
+    assert [(r.bill_id, r.sponsor) for r in d.sponsor("119-1-hr").collect()] == [("119-1-hr", "A-NY")] and d.sponsor("119-3-hr").isEmpty()
