@@ -9,9 +9,10 @@
      occur once come first and enter no list, since no line shares them; the others follow by their counts in BUCKETS hash
      buckets, then by hash. SimHash blocks, the method first thought of, find few of the lines that are this similar.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
-     are not in the pivot's component are held against the list's lines in other components. So components are whole, and no
-     pairs within one are made. Lengths and parities (of a line's words in 128 cells) drop pairs that can't be similar: an edit
-     of one word changes two cells at most.
+     are not in the component of their nearest pivot are held against their other pivots, and those that are in none's against
+     the list's lines in other components. So components are whole, and no pairs within one are made. Lengths and parities (of
+     a line's words in 128 cells; in 512 for pairs without a pivot) drop pairs that can't be similar: an edit of one word
+     changes two cells at most, and one cell for each word that the longer line has more.
   5. What is left is verified: an edit distance over words of at most 1 - SIMILARITY of the longer line's words. For it each
      word becomes one of 20,480 characters by hash, so that the built-in distance runs over words; where two words of
      a pair that passes have one character, it is taken again with one for each different word of the pair.
@@ -27,6 +28,8 @@ empty result. All columns, whatever their names, stay as they are but for the te
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ CELLS = 1 << 20
 BUCKETS = 1 << 18
 #: Labels of lines that are broadcast at most (16 MB); more are joined without.
 SMALL = 1 << 20
+#: Parts of 64 cells in the sketches of lines that are held against more than pivots: lines with a long passage in common are told apart.
+WIDE = 8
 
 
 def normalised(low: Column) -> Column:
@@ -74,12 +79,12 @@ def numbered(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     return lines.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(1), "norm").alias("second"))
 
 
-def sketched(lines: DataFrame) -> DataFrame:
-    """node, n (words) and the parities even0, even1 of distinct lines."""
+def sketched(lines: DataFrame, parts: int = 2) -> DataFrame:
+    """node, n (words) and the parities even0, even1, ... of distinct lines, each of the words in 64 cells of 64 * parts."""
     words = lines.select("node", F.explode_outer(F.split("norm", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
     cell = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    half = F.col("h").bitwiseAND(F.lit(64)) == 0
-    even = [F.coalesce(F.bit_xor(F.when(half if k == 0 else ~half, cell)), F.lit(0)).alias(f"even{k}") for k in (0, 1)]
+    part = _bits(F.col("h"), 6, parts)
+    even = [F.coalesce(F.bit_xor(F.when(part == k, cell)), F.lit(0)).alias(f"even{k}") for k in range(parts)]
     return words.groupBy("node").agg(F.count("*").alias("n"), *even)
 
 
@@ -151,15 +156,15 @@ def prefix(words: Column, marks: Column, ranks: Column) -> Column:
 SKETCH = ["n", "even0", "even1"]
 
 
-def _apart() -> Column:
+def _apart(parts: int = 2) -> Column:
     """Cells in which the parities of a pair (l, r) differ."""
-    return F.bit_count(F.col("l.even0").bitwiseXOR(F.col("r.even0"))) + F.bit_count(F.col("l.even1").bitwiseXOR(F.col("r.even1")))
+    return reduce(Column.__add__, (F.bit_count(F.col(f"l.even{k}").bitwiseXOR(F.col(f"r.even{k}"))) for k in range(parts)))
 
 
-def _near() -> Column:
+def _near(parts: int = 2) -> Column:
     """What a pair (l, r) must satisfy to be similar."""
-    most = most_edits(F.greatest("l.n", "r.n"))
-    return (F.greatest("l.n", "r.n") - F.least("l.n", "r.n") <= most) & (_apart() <= 2 * most)
+    most, more = most_edits(F.greatest("l.n", "r.n")), F.greatest("l.n", "r.n") - F.least("l.n", "r.n")
+    return (more <= most) & (_apart(parts) <= 2 * most - more)  # words that one line has more are edits of one cell
 
 
 def symbols(norm: str) -> Column:
@@ -226,6 +231,19 @@ def one_word_apart(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     return found.select("a", F.col("h").alias("b"))
 
 
+def labels(tmp: shared.Scratch, linked: DataFrame) -> DataFrame:
+    """(node, label) of what links connect, to be joined."""
+    label = components(tmp, linked, "line-edges")
+    return F.broadcast(label) if label.count() <= SMALL else label
+
+
+def _apart_by(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """(a, b): pairs of similar lines (node, norm) that connect all that are connected, as a written table."""
     lists = lists_of(tmp, lines)
@@ -236,22 +254,24 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     near = tmp.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
     stars = tmp.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
     linked = verified(tmp, stars, lines, "line-links")
-    label = components(tmp, linked, "line-edges")
-    if label.count() <= SMALL:
-        label = F.broadcast(label)
+    label = labels(tmp, linked)
+    # the other pivots of a line, where the nearest one has not led to them; a list of two has no other pair
+    others = _apart_by(near.join(stars, ["a", "b"], "left_anti").select("a", "b").distinct(), label)
+    linked = tmp.written(linked.unionByName(verified(tmp, tmp.written(others, "other-pivots"), lines, "other-line-links")), "pivot-links")
+    label = labels(tmp, linked)
 
-    # a list of two has no pair but the one with its pivot
     own = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
-    named = paired.where("size > 2").select("block", "l.*", F.col("r.node").alias("center"))
-    named = named.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("center"), F.col("center") == F.col("_center"), "left")
-    named = named.select("block", "node", *SKETCH, F.coalesce("node_label", "node").alias("label"), F.coalesce("center_label", "center").alias("center"))
-    left = named.where("label != center").alias("l")
-    rest = left.join(named.alias("r"), "block").where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near())
-    rest = rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    pairs = near.where("size = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = tmp.written(rest.unionByName(pairs).distinct(), "rest")
+    named = paired.where("size > 2").select("block", F.col("l.node").alias("node"), F.col("r.node").alias("pivot"))
+    named = named.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+    named = named.select("block", "node", "pivot", F.coalesce("node_label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("center"))
+    open_lists = named.where("label != center").select("block").distinct()
+    named = tmp.written(named.where("node != pivot").join(open_lists, "block", "left_semi"), "open-lists")
+    nodes = tmp.written(named.select(F.col("node").alias("h")).distinct(), "open-nodes")
+    wide = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm"), WIDE), "wide-sketches")
+    named = named.join(wide, "node")
+    rest = named.where("label != center").alias("l").join(named.alias("r"), "block")
+    rest = rest.where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near(WIDE))
+    rest = tmp.written(rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "rest")
     tmp.drop(paired, near)
     return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")).unionByName(one_word_apart(tmp, lines)), "all-line-links")
 

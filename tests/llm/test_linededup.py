@@ -176,3 +176,35 @@ def test_words_of_one_character_are_different(spark):
     assert kept(rows[:2]) == dict(rows[:2])
     assert kept(rows[::2]) == {1: rows[0][1], 3: ""}
     assert kept(rows) == {1: rows[0][1], 2: "", 3: ""}  # by way of the third
+
+
+def test_lines_around_one_passage(spark):
+    """Most lines hold the same passage and are not similar; some are, and not by their nearest pivot alone."""
+    rng = random.Random(8)
+    words = [f"v{i}{chr(97 + i % 26)}" for i in range(400)]
+    passage = rng.choices(words, k=30)
+    lines = [rng.choices(words, k=rng.randint(8, 24)) + passage for _ in range(40)]
+    lines += [[rng.choice(words) if rng.random() < 0.1 else w for w in x] + rng.choices(words, k=rng.randint(0, 3)) for x in lines[:20]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == naive(rows) and 0 < sum(not text for _, text in got) <= 20
+
+
+def test_sketches_never_drop_similar_lines(spark):
+    """Edits and further words change as many cells of a sketch as the bound allows, at most."""
+    rng = random.Random(9)
+    words = [f"u{i}" for i in range(60)]
+    pairs = []
+    for _ in range(300):
+        x = rng.choices(words, k=rng.randint(5, 60))
+        y = list(x)
+        for _ in range(rng.randint(1, len(x) // 5)):
+            at, kind = rng.randrange(len(y)), rng.randrange(3)
+            y[at : at + (kind > 0)] = [rng.choice(words)] if kind < 2 else []
+        if distance(x, y) <= int(max(len(x), len(y)) * 0.2):
+            pairs.append((2 * len(pairs), " ".join(x), " ".join(y)))
+    lines = spark.createDataFrame([row for i, x, y in pairs for row in ((i, x), (i + 1, y))], "node long, norm string")
+    for parts in (2, linededup.WIDE):
+        rows = linededup.sketched(lines, parts)
+        near = rows.alias("l").join(rows.alias("r"), F.col("r.node") == F.col("l.node") + 1).where(F.col("l.node") % 2 == 0).where(linededup._near(parts))
+        assert near.count() == len(pairs) > 200
