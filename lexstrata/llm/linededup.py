@@ -1,13 +1,15 @@
-"""Operator 2: fuzzy line dedup, DataFrame functions only.
+"""Operator 2: fuzzy line dedup, DataFrame functions; runs of words are counted by numpy in tasks.
 
   1. Texts are cut into lines at newlines; a line is normalised (lower case, white space runs as one space, trimmed). Lines
      without a character left are no lines here: they are never removed.
   2. Equal normalised lines are one node, named by a 64-bit hash. A line whose second hash is not its node's is left alone.
-  3. Lines meet on rare word pairs: of the pairs of neighbouring words, brought into one fixed order with rare ones first, each
+  3. Lines meet on rare word triples: of the runs of three words, brought into one fixed order with rare ones first, each
      line enters the lists of as many as edits can destroy, and one more (see `prefix`). Two lines that are similar enough share one
-     of these whatever the order is. The order only keeps lists short: all pairs of all distinct lines are counted; pairs that
+     of these whatever the order is. The order only keeps lists short: all triples of all distinct lines are counted; triples that
      occur once come first and enter no list, since no line shares them; the others follow by their counts in BUCKETS hash
-     buckets, then by hash. SimHash blocks, the method first thought of, find few of the lines that are this similar.
+     buckets, then by hash. Pairs of words repeat by chance, and the more so the more lines there are; triples seldom do, so a
+     line that has no similar one is in no list. SimHash blocks, the method first thought of, find few of the lines that are this
+     similar. Counting packs the sorted triples of a task by hash range, some three bytes each, before they are shuffled.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
      are not in the component of their nearest pivot are held against their other pivots, and those that are in none's against
      the list's lines in other components. So components are whole, and no pairs within one are made. Lengths and parities (of
@@ -19,7 +21,8 @@
   6. Of each connected group the occurrence that comes first (doc_id, then line) stays; all others are removed.
 
 A line of LEAST_WORDS - 1 words is similar to lines that have one word more, and to no other; it meets these by equality, since
-each line of LEAST_WORDS words names what is left of it without each of its words. Shorter lines allow no edit and are held equal.
+each line of LEAST_WORDS words names what is left of it without each of its words. By the same names lines of LEAST_WORDS words
+that differ in one word meet, whose triples that word may destroy. Shorter lines allow no edit and are held equal.
 
 Defined results: a null text stays null, an empty one stays as it is; a text may lose all its lines and is then empty. Repeated
 rows count as one document, each row gets the same result. Rows without doc_id come first in order. An empty table gives an
@@ -28,8 +31,11 @@ empty result. All columns, whatever their names, stay as they are but for the te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +44,15 @@ from .graph import components
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Cells of 64 bits that mark repeated word pairs, and counters of these: fixed numbers. Full ones only make lists longer.
-CELLS = 1 << 20
+#: Words of a run, bits of its hash, and ranges of hashes (a power of two) that runs are counted in.
+RUN, HASH_BITS, RANGE_BITS = 3, 40, 10
+#: Runs that a task sorts and packs at once.
+CHUNK = 2_000_000
+#: Cells of 64 bits that mark repeated runs (32 MB at most), and counters of these. Full ones only make lists longer.
+MOST_CELLS = 1 << 22
 BUCKETS = 1 << 18
-#: Labels of lines that are broadcast at most (16 MB); more are joined without.
-SMALL = 1 << 20
+#: Labels of lines that are broadcast at most (2 MB); more are joined without.
+SMALL = 1 << 17
 #: Parts of 64 cells in the sketches of lines that are held against more than pivots: lines with a long passage in common are told apart.
 WIDE = 8
 
@@ -98,16 +108,62 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def word_pairs(words: Column) -> Column:
-    """A hash for each pair of neighbouring words."""
-    rest = F.size(words) - 1
-    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
-
-
-def repeated_pairs(lines: DataFrame) -> DataFrame:
-    """h and n of the word pairs that occur more than once in all lines."""
-    pairs = lines.select(F.explode_outer(once(F.split("norm", " "), word_pairs)).alias("h"))  # (outer: else they are computed twice)
-    return pairs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+def word_runs(words: Column) -> Column:
+    """A hash for each run of RUN neighbouring words."""
+    beside = lambda codes: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: F.xxhash64(x, y))
+    runs = reduce(lambda codes, _: once(codes, beside), range(RUN - 1), words)  # hashes of two that overlap
+    return F.when(F.size(words) >= RUN, F.transform(runs, lambda h: h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))).otherwise(F.array().cast("array<long>"))
+
+
+def _packed(h: np.ndarray) -> pa.RecordBatch:
+    """The different hashes of a chunk by range: `low` has the differences of the rest of each and a bit for repetition, in planes of bytes."""
+    low_bits = HASH_BITS - RANGE_BITS
+    h, n = np.unique(h, return_counts=True)
+    ranges, first = np.unique(h >> low_bits, return_index=True)
+    low = (((h & ((1 << low_bits) - 1)) << 1) | (n > 1)).astype("<u4")
+    planes, often = [], []
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
+        planes.append(np.diff(low[s:e], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+        own = n[s:e]
+        often.append(own[own > 1].astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(planes, pa.binary()), pa.array(often, pa.binary())], ["range", "low", "often"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        own = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        held.append(own)
+        size += len(own)
+        if size >= CHUNK:
+            yield _packed(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield _packed(np.concatenate(held))
+
+
+def _repeated(rows: pa.Table) -> pa.Table:
+    """Hashes of one range that occur more than once, and how often."""
+    values, counts = [], []
+    for low, often in zip(rows.column("low").to_pylist(), rows.column("often").to_pylist(), strict=True):
+        own = np.frombuffer(low, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().cumsum(dtype=np.int64)
+        n = np.ones(len(own), np.int64)
+        n[own & 1 == 1] = np.frombuffer(often, "<u4")
+        values.append(own >> 1)
+        counts.append(n)
+    value = np.concatenate(values)
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    n = np.add.reduceat(np.concatenate(counts)[order], first)
+    at = np.int64(rows.column("range")[0].as_py()) << (HASH_BITS - RANGE_BITS)
+    return pa.table({"h": pa.array(at | value[first][n > 1], pa.int64()), "n": pa.array(n[n > 1], pa.int64())})
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """h and n of the runs of words that occur more than once in all lines."""
+    runs = lines.select(once(F.split("norm", " "), word_runs).alias("runs"))
+    return runs.mapInArrow(_pack, "range int, low binary, often binary").groupBy("range").applyInArrow(_repeated, "h long, n long")
 
 
 def _bits(h: Column, at: int, size: int) -> Column:
@@ -121,35 +177,42 @@ def _dense(rows: DataFrame, size: int) -> DataFrame:
     return whole.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("e"), F.avg("v").alias("mean")).select(F.transform("e", lambda x: x["v"]).alias("every"), "mean")
 
 
-def pair_marks(repeated: DataFrame) -> DataFrame:
-    """One row: a bitmap of the repeated pairs."""
+def run_marks(repeated: DataFrame, cells: int) -> DataFrame:
+    """One row: a bitmap of the repeated runs."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.col("h"), 0, 64).cast("int"))
-    return _dense(repeated.groupBy(_bits(F.col("h"), 6, CELLS).alias("id")).agg(F.bit_or(bit).alias("v")), CELLS).select("every")
+    return _dense(repeated.groupBy(_bits(F.col("h"), 6, cells).alias("id")).agg(F.bit_or(bit).alias("v")), cells).select("every")
 
 
-def pair_ranks(repeated: DataFrame) -> DataFrame:
-    """One row: for each bucket of repeated pairs a number from 1 to 127 that grows with its count, relative to the mean."""
-    counts = repeated.groupBy(_bits(F.col("h"), 32, BUCKETS).alias("id")).agg(F.sum("n").alias("v"))
+def run_ranks(repeated: DataFrame) -> DataFrame:
+    """One row: for each bucket of repeated runs a number from 1 to 127 that grows with its count, relative to the mean."""
+    counts = repeated.groupBy(_bits(F.col("h"), 22, BUCKETS).alias("id")).agg(F.sum("n").alias("v"))
     rank = lambda n: F.least(F.lit(127), 1 + F.floor(16 * F.log2(n / F.greatest("mean", F.lit(1e-9)) + 1))).cast("int")
     return _dense(counts, BUCKETS).select(F.transform("every", rank).alias("every"))
 
 
-def prefix(words: Column, marks: Column, ranks: Column) -> Column:
-    """The first word pairs of a line, in the order of their ranks, then of their hashes, without those that occur once.
+def destroyed(n: Column) -> Column:
+    """How many runs of a line of n words the edits to a similar line can destroy.
 
     Of two lines of n and n + k words that are similar, k of at most e = most_edits(n + k) edits insert words into the shorter one.
-    An insertion destroys one of its pairs, another edit two: together 2 e - k, the most of which over all k is at k = 0 or
-    k = 1. Of the longer one 2 e are destroyed at most. The first shared pair comes after destroyed ones only.
+    An insertion destroys RUN - 1 of its runs, another edit RUN: together RUN * e - k, the most of which over all k is at some k
+    below RUN, since e grows once in five. Of the longer line RUN * e are destroyed at most.
+    """
+    return F.greatest(*(RUN * most_edits(n + k) - k for k in range(RUN)))
+
+
+def prefix(words: Column, marks: Column, ranks: Column, cells: int) -> Column:
+    """The first runs of a line, in the order of their ranks, then of their hashes, without those that occur once.
+
+    From LEAST_WORDS + 1 words on, similar lines have a run that edits leave; so have those of LEAST_WORDS words and of one word more.
+    The first shared run comes after destroyed ones only.
     """
 
     def place(h: Column) -> Column:
-        repeated = F.call_function("shiftrightunsigned", F.get(marks, _bits(h, 6, CELLS).cast("int")), _bits(h, 0, 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return F.when(repeated, F.shiftleft(F.get(ranks, _bits(h, 32, BUCKETS).cast("int")).cast("long"), 56)).otherwise(F.lit(0))
+        repeated = F.call_function("shiftrightunsigned", F.get(marks, _bits(h, 6, cells).cast("int")), _bits(h, 0, 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.when(repeated, F.shiftleft(F.get(ranks, _bits(h, 22, BUCKETS).cast("int")).cast("long"), 56)).otherwise(F.lit(0))
 
-    pairs = F.transform(word_pairs(words), lambda h: place(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    n = F.size(words)
-    destroyed = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1)
-    first = F.slice(F.sort_array(pairs), F.lit(1), (destroyed + 1).cast("int"))
+    runs = F.transform(word_runs(words), lambda h: place(h).bitwiseOR(h))
+    first = F.slice(F.sort_array(runs), F.lit(1), (destroyed(F.size(words)) + 1).cast("int"))
     return F.array_distinct(F.filter(first, lambda x: x >= F.lit(1 << 56)))
 
 
@@ -198,14 +261,15 @@ def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str)
 
 
 def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
-    """block, node, size and sketch: the lists of word pairs that two lines or more have in their prefixes, as a written table."""
+    """block, node, size and sketch: the lists of runs of words that two lines or more have in their prefixes, as a written table."""
     long = lines.where(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= LEAST_WORDS - 1)
-    repeated = tmp.written(repeated_pairs(long), "repeated-pairs")
-    marks, ranks = tmp.written(pair_marks(repeated), "pair-marks"), tmp.written(pair_ranks(repeated), "pair-ranks")
+    repeated = tmp.written(repeated_runs(long), "repeated-runs")
+    cells = min(MOST_CELLS, 1 << max(6, (repeated.count() // 8).bit_length()))  # 8 to 16 bits for each
+    marks, ranks = tmp.written(run_marks(repeated, cells), "run-marks"), tmp.written(run_ranks(repeated), "run-ranks")
     tmp.drop(repeated)
-    # marks and ranks are one value for all rows: the optimizer puts them where they are used, no row carries them
+    # marks and ranks are one value for all rows: named once each, the optimizer puts them where they are used, and no row carries them
     keyed = long.withColumn("marks", marks.scalar()).withColumn("ranks", ranks.scalar())
-    keyed = keyed.select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("marks"), F.col("ranks"))).alias("blocks"))
+    keyed = keyed.select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("marks"), F.col("ranks"), cells)).alias("blocks"))
     keyed = keyed.select("node", F.explode_outer("blocks").alias("block")).where("block IS NOT NULL").repartition("block")
     # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
     common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
@@ -222,13 +286,21 @@ def _without(words: Column, k: int) -> Column:
 
 
 def one_word_apart(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
-    """(a, b): lines a of LEAST_WORDS words that are b with one word more. A row for each word of the lines a, before the join."""
+    """(a, b): lines a of LEAST_WORDS words that are b with one word more, and those that differ from b in one word.
+
+    A row for each word of the lines a, before the joins. Lines that are equal without their k-th word are all similar: each
+    is linked with the smallest of them.
+    """
     words, size = F.split("norm", " "), F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     short = lines.where(size == LEAST_WORDS - 1).select(F.col("node").alias("h"), "norm")
     less = F.array(*(F.array_join(_without(words, k), " ") for k in range(LEAST_WORDS)))
-    whole = lines.where(size == LEAST_WORDS).select(F.col("node").alias("a"), F.explode(F.array_distinct(less)).alias("less")).withColumn("h", F.xxhash64("less"))
+    own = lines.where(size == LEAST_WORDS)
+    whole = own.select(F.col("node").alias("a"), F.explode(F.array_distinct(less)).alias("less")).withColumn("h", F.xxhash64("less"))
     found = shared.marked(tmp, whole, "h", short.select("h")).where("may").join(short, "h").where("less = norm")
-    return found.select("a", F.col("h").alias("b"))
+    named = own.select(F.col("node").alias("a"), F.posexplode(less).alias("k", "less"))
+    first = named.groupBy("k", "less").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = named.join(first, ["k", "less"]).where("a != b").select("a", "b").distinct()
+    return found.select("a", F.col("h").alias("b")).unionByName(other)
 
 
 def labels(tmp: shared.Scratch, linked: DataFrame) -> DataFrame:

@@ -208,3 +208,27 @@ def test_sketches_never_drop_similar_lines(spark):
         rows = linededup.sketched(lines, parts)
         near = rows.alias("l").join(rows.alias("r"), F.col("r.node") == F.col("l.node") + 1).where(F.col("l.node") % 2 == 0).where(linededup._near(parts))
         assert near.count() == len(pairs) > 200
+
+
+def test_lines_whose_word_pairs_repeat_by_chance_enter_no_list(spark):
+    """All their pairs of words are common, but lines that are not similar share few triples; the counts are those of brute force."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    lines = [rng.choices(words, k=20) for _ in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "node long, norm string")
+    pairs = Counter(p for x in lines for p in zip(x, x[1:]))
+    assert sum(n == 1 for n in pairs.values()) < len(pairs) / 15
+    with shared.scratch(spark) as tmp:
+        assert linededup.lists_of(tmp, rows).count() < 40
+    triples = Counter(p for x in lines for p in zip(x, x[1:], x[2:]))
+    assert sorted(r.n for r in linededup.repeated_runs(rows).collect()) == sorted(n for n in triples.values() if n > 1)
+
+
+def test_lines_of_five_words_with_another_word_anywhere(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(500)]
+    lines = [rng.choices(words, k=5) for _ in range(30)]
+    lines += [[*x[: i % 5], rng.choice(words), *x[i % 5 + 1 :]] for i, x in enumerate(lines[:20])] + [x[:4] for x in lines[20:23]] + [[*x, "more"] for x in lines[15:28]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == similar_only(rows) and sum(not text for _, text in got) == 36
