@@ -53,11 +53,24 @@ def count_by_path(annotations: DataFrame) -> DataFrame:
 def sponsors_for_path(annotations: DataFrame, sponsors: DataFrame, members: DataFrame, path: str | None = None) -> DataFrame:
     """(path, member columns): sponsor and cosponsors of each bill that an annotation of the path names, once per annotation.
     Unknown members are dropped. Without a path, all of them."""
-    rows = exploded(annotations).select("path", "bill_id")
-    rows = rows if path is None else rows.where(F.col("path") == path)
+    if path is None:
+        return with_sponsors(annotations, sponsors, members).select("path", F.explode("people").alias("p")).select("path", "p.*")
+    rows = exploded(annotations).select("path", "bill_id").where(F.col("path") == path)
+    return rows.join(_people(sponsors), "bill_id").join(members, "bioguide_id").select("path", *members.columns)
+
+
+def _people(sponsors: DataFrame) -> DataFrame:
     who = F.explode(F.concat(F.array("sponsor"), F.transform("cosponsors", lambda c: c["bioguide_id"])))
-    people = sponsors.select("bill_id", who.alias("bioguide_id"))
-    return rows.join(people, "bill_id").join(members, "bioguide_id").select("path", *members.columns)
+    return sponsors.select("bill_id", who.alias("bioguide_id"))
+
+
+def with_sponsors(annotations: DataFrame, sponsors: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, people): a row for each path of an annotation, with the known members of its bill as an array, if there are any.
+
+    Members are looked up once for each bill, not once for each annotation, and stay together in what is shuffled.
+    """
+    known = _people(sponsors).join(members, "bioguide_id").groupBy("bill_id").agg(F.collect_list(F.struct(*members.columns)).alias("people"))
+    return exploded(annotations).select("path", "bill_id").join(known, "bill_id").select("path", "people")
 
 
 def with_updates(annotations: DataFrame, updates: DataFrame) -> DataFrame:
