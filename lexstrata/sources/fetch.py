@@ -5,7 +5,7 @@
     spark.read.format("congress_bills").option("ids", "119-hr-1,119-hr-2").option("base", ...).option("key", ...).load()
     spark.read.format("congress_members").option("ids", "A000001").option("transport", "my_module:factory").load()
 
-A table of ids is dealt over tasks by hash; a data source plans one partition for every `perTask` ids. A task makes its own
+A table of ids is dealt by hash over as many tasks as the session shuffles to (or `partitions`); a data source plans one partition for every `perTask` ids. A task makes its own
 transport by the factory, so nothing that is open travels. Rate limits and broken connections are tried again with growing pauses.
 With PERMISSIVE an id that can't be had is a row with `error` (code and message); else it ends the job.
 """
@@ -35,6 +35,8 @@ MEMBERS = f"bioguide_id string, json string, error {schema.ERROR}"
 RETRIES = 3
 PAUSE = 1.0
 PER_TASK = 16
+#: A batch of answers ends with so many characters.
+BATCH_CHARS = 1 << 20
 AGAIN = ("rate_limited", "http")
 
 
@@ -121,16 +123,20 @@ def _in_tasks(ids: DataFrame, kind: str, key: str, ddl: str, factory: Callable[[
         fetch = patient(CongressClient(factory(), ResponseCache(cache) if cache else None), retries, pause)
         for batch in batches:
             held: list[dict] = []
+            size = 0
             for row in rows_of(kind, batch.column(0).to_pylist(), fetch, permissive):
                 held.append({n: row.get(n) for n in into.names})
-                if len(held) == PER_TASK:  # answers may be large
+                size += sum(len(x) for x in row.values() if isinstance(x, str))
+                if size >= BATCH_CHARS:  # answers may be large
                     yield pa.RecordBatch.from_pylist(held, into)
-                    held = []
+                    held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_pylist(held, into)
 
-    rows = ids.select(F.col(key).cast("string").alias(key)).distinct()
-    return (rows.repartition(partitions, key) if partitions else rows).mapInArrow(run, ddl)
+    # a number is given, as ids are small and answers are not: by the bytes of the ids, one task would fetch all. It
+    # stands before `distinct`, which else brings an exchange of its own that makes this one superfluous
+    n = partitions or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.select(F.col(key).cast("string").alias(key)).repartition(n, key).distinct().mapInArrow(run, ddl)
 
 
 def bills(ids: DataFrame, factory: Callable[[], Transport], mode: str = "FAILFAST", partitions: int | None = None, retries: int = RETRIES, pause: float = PAUSE, cache: str | None = None) -> DataFrame:

@@ -76,3 +76,15 @@ def test_odd_json(text, want):
     assert fetch.markup_url(text) == want
     with pytest.raises(congress.CongressError):
         fetch.markup_url("{")
+
+
+def test_ids_of_few_bytes_are_dealt_over_all_tasks(spark):
+    """Adaptive execution would join partitions by the bytes of the ids; answers are fetched in all of them."""
+    from pyspark.sql import functions as F
+
+    from lexstrata.queries import _answers
+
+    ids = spark.range(1, 401).select(F.format_string("119-hr-%d", "id").alias("bill_id"))
+    got = fetch.bills(ids.unionByName(ids), _answers, "PERMISSIVE").select("bill_id", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == len({r.bill_id for r in got}) == 400
+    assert len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
