@@ -1,4 +1,4 @@
-"""Operator 2: fuzzy line dedup, DataFrame functions; runs of words are counted by numpy in tasks.
+"""Operator 2: fuzzy line dedup, DataFrame functions only.
 
   1. Texts are cut into lines at newlines; a line is normalised (lower case, white space runs as one space, trimmed). Lines
      without a character left are no lines here: they are never removed.
@@ -9,7 +9,7 @@
      occur once come first and enter no list, since no line shares them; the others follow by their counts in BUCKETS hash
      buckets, then by hash. Pairs of words repeat by chance, and the more so the more lines there are; triples seldom do, so a
      line that has no similar one is in no list. SimHash blocks, the method first thought of, find few of the lines that are this
-     similar. Counting packs the sorted triples of a task by hash range, some three bytes each, before they are shuffled.
+     similar. Counting shuffles a hash of 40 bits for each triple.
   4. Star step: in each list the smallest node is the pivot, and every line is held against its nearest pivot. Rest: lines that
      are not in the component of their nearest pivot are held against their other pivots, and those that are in none's against
      the list's lines in other components. So components are whole, and no pairs within one are made. Lengths and parities (of
@@ -31,11 +31,8 @@ empty result. All columns, whatever their names, stay as they are but for the te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +41,8 @@ from .graph import components
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Words of a run, bits of its hash, and ranges of hashes (a power of two) that runs are counted in.
-RUN, HASH_BITS, RANGE_BITS = 3, 40, 10
-#: Runs that a task sorts and packs at once.
-CHUNK = 2_000_000
+#: Words of a run, and bits of its hash.
+RUN, HASH_BITS = 3, 40
 #: Cells of 64 bits that mark repeated runs (32 MB at most), and counters of these. Full ones only make lists longer.
 MOST_CELLS = 1 << 22
 BUCKETS = 1 << 18
@@ -63,6 +58,11 @@ def normalised(low: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(low, "[\\s\u00a0]+", " "))).otherwise(low)
 
 
+def blanks(norm: Column) -> Column:
+    """Spaces of a normalised line: one less than its words."""
+    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """Struct r, and a key of the document: its id and a hash of its id and text."""
     rows = shared.packed(docs)
@@ -110,60 +110,20 @@ def once(value: Column, use) -> Column:
 
 def word_runs(words: Column) -> Column:
     """A hash for each run of RUN neighbouring words."""
-    beside = lambda codes: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: F.xxhash64(x, y))
-    runs = reduce(lambda codes, _: once(codes, beside), range(RUN - 1), words)  # hashes of two that overlap
-    return F.when(F.size(words) >= RUN, F.transform(runs, lambda h: h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))).otherwise(F.array().cast("array<long>"))
-
-
-def _packed(h: np.ndarray) -> pa.RecordBatch:
-    """The different hashes of a chunk by range: `low` has the differences of the rest of each and a bit for repetition, in planes of bytes."""
-    low_bits = HASH_BITS - RANGE_BITS
-    h, n = np.unique(h, return_counts=True)
-    ranges, first = np.unique(h >> low_bits, return_index=True)
-    low = (((h & ((1 << low_bits) - 1)) << 1) | (n > 1)).astype("<u4")
-    planes, often = [], []
-    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
-        planes.append(np.diff(low[s:e], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
-        own = n[s:e]
-        often.append(own[own > 1].astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(planes, pa.binary()), pa.array(often, pa.binary())], ["range", "low", "often"])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for batch in batches:
-        own = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        held.append(own)
-        size += len(own)
-        if size >= CHUNK:
-            yield _packed(np.concatenate(held))
-            held, size = [], 0
-    if size:
-        yield _packed(np.concatenate(held))
-
-
-def _repeated(rows: pa.Table) -> pa.Table:
-    """Hashes of one range that occur more than once, and how often."""
-    values, counts = [], []
-    for low, often in zip(rows.column("low").to_pylist(), rows.column("often").to_pylist(), strict=True):
-        own = np.frombuffer(low, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().cumsum(dtype=np.int64)
-        n = np.ones(len(own), np.int64)
-        n[own & 1 == 1] = np.frombuffer(often, "<u4")
-        values.append(own >> 1)
-        counts.append(n)
-    value = np.concatenate(values)
-    order = np.argsort(value, kind="stable")
-    value = value[order]
-    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    n = np.add.reduceat(np.concatenate(counts)[order], first)
-    at = np.int64(rows.column("range")[0].as_py()) << (HASH_BITS - RANGE_BITS)
-    return pa.table({"h": pa.array(at | value[first][n > 1], pa.int64()), "n": pa.array(n[n > 1], pa.int64())})
+    run = lambda w, i: _run_hash(w, *(F.get(words, i + k) for k in range(1, RUN)))
+    return F.slice(F.transform(words, run), F.lit(1), F.greatest(F.size(words) - (RUN - 1), F.lit(0)))
+
+
+def _run_hash(*words: Column) -> Column:
+    return F.xxhash64(*words).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
-    """h and n of the runs of words that occur more than once in all lines."""
-    runs = lines.select(once(F.split("norm", " "), word_runs).alias("runs"))
-    return runs.mapInArrow(_pack, "range int, low binary, often binary").groupBy("range").applyInArrow(_repeated, "h long, n long")
+    """h and n of the runs of words that occur more than once in all lines; a row for each run goes through compiled code only."""
+    later = lambda k: F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}")
+    words = lines.select(F.split("norm", " ").alias("w")).select(F.inline(F.arrays_zip(*(later(k) for k in range(RUN)))))
+    runs = words.where(F.col(f"w{RUN - 1}").isNotNull()).select(_run_hash(*(F.col(f"w{k}") for k in range(RUN))).alias("h"))
+    return runs.repartition("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")  # few repeat within a task, so none are counted before the shuffle
 
 
 def _bits(h: Column, at: int, size: int) -> Column:
@@ -207,13 +167,17 @@ def prefix(words: Column, marks: Column, ranks: Column, cells: int) -> Column:
     The first shared run comes after destroyed ones only.
     """
 
-    def place(h: Column) -> Column:
-        repeated = F.call_function("shiftrightunsigned", F.get(marks, _bits(h, 6, cells).cast("int")), _bits(h, 0, 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return F.when(repeated, F.shiftleft(F.get(ranks, _bits(h, 22, BUCKETS).cast("int")).cast("long"), 56)).otherwise(F.lit(0))
+    def repeated(h: Column) -> Column:
+        return F.getbit(F.get(marks, _bits(h, 6, cells).cast("int")), _bits(h, 0, 64).cast("int")) == 1
+
+    def ranked(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, _bits(h, 22, BUCKETS).cast("int")).cast("long"), 56).bitwiseOR(h)
+
+    def first(often: Column) -> Column:
+        left = destroyed(F.size(words)) + 1 - (F.greatest(F.size(words) - (RUN - 1), F.lit(0)) - F.size(often))  # after those that occur once
+        return F.when(left > 0, F.array_distinct(F.slice(F.sort_array(F.transform(often, ranked)), F.lit(1), F.greatest(left, F.lit(1)).cast("int"))))
 
-    runs = F.transform(word_runs(words), lambda h: place(h).bitwiseOR(h))
-    first = F.slice(F.sort_array(runs), F.lit(1), (destroyed(F.size(words)) + 1).cast("int"))
-    return F.array_distinct(F.filter(first, lambda x: x >= F.lit(1 << 56)))
+    return once(F.filter(word_runs(words), repeated), first)
 
 
 SKETCH = ["n", "even0", "even1"]
@@ -262,7 +226,7 @@ def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str)
 
 def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """block, node, size and sketch: the lists of runs of words that two lines or more have in their prefixes, as a written table."""
-    long = lines.where(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= LEAST_WORDS - 1)
+    long = lines.where(blanks(F.col("norm")) >= LEAST_WORDS - 1)
     repeated = tmp.written(repeated_runs(long), "repeated-runs")
     cells = min(MOST_CELLS, 1 << max(6, (repeated.count() // 8).bit_length()))  # 8 to 16 bits for each
     marks, ranks = tmp.written(run_marks(repeated, cells), "run-marks"), tmp.written(run_ranks(repeated), "run-ranks")
@@ -291,12 +255,13 @@ def one_word_apart(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     A row for each word of the lines a, before the joins. Lines that are equal without their k-th word are all similar: each
     is linked with the smallest of them.
     """
-    words, size = F.split("norm", " "), F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    words, size = F.split("norm", " "), blanks(F.col("norm")) + 1
+    lines = tmp.written(lines.where(size.isin(LEAST_WORDS - 1, LEAST_WORDS)).select("node", "norm"), "short-lines")
     short = lines.where(size == LEAST_WORDS - 1).select(F.col("node").alias("h"), "norm")
     less = F.array(*(F.array_join(_without(words, k), " ") for k in range(LEAST_WORDS)))
     own = lines.where(size == LEAST_WORDS)
     whole = own.select(F.col("node").alias("a"), F.explode(F.array_distinct(less)).alias("less")).withColumn("h", F.xxhash64("less"))
-    found = shared.marked(tmp, whole, "h", short.select("h")).where("may").join(short, "h").where("less = norm")
+    found = whole.join(short, "h").where("less = norm")
     named = own.select(F.col("node").alias("a"), F.posexplode(less).alias("k", "less"))
     first = named.groupBy("k", "less").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     other = named.join(first, ["k", "less"]).where("a != b").select("a", "b").distinct()
@@ -355,8 +320,11 @@ def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     nodes = texts.groupBy("node").agg(F.min(F.struct("doc", "key", "pos", "second")).alias("first"), F.count("*").alias("copies"))
     nodes = tmp.written(nodes, "distinct-lines")
     twice = tmp.written(nodes.where("copies > 1").select(F.col("node").alias("h")), "repeated-lines")
-    lines = _distinct(tmp, texts.select("node", "second", "norm"), "node", twice).select("node", "norm")
+    # shorter lines are held equal; the others are read many times, so they are made distinct once
+    lines = _distinct(tmp, texts.where(blanks(F.col("norm")) >= LEAST_WORDS - 2).select("node", "second", "norm"), "node", twice)
+    lines = tmp.written(lines.select("node", "norm"), "lines")
     label = components(tmp, links(tmp, lines), "all-line-edges")
+    tmp.drop(lines)
 
     named = tmp.written(label.select(F.col("node").alias("h")), "linked-lines")
     several = shared.marked(tmp, nodes.where("copies = 1"), "node", named).where("may").drop("may").unionByName(nodes.where("copies > 1"))

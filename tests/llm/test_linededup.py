@@ -224,6 +224,15 @@ def test_lines_whose_word_pairs_repeat_by_chance_enter_no_list(spark):
     assert sorted(r.n for r in linededup.repeated_runs(rows).collect()) == sorted(n for n in triples.values() if n > 1)
 
 
+def test_runs_are_counted_without_python(spark):
+    rows = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c"), (3, "a b"), (4, "")], "node long, norm string")
+    runs = linededup.repeated_runs(rows)
+    assert not re.search("Python|Pandas|Arrow", runs._jdf.queryExecution().toString())
+    # the runs of arrays (for the lists) and those of rows (for the counts) have the same hashes
+    own = rows.select(F.explode(linededup.word_runs(F.split("norm", " "))).alias("h")).groupBy("h").count().where("count > 1")
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, own.collect())) and own.count() == 1
+
+
 def test_lines_of_five_words_with_another_word_anywhere(spark):
     rng = random.Random(13)
     words = [f"w{i}" for i in range(500)]
