@@ -16,11 +16,11 @@ from functools import cache
 
 import numpy as np
 
-MEMO = 350_000
+MEMO = 1_000_000
 #: A full memo is emptied once so many parts weren't in it, in case the texts have changed.
 STALE = 10 * MEMO
 LONGEST = 20
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 21
 _SAFE = re.compile(r" (?=[!-~À-ÖØ-öø-ÿ])")
 _OTHER = re.compile(r" (?![!-~À-ÖØ-öø-ÿ])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")

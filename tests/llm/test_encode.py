@@ -35,3 +35,13 @@ def test_memo_stays_bounded(monkeypatch):
     texts = [f"w{i} v{i} the" for i in range(300)]
     assert list(e.all_ids(texts, 0)) == [whole(e, t, 0) for t in texts]
     assert len(e.memo) <= 50
+
+
+def test_words_of_a_large_vocabulary_are_encoded_once():
+    """400,000 different words, in runs: a second pass finds all of them in the memo."""
+    own = encode.Encoder(encode.public_path("word_bpe_49k.json"))
+    texts = [" ".join(f"{a}{b}{c}{d}" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghij") for a in ("".join(x) for x in zip("abcdefghij" * 10, "klmnopqrst" * 10, (chr(97 + i // 10) for i in range(100)), strict=True))]
+    first = list(own.all_ids(texts, 1))
+    lacked = []
+    own.lacking = lacked.append
+    assert list(own.all_ids(texts, 1)) == first and not lacked
