@@ -325,10 +325,15 @@ def expanded(tmp: shared.Scratch, rest: DataFrame, more: DataFrame, label: DataF
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all its columns: the one whose doc_id names the group; rows without doc_id stay."""
-    keep = joined(docs, shingle, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_kept")
-    rows = shared.packed(docs)
-    kept = rows.join(keep, F.col("r.doc_id").cast("long") == F.col("_kept"), "left").where("r.doc_id IS NULL OR _kept IS NOT NULL")
-    single = kept.where("_kept IS NULL OR n = 1").select("r")
-    repeated = kept.where("n > 1").dropDuplicates(["_kept"]).select("r")
-    return single.unionByName(repeated).select("r.*")
+    """One document of each group, with all its columns: the one whose doc_id names the group; rows without doc_id stay.
+
+    Only rows that may go are shuffled: those of another name than their group's, and those of a doc_id with several rows.
+    """
+    named = F.col("doc_id") == F.col("component_id")
+    counts = joined(docs, shingle, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(F.when(named, 1).otherwise(0)).alias("n"))
+    odd = shared.written(counts.where("n != 1").select(F.col("doc_id").alias("_odd"), "n"), "may-go")
+    rows = shared.packed(docs).withColumn("h", F.xxhash64(F.col("r.doc_id").cast("long")))
+    rows = shared.marked(shared.Scratch(docs.sparkSession), rows, "h", odd.select(F.xxhash64("_odd").alias("h")))
+    hit = rows.where("may").join(odd, F.col("r.doc_id").cast("long") == F.col("_odd"), "left")
+    stay = hit.where("n IS NULL").select("r").unionByName(hit.where("n > 1").dropDuplicates(["_odd"]).select("r"))
+    return rows.where("NOT may").select("r").unionByName(stay).select("r.*")

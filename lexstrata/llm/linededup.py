@@ -225,7 +225,7 @@ def verified(tmp: shared.Scratch, pairs: DataFrame, lines: DataFrame, name: str)
 
 
 def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
-    """block, node, size and sketch: the lists of runs of words that two lines or more have in their prefixes, as a written table."""
+    """block, node, size and pivot: the lists of runs of words that two lines or more have in their prefixes, as a written table."""
     long = lines.where(blanks(F.col("norm")) >= LEAST_WORDS - 1)
     repeated = tmp.written(repeated_runs(long), "repeated-runs")
     cells = min(MOST_CELLS, 1 << max(6, (repeated.count() // 8).bit_length()))  # 8 to 16 bits for each
@@ -235,16 +235,28 @@ def lists_of(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     keyed = long.withColumn("marks", marks.scalar()).withColumn("ranks", ranks.scalar())
     keyed = keyed.select("node", once(F.split("norm", " "), lambda w: prefix(w, F.col("marks"), F.col("ranks"), cells)).alias("blocks"))
     keyed = keyed.select("node", F.explode_outer("blocks").alias("block")).where("block IS NOT NULL").repartition("block")
-    # `least` keeps both sides of the join below on one and the same exchange, so that the pairs are made once
-    common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1 AND least IS NOT NULL").drop("least")
-    common = tmp.written(keyed.join(common.hint("shuffle_hash"), "block"), "common-blocks")
-    nodes = tmp.written(common.select(F.col("node").alias("h")).distinct(), "common-nodes")
-    sketches = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm")), "sketches")
-    out = tmp.written(common.join(sketches, "node"), "blocks")
-    tmp.drop(marks, ranks, common, nodes, sketches)
+    # `pivot` also keeps both sides of the join below on one and the same exchange, so that the pairs are made once
+    common = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1 AND pivot IS NOT NULL")
+    out = tmp.written(keyed.join(common.hint("shuffle_hash"), "block"), "common-blocks")
+    tmp.drop(marks, ranks)
     return out
 
 
+def near_pivots(tmp: shared.Scratch, lists: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, b and apart: the lines of lists with those pivots that they may be similar to, each pair once, as a written table.
+
+    Lines that are similar share many lists; sketches meet their pairs, not the rows of the lists.
+    """
+    pairs = tmp.written(lists.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pivot-pairs")
+    nodes = tmp.written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select("b").distinct().select(F.col("b").alias("h"))).distinct(), "common-nodes")
+    sketches = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm")), "sketches")
+    of = lambda c, side: sketches.select(F.col("node").alias(c), F.struct(*SKETCH).alias(side))
+    near = pairs.join(of("a", "l"), "a").join(of("b", "r"), "b").where(_near()).select("a", "b", _apart().alias("apart"))
+    near = tmp.written(near, "near")
+    tmp.drop(pairs, nodes, sketches)
+    return near
+
+
 def _without(words: Column, k: int) -> Column:
     return F.filter(words, lambda _, i: i != k)
 
@@ -282,40 +294,38 @@ def _apart_by(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
-    """(a, b): pairs of similar lines (node, norm) that connect all that are connected, as a written table."""
+    """(a, b): pairs of lines (node, norm) that connect all that similar lines connect, as a written table."""
     lists = lists_of(tmp, lines)
-    pivots = tmp.written(lists.groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("r")), "pivots")
-    paired = tmp.written(lists.join(pivots, "block").select("block", "size", F.struct("node", *SKETCH).alias("l"), "r"), "paired-blocks")
-    tmp.drop(lists, pivots)
-    near = paired.where((F.col("l.node") != F.col("r.node")) & _near())
-    near = tmp.written(near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _apart().alias("apart"), "size"), "near")
+    near = near_pivots(tmp, lists, lines)
     stars = tmp.written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b"), "stars")
     linked = verified(tmp, stars, lines, "line-links")
     label = labels(tmp, linked)
-    # the other pivots of a line, where the nearest one has not led to them; a list of two has no other pair
+    named = lambda: label.select(F.col("node").alias("a"), F.col("label").alias("b"))  # noqa: E731  in place of the links: of one step each
+    # the other pivots of a line, where the nearest one has not led to them
     others = _apart_by(near.join(stars, ["a", "b"], "left_anti").select("a", "b").distinct(), label)
-    linked = tmp.written(linked.unionByName(verified(tmp, tmp.written(others, "other-pivots"), lines, "other-line-links")), "pivot-links")
+    linked = tmp.written(named().unionByName(verified(tmp, tmp.written(others, "other-pivots"), lines, "other-line-links")), "pivot-links")
     label = labels(tmp, linked)
 
     own = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
-    named = paired.where("size > 2").select("block", F.col("l.node").alias("node"), F.col("r.node").alias("pivot"))
-    named = named.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("pivot"), F.col("pivot") == F.col("_pivot"), "left")
-    named = named.select("block", "node", "pivot", F.coalesce("node_label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("center"))
-    open_lists = named.where("label != center").select("block").distinct()
-    named = tmp.written(named.where("node != pivot").join(open_lists, "block", "left_semi"), "open-lists")
-    nodes = tmp.written(named.select(F.col("node").alias("h")).distinct(), "open-nodes")
+    members = lists.where("size > 2").select("block", "node", "pivot")  # a list of two has no other pair
+    members = members.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+    members = members.select("block", "node", "pivot", F.coalesce("node_label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("center"))
+    open_lists = members.where("label != center").select("block").distinct()
+    members = tmp.written(members.where("node != pivot").join(open_lists, "block", "left_semi"), "open-lists")
+    nodes = tmp.written(members.select(F.col("node").alias("h")).distinct(), "open-nodes")
     wide = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm"), WIDE), "wide-sketches")
-    named = named.join(wide, "node")
-    rest = named.where("label != center").alias("l").join(named.alias("r"), "block")
+    members = members.join(wide, "node")
+    rest = members.where("label != center").alias("l").join(members.alias("r"), "block")
     rest = rest.where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near(WIDE))
     rest = tmp.written(rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "rest")
-    tmp.drop(paired, near)
-    return tmp.written(linked.unionByName(verified(tmp, rest, lines, "more-line-links")).unionByName(one_word_apart(tmp, lines)), "all-line-links")
+    tmp.drop(lists, near)
+    return tmp.written(named().unionByName(verified(tmp, rest, lines, "more-line-links")).unionByName(one_word_apart(tmp, lines)), "all-line-links")
 
 
 def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     """doc, key and the positions `gone` of the lines to remove, for documents that lose any."""
-    texts = tmp.written(numbered(tmp, docs), "line-texts").where("norm != ''")
+    whole = tmp.written(numbered(tmp, docs), "line-texts")
+    texts = whole.where("norm != ''")
     place = F.struct("doc", "key", "pos")
     nodes = texts.groupBy("node").agg(F.min(F.struct("doc", "key", "pos", "second")).alias("first"), F.count("*").alias("copies"))
     nodes = tmp.written(nodes, "distinct-lines")
@@ -323,6 +333,8 @@ def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     # shorter lines are held equal; the others are read many times, so they are made distinct once
     lines = _distinct(tmp, texts.where(blanks(F.col("norm")) >= LEAST_WORDS - 2).select("node", "second", "norm"), "node", twice)
     lines = tmp.written(lines.select("node", "norm"), "lines")
+    places = tmp.written(texts.select("doc", "key", "pos", "node", "second"), "line-places")  # of the texts, `lines` have all that is needed
+    tmp.drop(whole)
     label = components(tmp, links(tmp, lines), "all-line-edges")
     tmp.drop(lines)
 
@@ -332,7 +344,7 @@ def removed(tmp: shared.Scratch, docs: DataFrame) -> DataFrame:
     kept = known.groupBy("label").agg(F.min("first").alias("kept"))
     known = known.select("node", F.col("first.second").alias("own"), "label").join(kept, "label").select("node", "own", F.struct("kept.doc", "kept.key", "kept.pos").alias("kept"))
     known = tmp.written(known, "kept")
-    gone = shared.marked(tmp, texts.select("doc", "key", "pos", "node", "second"), "node", known.select(F.col("node").alias("h"))).where("may")
+    gone = shared.marked(tmp, places, "node", known.select(F.col("node").alias("h"))).where("may")
     gone = gone.join(known, "node").where((F.col("second") == F.col("own")) & ~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("gone"))
 

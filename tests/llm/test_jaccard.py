@@ -103,3 +103,14 @@ def test_components(spark):
     with shared.scratch(spark) as tmp:
         got = dict(map(tuple, graph.components(tmp, spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
+
+
+def test_only_rows_that_may_go_are_joined(spark, monkeypatch):
+    """Of many texts few are copies: the others are kept where they are; of repeated rows one stays."""
+    text = lambda i: " ".join(f"t{i}x{j}" for j in range(12))
+    rows = [(i, text(i)) for i in range(300)] + [(1000, text(7)), (1001, text(8)), (9, text(9)), (None, text(3)), (None, None)]
+    marked = []
+    monkeypatch.setattr(shared, "marked", lambda *a, f=shared.marked: marked.append(f(*a)) or marked[-1])
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect(), key=str) == sorted([(i, text(i)) for i in range(300)] + [(None, text(3)), (None, None)], key=str)
+    assert 4 <= marked[-1].where("may").count() < 40

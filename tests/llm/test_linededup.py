@@ -241,3 +241,17 @@ def test_lines_of_five_words_with_another_word_anywhere(spark):
     rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
     got = run(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == similar_only(rows) and sum(not text for _, text in got) == 36
+
+
+def test_lines_meet_a_pivot_once_however_many_lists_they_share(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(5000)]
+    lines = [rng.choices(words, k=40) for _ in range(20)]
+    rows = [(100 * i + k, " ".join([*x[:k], "new", *x[k + 1 :]])) for i, x in enumerate(lines) for k in range(0, 40, 13)]
+    lines = spark.createDataFrame(rows, "node long, norm string")
+    with shared.scratch(spark) as tmp:
+        lists = linededup.lists_of(tmp, lines)
+        in_lists = lists.where("node != pivot").count()
+        near = sorted((r.a, r.b) for r in linededup.near_pivots(tmp, lists, lines).collect())
+    assert len(near) == len(set(near)) < in_lists / 4
+    assert {a for a, _ in near} == {i for i, _ in rows if i % 100}
