@@ -50,6 +50,8 @@ BUCKETS = 1 << 18
 SMALL = 1 << 17
 #: Parts of 64 cells in the sketches of lines that are held against more than pivots: lines with a long passage in common are told apart.
 WIDE = 8
+#: Lists of a line, smallest first, by which a pair that shares several is made in the first of them only.
+HEAD = 64
 
 
 def normalised(low: Column) -> Column:
@@ -293,6 +295,30 @@ def _apart_by(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
+def open_pairs(tmp: shared.Scratch, lists: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): pairs of a list's lines, without its pivot, that are in different components and may be similar.
+
+    Near copies share nearly all their lists. A pair is left out where a smaller list holds both: that one makes it, since what
+    else a pair must satisfy is the same in all. Only the first HEAD lists of a line are held against each other, so a row stays
+    short however long its line is; two lines whose first shared list is none of these are made more than once.
+    """
+    own = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
+    members = lists.where("size > 2").select("block", "node", "pivot")  # a list of two has no other pair
+    members = members.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+    members = members.select("block", "node", "pivot", F.coalesce("node_label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("center"))
+    open_lists = members.where("label != center").select("block").distinct()
+    members = tmp.written(members.where("node != pivot").join(open_lists, "block", "left_semi"), "open-lists")
+    heads = tmp.written(members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("block")), 1, HEAD).alias("head")), "open-nodes")
+    wide = shared.marked(tmp, lines, "node", heads.select(F.col("node").alias("h"))).where("may").select("node", "norm")
+    wide = tmp.written(sketched(wide, WIDE).join(heads, "node"), "wide-sketches")
+    members = members.join(wide, "node")
+    rest = members.where("label != center").alias("l").join(members.alias("r"), "block")
+    once = (F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))
+    first = F.coalesce(F.array_min(F.array_intersect("l.head", "r.head")) >= F.col("block"), F.lit(True))
+    rest = rest.where((F.col("l.label") != F.col("r.label")) & once & _near(WIDE) & first)
+    return rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+
 def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     """(a, b): pairs of lines (node, norm) that connect all that similar lines connect, as a written table."""
     lists = lists_of(tmp, lines)
@@ -306,18 +332,7 @@ def links(tmp: shared.Scratch, lines: DataFrame) -> DataFrame:
     linked = tmp.written(named().unionByName(verified(tmp, tmp.written(others, "other-pivots"), lines, "other-line-links")), "pivot-links")
     label = labels(tmp, linked)
 
-    own = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
-    members = lists.where("size > 2").select("block", "node", "pivot")  # a list of two has no other pair
-    members = members.join(own("node"), F.col("node") == F.col("_node"), "left").join(own("pivot"), F.col("pivot") == F.col("_pivot"), "left")
-    members = members.select("block", "node", "pivot", F.coalesce("node_label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("center"))
-    open_lists = members.where("label != center").select("block").distinct()
-    members = tmp.written(members.where("node != pivot").join(open_lists, "block", "left_semi"), "open-lists")
-    nodes = tmp.written(members.select(F.col("node").alias("h")).distinct(), "open-nodes")
-    wide = tmp.written(sketched(shared.marked(tmp, lines, "node", nodes).where("may").select("node", "norm"), WIDE), "wide-sketches")
-    members = members.join(wide, "node")
-    rest = members.where("label != center").alias("l").join(members.alias("r"), "block")
-    rest = rest.where((F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.center")) | (F.col("l.node") < F.col("r.node"))) & _near(WIDE))
-    rest = tmp.written(rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "rest")
+    rest = tmp.written(open_pairs(tmp, lists, label, lines).distinct(), "rest")
     tmp.drop(lists, near)
     return tmp.written(named().unionByName(verified(tmp, rest, lines, "more-line-links")).unionByName(one_word_apart(tmp, lines)), "all-line-links")
 

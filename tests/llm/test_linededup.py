@@ -255,3 +255,25 @@ def test_lines_meet_a_pivot_once_however_many_lists_they_share(spark):
         near = sorted((r.a, r.b) for r in linededup.near_pivots(tmp, lists, lines).collect())
     assert len(near) == len(set(near)) < in_lists / 4
     assert {a for a, _ in near} == {i for i, _ in rows if i % 100}
+
+
+def test_pairs_of_open_lists_are_made_once(spark):
+    """Near copies share many lists; a pair of two components comes from the first of them only, and none is lost."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(5000)]
+    lines = []
+    for _ in range(3):
+        line = rng.choices(words, k=60)
+        lines += [[rng.choice(words) if rng.random() < 0.1 else w for w in line] for _ in range(16)]
+    texts = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "node long, norm string")
+    label = spark.createDataFrame([], "node long, label long")  # no line is linked yet
+    with shared.scratch(spark) as tmp:
+        lists = linededup.lists_of(tmp, texts)
+        held = {}
+        for r in lists.where("node != pivot").collect():
+            held.setdefault(r.block, []).append(r.node)
+        got = sorted(map(tuple, linededup.open_pairs(tmp, lists, label, texts).collect()))
+    shared_lists = Counter((a, b) for x in held.values() for a in x for b in x if a < b)
+    near = sorted(p for p in shared_lists if distance(lines[p[0]], lines[p[1]]) <= 12)
+    assert len(got) == len(set(got)) and set(near) <= set(got) <= set(shared_lists)
+    assert len(near) > 100 and sum(shared_lists[p] for p in got) > 5 * len(got)
