@@ -5,6 +5,7 @@ import cases
 import numpy as np
 import pytest
 from lexstrata.llm import graph, jaccard, shared
+from pyspark.sql import functions as F
 
 
 def naive(docs, percent=90, shingle=3):
@@ -114,3 +115,14 @@ def test_only_rows_that_may_go_are_joined(spark, monkeypatch):
     kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(kept.collect(), key=str) == sorted([(i, text(i)) for i in range(300)] + [(None, text(3)), (None, None)], key=str)
     assert 4 <= marked[-1].where("may").count() < 40
+
+
+def test_components_and_marks_take_no_jobs_of_their_own(spark, monkeypatch):
+    """A round of components is one written table and no other query; a bitmap is not written."""
+    names = []
+    monkeypatch.setattr(shared, "_write", lambda df, path, f=shared._write: names.append(path) or f(df, path))
+    with shared.scratch(spark) as tmp:
+        rows = shared.marked(tmp, spark.range(1000), "id", spark.range(0, 1000, 100).select(F.col("id").alias("h")))
+        assert names == [] and {r.id for r in rows.where("may").collect()} >= set(range(0, 1000, 100))
+        empty = graph.components(tmp, spark.createDataFrame([], "a long, b long"))
+        assert empty.count() == 0 and len(names) == 2
